@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusloom.llm import langid, pii
+from corpusloom.llm import decontam, langid, mixing, near_dup, pii
 from corpusloom.runtime import stored, table
 
 
@@ -13,12 +13,33 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return langid.accepted(docs, langid.train(docs))
 
 
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies the row with the least doc_id stays; rows without a text all stay."""
+    return near_dup.deduplicated(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item within its error budget go."""
+    return decontam.clean(docs, table(spark, sf_dir, "benchmark"))
+
+
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal values become pseudonyms; every document stays."""
     return pii.pseudonymized(docs)
 
 
-STAGES = [("language_id", language_id), ("pii", personal_data)]
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The scheduled blocks with their text; every document is in it at least once."""
+    return mixing.mixed(docs)
+
+
+STAGES = [
+    ("language_id", language_id),
+    ("near_duplicates", near_duplicates),
+    ("decontamination", decontamination),
+    ("pii", personal_data),
+    ("mixture", mixture),
+]
 
 ORACLE_SQL = None  # kernels, edit distance and Feistel networks are beyond SQL
 

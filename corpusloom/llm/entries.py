@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..runtime import table
-from . import langid, ngram_lm, pii, url_filter
+from . import decontam, langid, mixing, near_dup, ngram_lm, pii, url_filter
 
 URL_RULES = [
     ("spam-farm.example.org", "block"),
@@ -42,17 +42,29 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, langid.train(docs))
 
 
+def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed(table(spark, sf_dir, "documents"))
+
+
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pseudonymized(table(spark, sf_dir, "documents"))
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return ngram_lm.scored(docs, ngram_lm.build(docs))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_url_filter, op3_language_id, op5_pii, op10_lm_score)}
+    return {f.__name__: f for f in (op1_url_filter, op3_language_id, op4_mix_sources, op5_pii, op7_decontamination, op8_near_duplicates, op10_lm_score)}
 
 
 def _values(rows) -> str:
@@ -84,4 +96,4 @@ from urls u left join best b using (page_id)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_filter": URL_SQL}
+    return {"op1_url_filter": URL_SQL, "op4_mix_sources": mixing.sql()}
