@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..runtime import table
-from . import decontam, langid, mixing, near_dup, ngram_lm, pii, url_filter
+from . import cover_join, decontam, langid, mixing, near_dup, ngram_lm, pii, token_count, url_filter
 
 URL_RULES = [
     ("spam-farm.example.org", "block"),
@@ -50,6 +50,10 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pseudonymized(table(spark, sf_dir, "documents"))
 
 
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_count.counted(table(spark, sf_dir, "documents"))
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -58,13 +62,18 @@ def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op9_embedding_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cover_join.pairs(table(spark, sf_dir, "embeddings"))
+
+
 def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return ngram_lm.scored(docs, ngram_lm.build(docs))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_url_filter, op3_language_id, op4_mix_sources, op5_pii, op7_decontamination, op8_near_duplicates, op10_lm_score)}
+    found = (op1_url_filter, op3_language_id, op4_mix_sources, op5_pii, op6_token_counts, op7_decontamination, op8_near_duplicates, op9_embedding_pairs, op10_lm_score)
+    return {f.__name__: f for f in found}
 
 
 def _values(rows) -> str:
@@ -95,5 +104,12 @@ from urls u left join best b using (page_id)
 """
 
 
+PAIRS_SQL = f"""
+with e as (select distinct vec_id, cast(embedding as double[]) as v from embeddings where len(embedding) > 0),
+p as (select a.vec_id as vec_a, b.vec_id as vec_b, list_cosine_similarity(a.v, b.v) as similarity from e a join e b on a.vec_id < b.vec_id)
+select vec_a, vec_b, round(similarity, 6) as similarity from p where similarity >= {cover_join.THRESHOLD}
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_filter": URL_SQL, "op4_mix_sources": mixing.sql()}
+    return {"op1_url_filter": URL_SQL, "op4_mix_sources": mixing.sql(), "op9_embedding_pairs": PAIRS_SQL}
