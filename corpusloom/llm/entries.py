@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..runtime import table
-from . import cover_join, decontam, langid, mixing, near_dup, ngram_lm, pii, token_count, url_filter
+from . import cover_join, decontam, langid, mixing, near_dup, ngram_lm, pii, templates, token_count, url_filter
 
 URL_RULES = [
     ("spam-farm.example.org", "block"),
@@ -37,6 +37,10 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.decisions(table(spark, sf_dir, "pages"), url_rules(spark))
 
 
+def op2_page_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return templates.extracted(table(spark, sf_dir, "pages"))
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return langid.identify(docs, langid.train(docs))
@@ -72,7 +76,7 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_url_filter, op3_language_id, op4_mix_sources, op5_pii, op6_token_counts, op7_decontamination, op8_near_duplicates, op9_embedding_pairs, op10_lm_score)
+    found = (op1_url_filter, op2_page_templates, op3_language_id, op4_mix_sources, op5_pii, op6_token_counts, op7_decontamination, op8_near_duplicates, op9_embedding_pairs, op10_lm_score)
     return {f.__name__: f for f in found}
 
 
