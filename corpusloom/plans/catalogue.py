@@ -1,19 +1,560 @@
-"""Every query of the engine's own operators, by name, with its SQL."""
+"""Every query of the engine's own operators, by name, with its SQL for DuckDB where SQL can express it."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import urls as U
+from ..functions import vectors as V
+from ..functions.embed import embedded
+from ..functions.words import STOP_WORDS, measure, stem_sql, with_stem
+from ..operators import index as I
+from ..operators import search as S
+from ..operators import spell
+from ..operators import tokens as T
+from ..runtime import ship, table
+from ..sources import html, robots, sitemap
+from . import crawl
+
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_SQL: dict[str, str] = {}
+TOK = "with " + T.sql_tokens()
+QUERY_TEXT = "of the ention onnt ha"  # ranked over documents
+QUERY_TERMS = ["ention", "onnt", "ha"]
+MISSPELT = ["entino", "thonon", "wihth", "abl"]
+
+
+def query(sql: str | None = None):
+    def add(f):
+        _QUERIES[f.__name__] = f
+        if sql is not None:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _docs(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents")
+
+
+def _passages(spark: SparkSession, d: str) -> DataFrame:
+    return T.passages(_docs(spark, d))
+
+
+def _long(c: str) -> F.Column:
+    return F.col(c).cast("bigint").alias(c)
+
+
+# ---------------------------------------------------------------- tokens, stems
+@query(TOK + "select doc_id, class, count(*) as n from tok group by all")
+def tokenize_classes(spark, d):
+    return T.tokens(_passages(spark, d)).groupBy("doc_id", "class").agg(F.count("*").alias("n"))
+
+
+LINES = rf"""
+with lines as (select doc_id, unnest(ls) as text, generate_subscripts(ls, 1) - 1 as line from (select doc_id, string_split(text, chr(10)) as ls from documents)),
+mail as (select doc_id, line, text as token, 'EMAIL' as class from lines where regexp_full_match(text, '[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{{2,}}')),
+ip as (select doc_id, line, unnest(regexp_extract_all(text, '{T.IPV4}|{T.RUN}+')) as token, 'IPV4' as class from lines)
+select doc_id, line, token, class from mail union all select doc_id, line, token, class from ip where contains(token, '.')
+"""
+
+
+@query(LINES)
+def entity_tokens(spark, d):
+    p = _docs(spark, d).select("doc_id", F.posexplode(F.split("text", "\n")).alias("ord", "text"), F.lit("b").alias("type"))
+    t = T.tokens(p).where("class in ('EMAIL', 'IPV4')")
+    return t.select("doc_id", _long("ord").alias("line"), "token", "class")
+
+
+@query(TOK + "select doc_id, count(*) as n from kept where class = 'WORD' group by doc_id")
+def stopword_filter(spark, d):
+    return T.kept(T.tokens(_passages(spark, d))).where("class = 'WORD'").groupBy("doc_id").agg(F.count("*").alias("n"))
+
+
+@query(TOK + "select token, term, count(*) as n from stemmed where class = 'WORD' group by all")
+def stem_tokens(spark, d):
+    return T.stemmed(T.tokens(_passages(spark, d))).where("class = 'WORD'").groupBy("token", "term").agg(F.count("*").alias("n"))
+
+
+@query(TOK + "select distinct token, cast(len(regexp_extract_all(token, '[aeiou][^aeiou]')) as bigint) as measure from kept where class = 'WORD'")
+def stem_measure(spark, d):
+    w = T.kept(T.tokens(_passages(spark, d))).where("class = 'WORD'").select("token").distinct()
+    return w.select("token", measure(F.col("token")).cast("bigint").alias("measure"))
+
+
+# ---------------------------------------------------------------- index
+@query(TOK + "select doc_id, term, count(*) as tf from idx group by all")
+def term_freq(spark, d):
+    return T.index_tokens(_passages(spark, d)).groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
+
+
+LENGTH = TOK + ", len as (select d.doc_id, count(i.term) as word_count from documents d left join idx i using (doc_id) group by d.doc_id) "
+
+
+@query(LENGTH + "select * from len")
+def doc_length(spark, d):
+    return I.lengths(_docs(spark, d), T.index_tokens(_passages(spark, d))).select("doc_id", _long("word_count"))
+
+
+@query(LENGTH + "select count(*) as n_docs, round(avg(word_count), 6) as avg_len from len")
+def avg_len(spark, d):
+    n = I.lengths(_docs(spark, d), T.index_tokens(_passages(spark, d)))
+    return n.agg(F.count("*").alias("n_docs"), F.round(F.avg("word_count"), 6).alias("avg_len"))
+
+
+@query(TOK + "select term, count(distinct doc_id) as df from idx group by term")
+def doc_freq(spark, d):
+    tf = T.index_tokens(_passages(spark, d)).groupBy("doc_id", "term").count()
+    return tf.groupBy("term").agg(F.count("*").alias("df"))
+
+
+@query(TOK + "select term, round(ln((select count(*) from documents) / (count(distinct doc_id) + 1.0)) + 1, 6) as idf from idx group by term")
+def idf(spark, d):
+    n = _docs(spark, d).agg(F.count("*").alias("n_docs"))
+    return doc_freq(spark, d).crossJoin(F.broadcast(n)).select("term", F.round(S.idf(F.col("n_docs"), F.col("df")), 6).alias("idf"))
+
+
+@query(TOK + "select doc_id, pos, term from pos")
+def token_positions(spark, d):
+    return T.positioned(_passages(spark, d)).select("doc_id", _long("pos"), "term")
+
+
+@query(TOK + f"select doc_id, term, count(*) as tf, array_to_string(list_slice(list(pos order by pos), 1, {I.POSITIONS}), ',') as positions from pos group by all")
+def postings(spark, d):
+    p = I.postings(T.positioned(_passages(spark, d)))
+    return p.select("doc_id", "term", _long("tf"), F.array_join(F.transform("positions", lambda x: x["i"].cast("string")), ",").alias("positions"))
+
+
+# ---------------------------------------------------------------- ranking over documents
+def _index(spark, d) -> I.Index:
+    docs = _docs(spark, d).select("doc_id", F.concat(F.lit("https://"), F.coalesce("source", F.lit("none")), F.lit(".example.org/"), F.col("doc_id").cast("string")).alias("url"), "text")
+    p = T.passages(docs)
+    pos = T.positioned(p)
+    return I.Index(I.lengths(docs, pos).join(docs.select("doc_id", "url"), "doc_id"), I.postings(pos), I.vocabulary(p))
+
+
+def _terms(spark, *texts: str) -> DataFrame:
+    return spark.createDataFrame(list(enumerate(texts, 1)), "query_id int, text string")
+
+
+def _featured(spark, d, text: str = QUERY_TEXT) -> DataFrame:
+    x = _index(spark, d)
+    return S.features(S.query_terms(_terms(spark, text), x, correct=False), x)
+
+
+RANKED = (
+    LENGTH
+    + ", post as (select doc_id, term, count(*) as tf, list_slice(list(pos order by pos), 1, 500) as ps from pos group by all), slots(slot, term) as (values "
+    + ", ".join(f"({i}, '{t}')" for i, t in enumerate(QUERY_TERMS))
+    + "), df as (select term, count(*) as df from post where term in (select term from slots) group by term),"
+    + """ st as (select count(*) as n, avg(word_count) as mean from len),
+hit as (
+  select s.slot, p.doc_id, p.term, p.tf, p.ps, len.word_count, ln(st.n / (df.df + 1.0)) + 1 as idf, st.mean,
+    (select source from documents x where x.doc_id = p.doc_id) as source
+  from post p join slots s using (term) join df using (term) join len using (doc_id) cross join st),
+feat as (
+  select doc_id, cast(sum(tf) as bigint) as sum_tokens, sum(word_count * idf) as tf_idf, sum(idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * word_count / mean))) as bm25,
+    count(*) as covered, sum(len(ps)) as n_positions, list(ps order by slot) as lists
+  from hit group by doc_id) """
+)
+
+
+@query(RANKED + "select doc_id, round(bm25, 6) as bm25 from feat order by round(bm25, 9) desc, doc_id limit 50")
+def bm25_topk(spark, d):
+    return _featured(spark, d).orderBy(F.round("bm25", 9).desc(), "doc_id").limit(50).select("doc_id", F.round("bm25", 6).alias("bm25"))
+
+
+@query(RANKED + "select doc_id, round(tf_idf, 6) as tf_idf from feat order by round(tf_idf, 9) desc, doc_id limit 50")
+def tfidf_topk(spark, d):
+    return _featured(spark, d).orderBy(F.round("tf_idf", 9).desc(), "doc_id").limit(50).select("doc_id", F.round("tf_idf", 6).alias("tf_idf"))
+
+
+@query(RANKED + "select doc_id, round(covered / 3.0, 6) as query_coverage, round(covered / n_positions, 6) as query_dencity, sum_tokens from feat")
+def query_coverage_density(spark, d):
+    f = _featured(spark, d)
+    return f.select("doc_id", F.round("query_coverage", 6).alias("query_coverage"), F.round("query_dencity", 6).alias("query_dencity"), F.col("sum_token_in_package").alias("sum_tokens"))
+
+
+CHAIN = """, start as (select doc_id, lists, unnest(lists[1]) as s from feat where covered = 3),
+second as (select doc_id, lists, s, list_min(list_filter(lists[2], lambda x: x > s)) as b from start),
+third as (select doc_id, s, list_min(list_filter(lists[3], lambda x: x > b)) as c from second where b is not null)
+select doc_id, cast(min(c - s) as bigint) as term_proximity from third where c is not null group by doc_id"""
+
+
+@query(RANKED + CHAIN)
+def term_proximity(spark, d):
+    return _featured(spark, d).where("term_proximity is not null").select("doc_id", _long("term_proximity"))
+
+
+@query(
+    TOK
+    + """, p as (select doc_id, term, pos, row_number() over (partition by doc_id, term order by pos) as n from pos),
+q as (select doc_id, term, lead(pos, 2) over (partition by doc_id, term order by pos) - pos as span from p where n <= 500)
+select doc_id, term, min(span) as span from q where span is not null group by all"""
+)
+def self_proximity(spark, d):
+    return S.self_proximity(I.postings(T.positioned(_passages(spark, d))), 3).select("doc_id", "term", _long("span"))
+
+
+SORTED = (
+    RANKED
+    + """, e as (select doc_id, case when covered = 3 then (
+    select min(c - s) from (select s, list_min(list_filter(lists[3], lambda x: x > b)) as c from (
+      select s, list_min(list_filter(lists[2], lambda x: x > s)) as b from (select unnest(lists[1]) as s)) where b is not null) where c is not null) end as prox, bm25, tf_idf from feat)
+select doc_id, row_number() over (order by round(bm25, 9) desc, coalesce(prox, 9223372036854775807) desc, round(tf_idf, 9) desc, doc_id) - 1 as rank from e
+qualify rank < 100"""
+)
+
+
+@query(SORTED)
+def candidate_sort(spark, d):
+    return S.ranked(_featured(spark, d)).select("doc_id", _long("rank"))
+
+
+# ---------------------------------------------------------------- n-grams and spelling
+VOCABULARY = TOK + ", words as (select token as word, min((doc_id, tok)) as seen from kept where class = 'WORD' group by token)"
+GRAMS = VOCABULARY + ", grams as (select word, seen, unnest(list_distinct(list_transform(range(1, length(word) - 1), lambda i: substr(word, i, 3)))) as ngram from words)"
+
+
+@query(GRAMS + " select ngram, count(*) as n_words, min(word) as least from grams group by ngram")
+def ngram_index(spark, d):
+    g = I.ngrams(I.vocabulary(_passages(spark, d)))
+    return g.groupBy("ngram").agg(F.count("*").alias("n_words"), F.min("word").alias("least"))
+
+
+ASKED = ", ".join(f"('{w}')" for w in MISSPELT)
+FOUND = (
+    GRAMS
+    + f""", asked(word) as (values {ASKED}),
+want as (select word, unnest(range(1, length(word) - 1)) as i from asked),
+cand as (
+  select w.word, g.word as candidate, min(w.i) - 1 as pos, min(g.seen) as seen
+  from want w join grams g on g.ngram = substr(w.word, w.i, 3) group by all),
+near as (select *, levenshtein(word, candidate) as distance from cand where abs(length(word) - length(candidate)) <= 2 and levenshtein(word, candidate) <= 2)"""
+)
+
+
+def _asked(spark) -> DataFrame:
+    return spark.createDataFrame([(w,) for w in MISSPELT], "word string")
+
+
+@query(FOUND + " select word, candidate, cast(pos as bigint) as pos from cand")
+def ngram_candidates(spark, d):
+    return spell.candidates(_asked(spark), I.vocabulary(_passages(spark, d))).select("word", "candidate", _long("pos"))
+
+
+@query(FOUND + " select word, candidate, cast(distance as bigint) as distance from near")
+def levenshtein_filter(spark, d):
+    found = spell.candidates(_asked(spark), I.vocabulary(_passages(spark, d)))
+    return spell.within(found).select("word", "candidate", _long("distance"))
+
+
+@query(FOUND + " select a.word, coalesce(b.replacement, a.word) as replacement from asked a left join (select word, arg_min(candidate, (pos, seen)) as replacement from near group by word) b using (word)")
+def spell_replace(spark, d):
+    return spell.replacements(_asked(spark), I.vocabulary(_passages(spark, d)))
+
+
+@query(FOUND + " select a.word, coalesce(b.replacement, a.word) as replacement from asked a left join (select word, arg_min(candidate, (distance, pos, seen)) as replacement from near group by word) b using (word)")
+def spell_nearest(spark, d):
+    return spell.replacements(_asked(spark), I.vocabulary(_passages(spark, d)), mode="nearest")
+
+
+# ---------------------------------------------------------------- pages
+GARBAGE = r"(?s)<!--.*?-->|<script.*?</script>|<style.*?</style>|<nav.*?</nav>|<footer.*?</footer>|<aside.*?</aside>|<div class=\"ad\">.*?</div>"
+PASSAGES = rf"""
+with clean as (select page_id, regexp_replace(regexp_replace(html, '{GARBAGE}', '<x>', 'g'), '<h1>(.*?)</h1>', '<x>' || chr(1) || '\1<x>', 'g') as h from pages where length(html) > 0),
+split as (select page_id, unnest(ts) as t, generate_subscripts(ts, 1) as i from (select page_id, string_split_regex(h, '<[^>]*>') as ts from clean)),
+text as (select page_id, i, starts_with(t, chr(1)) as head, trim(replace(replace(replace(t, '&quot;', '"'), '&amp;', '&'), chr(1), ''), ' ' || chr(9) || chr(10) || chr(13)) as text from split),
+passages as (select page_id as doc_id, row_number() over (partition by page_id order by i) - 1 as ord, case when head then 'h' else 'b' end as type, text from text where text <> '')
+"""
+
+
+def _page_passages(spark, d):
+    return html.passages(html.parsed(table(spark, d, "pages")))
+
+
+@query(PASSAGES + "select doc_id, ord, type, text from passages")
+def html_passages(spark, d):
+    return _page_passages(spark, d).select("doc_id", _long("ord"), "type", "text")
+
+
+@query(PASSAGES + "select doc_id, ord, text from passages where type = 'h'")
+def header_passages(spark, d):
+    return _page_passages(spark, d).where("type = 'h'").select("doc_id", _long("ord"), "text")
+
+
+@query(PASSAGES + "select doc_id, count(*) as n_passages, cast(sum(length(text)) as bigint) as n_chars from passages group by doc_id")
+def garbage_removed(spark, d):
+    return _page_passages(spark, d).groupBy("doc_id").agg(F.count("*").alias("n_passages"), F.sum(F.length("text")).alias("n_chars"))
+
+
+@query(PASSAGES + "select doc_id, sha256(string_agg(text, '' order by ord)) as text_hash from passages group by doc_id")
+def full_text(spark, d):
+    return html.full_text(_page_passages(spark, d)).select("doc_id", F.sha2("text", 256).alias("text_hash"))
+
+
+def _links(spark, d):
+    return html.links(html.parsed(table(spark, d, "pages"), links_in_garbage=True))
+
+
+HREFS = r"""
+with hrefs as (select page_id, url, unnest(hs) as href, generate_subscripts(hs, 1) - 1 as ord from (select page_id, url, regexp_extract_all(html, '<a href="([^"]*)"', 1) as hs from pages)),
+links as (
+  select page_id as src_id, ord, href, regexp_extract(url, '^https://[^/?#]+') || href as link, true as same_domain
+  from hrefs where starts_with(url, 'https://') and starts_with(href, '/') and not starts_with(href, '//'))
+"""
+
+
+@query(HREFS + "select page_id as src_id, ord, href from hrefs")
+def link_edges(spark, d):
+    p = html.parsed(table(spark, d, "pages"), links_in_garbage=True)
+    return p.select(F.col("page_id").alias("src_id"), F.posexplode("hrefs").alias("ord", "href")).select("src_id", _long("ord"), "href")
+
+
+@query("select cast(0 as bigint) as src_id, '' as href from pages where false")
+def default_links(spark, d):
+    """With links in dropped regions left out, as is the rule, the pages have none."""
+    return html.links(html.parsed(table(spark, d, "pages"))).select("src_id", "href")
+
+
+@query(HREFS + "select src_id, ord, link, same_domain from links")
+def absolute_links(spark, d):
+    return _links(spark, d).select("src_id", _long("ord"), "link", "same_domain")
+
+
+@query(HREFS + "select src_id, count(*) as n from links where same_domain group by src_id")
+def same_origin_links(spark, d):
+    return _links(spark, d).where("same_domain").groupBy("src_id").agg(F.count("*").alias("n"))
+
+
+NORMAL = r"""
+with u as (select page_id, url, regexp_replace(lower(regexp_extract(url, '^[A-Za-z]+://([^/?#:]*)', 1)), '^www\.', '') as host,
+  regexp_extract(url, '^[A-Za-z]+://[^/?#]*([^?#]*)', 1) as path, regexp_extract(url, '\?([^#]*)', 1) as q from pages),
+n as (select page_id, url, regexp_replace(replace(host || path, '//', '/'), '/$', '') || case when q = '' then '' else '?' || array_to_string(list_sort(string_split(q, '&')), '&') end as norm_url from u)
+"""
+
+
+@query(NORMAL + "select page_id, norm_url from n")
+def normalize_url(spark, d):
+    ship(spark)
+    return table(spark, d, "pages").select("page_id", U.normalized_url(F.col("url")).alias("norm_url"))
+
+
+@query(NORMAL + "select page_id, sha256(norm_url) as doc_id from n")
+def doc_id_sha256(spark, d):
+    ship(spark)
+    return table(spark, d, "pages").select("page_id", F.lower(F.hex(U.document_id(F.col("url")))).alias("doc_id"))
+
+
+@query(HREFS + "select src_id, count(*) as n_links, min(link) as least, max(link) as most from links group by src_id")
+def url_bank(spark, d):
+    return _links(spark, d).groupBy("src_id").agg(F.count("*").alias("n_links"), F.min("link").alias("least"), F.max("link").alias("most"))
+
+
+SAME = PASSAGES + ", h as (select doc_id, list((type, text) order by ord) as content from passages group by doc_id) "
+
+
+@query(SAME + "select doc_id, min(doc_id) over (partition by content) as first_id from h")
+def content_hash_dedup(spark, d):
+    return I.deduplicated(I.content_hash(_page_passages(spark, d))).select("doc_id", "first_id")
+
+
+@query("with f as (select doc_id, min(doc_id) over (partition by text) as first_id from documents where text is not null) select doc_id, first_id from f where doc_id <> first_id")
+def duplicate_aliases(spark, d):
+    hashed = _docs(spark, d).where("text is not null").select("doc_id", F.sha2("text", 256).alias("content_hash"))
+    return I.deduplicated(hashed).where("is_alias").select("doc_id", "first_id")
+
+
+URL_WORDS = ["example", "th", "blog", "example"]
+
+
+@query(
+    "select page_id, cast(len_url as bigint) as len_url, n > 0 as word_in_url, round(ln(1 + n), 6) as log_len_words_in_url from (select page_id, strlen(url) as len_url, "
+    + " + ".join(f"case when contains(lower(url), '{w}') then {len(w)} else 0 end" for w in URL_WORDS)
+    + " as n from pages)"
+)
+def words_in_url(spark, d):
+    n = S.words_in_url(F.col("url"), F.array(*[F.lit(w) for w in URL_WORDS]))
+    return table(spark, d, "pages").select("page_id", F.octet_length("url").cast("bigint").alias("len_url"), (n > 0).alias("word_in_url"), F.round(F.log1p(n), 6).alias("log_len_words_in_url"))
+
+
+PAGE_TOK = PASSAGES + "," + T.sql_tokens("passages", key="struct_pack(doc_id := doc_id, ord := ord, type := type)")
+
+
+@query(PAGE_TOK + "select doc_id.doc_id as doc_id, term, bool_or(doc_id.type = 'h') as in_header from idx group by all having bool_or(doc_id.type = 'h')")
+def words_in_header(spark, d):
+    t = T.index_tokens(_page_passages(spark, d))
+    return t.groupBy("doc_id", "term").agg(F.bool_or(F.col("type") == "h").alias("in_header")).where("in_header")
+
+
+@query(PAGE_TOK + "select doc_id.doc_id as doc_id, term, row_number() over (partition by doc_id.doc_id order by doc_id.ord, tok) - 1 as pos, doc_id.type as type from idx")
+def page_positions(spark, d):
+    return T.positioned(_page_passages(spark, d)).select("doc_id", "term", _long("pos"), "type")
+
+
+# ---------------------------------------------------------------- vectors and models
+Q0 = "(select cast(embedding as double[]) from embeddings where vec_id = 0)"
+VEC = f"with e as (select vec_id, label, list_cosine_similarity(cast(embedding as double[]), {Q0}) as cos, list_distance(cast(embedding as double[]), {Q0}) as dist from embeddings) "
+
+
+def _compared(spark, d):
+    e = table(spark, d, "embeddings")
+    q = e.where("vec_id = 0").select(F.col("embedding").alias("q"))
+    return e.crossJoin(F.broadcast(q)).select("vec_id", "label", V.cosine(F.col("embedding"), F.col("q")).alias("cos"), V.euclid(F.col("embedding"), F.col("q")).alias("dist"))
+
+
+@query(VEC + "select vec_id, round(cos, 6) as cos from e order by round(cos, 9) desc, vec_id limit 100")
+def cosine_topk(spark, d):
+    return _compared(spark, d).orderBy(F.round("cos", 9).desc(), "vec_id").limit(100).select("vec_id", F.round("cos", 6).alias("cos"))
+
+
+@query(VEC + "select vec_id, round(dist, 6) as dist from e order by round(dist, 9), vec_id limit 100")
+def euclid_topk(spark, d):
+    return _compared(spark, d).orderBy(F.round("dist", 9), "vec_id").limit(100).select("vec_id", F.round("dist", 6).alias("dist"))
+
+
+@query(VEC + "select label, count(*) as chunks, round(avg(cos), 6) as cos, round(avg(dist), 6) as dist from e group by label")
+def chunk_mean_similarity(spark, d):
+    return _compared(spark, d).groupBy("label").agg(F.count("*").alias("chunks"), F.round(F.avg("cos"), 6).alias("cos"), F.round(F.avg("dist"), 6).alias("dist"))
+
+
+@query(VEC + "select vec_id, trunc(cos * 100) / 100.0 as cos2, trunc(dist * 100) / 100.0 as dist2 from e")
+def truncate_decimals(spark, d):
+    return _compared(spark, d).select("vec_id", V.truncated(F.col("cos")).alias("cos2"), V.truncated(F.col("dist")).alias("dist2"))
+
+
+@query(VEC + "select vec_id, round((cos - avg(cos) over w) / coalesce(nullif(stddev_pop(cos) over w, 0), 1), 6) + 0 as z_0, round((dist - avg(dist) over w) / coalesce(nullif(stddev_pop(dist) over w, 0), 1), 6) + 0 as z_1 from e window w as (partition by label)")
+def standardize_features(spark, d):
+    z = S.standardized(_compared(spark, d), ("cos", "dist"), ["label"])
+    return z.select("vec_id", (F.round("z_0", 6) + 0).alias("z_0"), (F.round("z_1", 6) + 0).alias("z_1"))
+
+
+RERANK = (
+    VEC
+    + """, r as (select vec_id, cos, dist, row_number() over (order by round(cos, 9) desc, vec_id) - 1 as rank from e),
+t as (select *, rank % 10 as cls, rank // 10 as slot, count(*) over (partition by rank % 10) as size from r where rank < 100),
+z as (select *, -((cos - avg(cos) over w) / coalesce(nullif(stddev_pop(cos) over w, 0), 1)) - 0.5 as relevance from t window w as (partition by cls)),
+v as (select *, min(case when relevance > 0 then slot end) over (partition by cls) as winner from z),
+s as (select *, min(case when size > 1 and winner is null then cls end) over () as stop from v)
+select vec_id, case when size > 1 and cls < coalesce(stop, 10) and slot = winner then cls when size > 1 and cls < coalesce(stop, 10) and slot = 0 then winner * 10 + cls else rank end as rank from s"""
+)
+
+
+@query(RERANK)
+def rerank_interleave(spark, d):
+    w = Window.orderBy(F.round("cos", 9).desc(), "vec_id")  # over the first 100 rows only: the sort is cut to them before
+    top = _compared(spark, d).orderBy(F.round("cos", 9).desc(), "vec_id").limit(100)
+    top = top.withColumn("rank", F.row_number().over(w) - 1).withColumn("query_id", F.lit(1))
+    return S.reranked(top, [-1.0], -0.5, ("cos",)).select("vec_id", _long("rank"))
+
+
+@query()
+def embed_chunks(spark, d):
+    v = _docs(spark, d).select("doc_id", embedded(spark, F.col("text")).alias("word_vec"))
+    return v.select("doc_id", F.size("word_vec").alias("chunks"), F.round(F.col("word_vec")[0][0], 6).alias("first"))
+
+
+# ---------------------------------------------------------------- crawl
+ROBOTS = "user-agent: *\ndisallow: /fr\ndisallow: /private\nallow: /fr/ok\ncrawl-delay: 5\n\nuser-agent: loom\n# a comment\ndisallow: /en\n"
+HOSTS = "with u as (select page_id, regexp_extract(url, '^[A-Za-z]+://([^/?#]*)', 1) as host, regexp_extract(url, '^[A-Za-z]+://[^/?#]*([^?#]*)', 1) as path from pages) "
+
+
+def _hosts(spark, d):
+    p = table(spark, d, "pages")
+    return p.select("page_id", U.host(F.col("url")).alias("host"), F.regexp_extract("url", r"^[A-Za-z]+://[^/?#]*([^?#]*)", 1).alias("path"))
+
+
+@query(HOSTS + "select page_id, not (starts_with(path, '/fr') or starts_with(path, '/private')) as allowed, cast(5 as bigint) as delay from u")
+def robots_allowed(spark, d):
+    h = _hosts(spark, d)
+    r = robots.rules(h.select("host").distinct().withColumn("body", F.lit(ROBOTS)))
+    return robots.allowed(h, r, "search-bot").select("page_id", "allowed", _long("delay"))
+
+
+@query(HOSTS + "select page_id, not starts_with(path, '/en') as allowed, (row_number() over (partition by host order by path, page_id) - 1) * 3 as fetch_at from u")
+def crawl_delay(spark, d):
+    h = _hosts(spark, d)
+    r = robots.rules(h.select("host").distinct().withColumn("body", F.lit(ROBOTS)))
+    a = robots.allowed(h.withColumn("p", F.col("path")), r, "loom").withColumn("path", F.struct("path", "page_id"))
+    return robots.fetch_schedule(a).select("page_id", "allowed", _long("fetch_at"))
+
+
+@query("select url as base_url, cast(i as bigint) as ord, regexp_extract(url, '^https://[^/?#]+') || '/' || i as link, true as same_domain from pages, range(2) r(i) where starts_with(url, 'https://')")
+def sitemap_links(spark, d):
+    body = F.lit("<urlset" + sitemap.NAMESPACE + "><url><loc>/0</loc></url><url><loc> /1 </loc></url></urlset>")
+    return sitemap.links(table(spark, d, "pages").select(F.col("url").alias("base_url"), body.alias("xml"))).select("base_url", _long("ord"), "link", "same_domain")
+
+
+EDGES = HOSTS + ", e as (select page_id as src, unnest([lead(page_id) over w, lead(page_id, 2) over w]) as dst from u window w as (partition by host order by page_id))"
+MAX_DEPTH = 8
+
+
+@query(
+    EDGES.replace("with u", "with recursive u")
+    + f""", r(page, depth) as (
+  select min(page_id), 0 from u group by host union select e.dst, r.depth + 1 from r join e on e.src = r.page where e.dst is not null and r.depth + 1 < {MAX_DEPTH})
+select page, cast(min(depth) as bigint) as depth from r group by page"""
+)
+def crawl_frontier(spark, d):
+    h = _hosts(spark, d)
+    w = Window.partitionBy("host").orderBy("page_id")
+    edges = h.select(F.col("page_id").alias("src"), F.explode(F.array(F.lead("page_id").over(w), F.lead("page_id", 2).over(w))).alias("dst"))
+    seeds = h.groupBy("host").agg(F.min("page_id").alias("page"))
+    return crawl.frontier(seeds, edges, MAX_DEPTH).select("page", _long("depth"))
+
+
+# ---------------------------------------------------------------- whole runs
+@query(PAGE_TOK + "select doc_id.doc_id as doc_id, count(*) as word_count, count(distinct term) as n_terms from idx group by all")
+def index_pages(spark, d):
+    x = I.build(table(spark, d, "pages").select(F.col("page_id").alias("doc_id"), "url"), _page_passages(spark, d))
+    n = x.postings.groupBy("doc_id").agg(F.count("*").alias("n_terms"))
+    return x.documents.join(n, "doc_id").select("doc_id", _long("word_count"), "n_terms")
+
+
+@query(PAGE_TOK + "select doc_id.doc_id as doc_id, count(*) as word_count from idx group by all")
+def stream_ingest_counts(spark, d):
+    """All pages as a stream, one micro-batch after the other, counted in the index they make."""
+    import os
+
+    from ..runtime import fresh_path
+    from ..streaming import ingest
+
+    ship(spark)
+    landing, store = fresh_path(spark, "landing"), fresh_path(spark, "store")
+    table(spark, d, "pages").write.parquet(os.path.join(landing))
+    ingest.ingest(spark, landing, store).awaitTermination()
+    by_url = ingest.snapshot(spark, store).documents.select("doc_id", "word_count")
+    pages = table(spark, d, "pages").select("page_id", F.hex(U.document_id(F.col("url"))).alias("doc_id"))
+    return pages.join(by_url, "doc_id").where("word_count > 0").select(F.col("page_id").alias("doc_id"), _long("word_count"))
+
+
+@query()
+def search_end_to_end(spark, d):
+    """Three queries over pages, one misspelt, with vectors and re-ranking."""
+    pages = table(spark, d, "pages").select(F.col("page_id").alias("doc_id"), "url")
+    p = _page_passages(spark, d)
+    vectors = html.full_text(p).select("doc_id", embedded(spark, F.col("text")).alias("word_vec"))
+    x = I.build(pages, p, vectors)
+    q = _terms(spark, QUERY_TEXT, "entino thing", "ha 2024 which")
+    qv = q.select("query_id", embedded(spark, F.col("text"))[0].alias("query_vec"))
+    weights = [1.0, -1.0, 0.2, 0.1, 0.5, 0.1, 0.0, 0.1, 0.1, 0.0]
+    return S.search(q, x, vectors=qv, weights=weights).select("query_id", _long("rank"), "doc_id", F.round("bm25", 6).alias("bm25"), F.round("cos", 6).alias("cos"))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """Ranked BM25 search with spelling correction over pages."""
+    pages = table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), "url")
+    x = I.build(pages, _page_passages(spark, sf_dir))
+    return S.search(_terms(spark, QUERY_TEXT), x, limit=10).select("query_id", "rank", "doc_id", "url", "bm25")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
