@@ -72,9 +72,10 @@ class Index:
 
 
 def build(documents: DataFrame, passages: DataFrame, vectors: DataFrame | None = None) -> Index:
-    """documents: doc_id, url. vectors: doc_id, word_vec (array<array<double>>). The tokens are computed once and stored."""
-    p = stored(T.positioned(passages), "index-tokens")
-    d = lengths(documents, p).join(documents.select("doc_id", "url"), "doc_id")
+    """documents: doc_id, url. vectors: doc_id, word_vec (array<array<double>>). Postings are computed once and stored; lengths are their sums."""
+    p = stored(postings(T.positioned(passages)), "index-postings")
+    n = p.groupBy("doc_id").agg(F.sum("tf").alias("n"))
+    d = documents.select("doc_id", "url").join(n, "doc_id", "left").select("doc_id", "url", F.coalesce("n", F.lit(0)).cast("int").alias("word_count"))
     if vectors is not None:
         d = d.join(vectors.select("doc_id", "word_vec"), "doc_id", "left")
-    return Index(d, postings(p), vocabulary(passages))
+    return Index(d, p, vocabulary(passages))

@@ -132,9 +132,7 @@ def postings(spark, d):
 # ---------------------------------------------------------------- ranking over documents
 def _index(spark, d) -> I.Index:
     docs = _docs(spark, d).select("doc_id", F.concat(F.lit("https://"), F.coalesce("source", F.lit("none")), F.lit(".example.org/"), F.col("doc_id").cast("string")).alias("url"), "text")
-    p = T.passages(docs)
-    pos = T.positioned(p)
-    return I.Index(I.lengths(docs, pos).join(docs.select("doc_id", "url"), "doc_id"), I.postings(pos), I.vocabulary(p))
+    return I.build(docs, T.passages(docs))
 
 
 def _terms(spark, *texts: str) -> DataFrame:
@@ -234,7 +232,10 @@ want as (select word, unnest(range(1, length(word) - 1)) as i from asked),
 cand as (
   select w.word, g.word as candidate, min(w.i) - 1 as pos, min(g.seen) as seen
   from want w join grams g on g.ngram = substr(w.word, w.i, 3) group by all),
-near as (select *, levenshtein(word, candidate) as distance from cand where abs(length(word) - length(candidate)) <= 2 and levenshtein(word, candidate) <= 2)"""
+-- its levenshtein counts bytes; the asked words are plain ASCII, so any other letter can be one byte
+near as (
+  select *, levenshtein(word, regexp_replace(candidate, '[^a-z0-9]', '#', 'g')) as distance from cand
+  where abs(length(word) - length(candidate)) <= 2 and levenshtein(word, regexp_replace(candidate, '[^a-z0-9]', '#', 'g')) <= 2)"""
 )
 
 
@@ -422,7 +423,7 @@ def chunk_mean_similarity(spark, d):
     return _compared(spark, d).groupBy("label").agg(F.count("*").alias("chunks"), F.round(F.avg("cos"), 6).alias("cos"), F.round(F.avg("dist"), 6).alias("dist"))
 
 
-@query(VEC + "select vec_id, trunc(cos * 100) / 100.0 as cos2, trunc(dist * 100) / 100.0 as dist2 from e")
+@query(VEC + "select vec_id, trunc(cos * 100) / 100.0 + 0 as cos2, trunc(dist * 100) / 100.0 + 0 as dist2 from e")
 def truncate_decimals(spark, d):
     return _compared(spark, d).select("vec_id", V.truncated(F.col("cos")).alias("cos2"), V.truncated(F.col("dist")).alias("dist2"))
 
@@ -502,7 +503,8 @@ select page, cast(min(depth) as bigint) as depth from r group by page"""
 def crawl_frontier(spark, d):
     h = _hosts(spark, d)
     w = Window.partitionBy("host").orderBy("page_id")
-    edges = h.select(F.col("page_id").alias("src"), F.explode(F.array(F.lead("page_id").over(w), F.lead("page_id", 2).over(w))).alias("dst"))
+    ahead = h.select(F.col("page_id").alias("src"), F.lead("page_id").over(w).alias("one"), F.lead("page_id", 2).over(w).alias("two"))
+    edges = ahead.select("src", F.explode(F.array("one", "two")).alias("dst"))
     seeds = h.groupBy("host").agg(F.min("page_id").alias("page"))
     return crawl.frontier(seeds, edges, MAX_DEPTH).select("page", _long("depth"))
 
