@@ -234,7 +234,7 @@ PATTERN = re.compile(
     rf"|(?P<ipv4>{_NUM}\d{{1,3}}(?:\.\d{{1,3}}){{3}}{_END})"
     rf"|(?P<date>{_NUM}(?:\d{{4}}([-/.])\d\d\5\d\d|\d\d([-/.])\d\d\6\d{{4}}){_END}|\b(?:{'|'.join(MONTHS)}) \d{{1,2}}, \d{{4}}\b)"
     r"|(?P<ssn>(?<![\w-])\d{3}[- ]\d{2}[- ]\d{4}(?![\w-]))"
-    r"|(?P<phone>(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}(?!\w)|(?<![\w(])\(\d{3}\)[ .-]?\d{3}[ .-]\d{4}(?!\w)|(?<![\w.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\w-]))"
+    r"|(?P<phone>(?<![\w+])\+1[ .-]?(?:\(\d{3}\)|\d{3})[ .-]?\d{3}[ .-]?\d{4}(?!\w)|(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}(?!\w)|(?<![\w(])\(\d{3}\)[ .-]?\d{3}[ .-]\d{4}(?!\w)|(?<![\w.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\w-]))"
     r"|(?P<card>(?<![\w-])\d(?:[ -]?\d){12,18}(?![\w-]))"
     r"|(?<=[\"'=: ])(?P<secret>[0-9a-f]{32,128}|[0-9A-F]{32,128})(?![0-9A-Za-z])"
 )
@@ -242,29 +242,47 @@ HAS = re.compile("[0-9@]")
 KINDS = {"email": email, "iban": iban, "ipv4": ipv4, "date": date, "ssn": ssn, "phone": phone, "card": card, "secret": secret}
 
 
+_CARD = re.compile(r"\d(?:[ -]?\d){12,18}")
+_PHONE = re.compile(r"\+[\d ().-]{6,}\d|\(\d{3}\)[ .-]?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4}")
+
+
+def _value(m: re.Match, key: bytes, back: bool) -> tuple[str, int, str] | None:
+    """(pseudonym, end, kind) of a match. A phone or card may have run into a number after it: then the longest valid part up to a separator counts."""
+    kind, text = m.lastgroup, m[0]
+    new = KINDS[kind](text, key, back)
+    if new is not None:
+        return new, m.end(), kind
+    if kind not in ("phone", "card", "ssn"):
+        return (new, m.end(), "card") if _CARD.fullmatch(text) and (new := card(text, key, back)) is not None else None
+    for end in [len(text), *(i for i in range(len(text) - 1, 0, -1) if text[i] in " .-")]:
+        part = text[:end]
+        for other, form in (("phone", _PHONE), ("card", _CARD)):
+            if form.fullmatch(part) and (new := KINDS[other](part, key, back)) is not None:
+                return new, m.start() + end, other
+    return None
+
+
 def rewrite(text: str, key: bytes = KEY, back: bool = False) -> tuple[str, dict[str, int]]:
     """The text with its personal values permuted, and how many of each kind there were."""
     found: dict[str, int] = {}
 
-    def sub(m: re.Match) -> str:
-        kind = m.lastgroup
-        new = KINDS[kind](m[0], key, back)
-        if new is None and kind == "phone" and (alone := re.match(r"\+\d{7,15}(?!\w)", m[0])):
-            # two numbers, of which the first has no separators
+    def rewritten(line: str) -> str:
+        out, last, pos = [], 0, 0
+        while m := PATTERN.search(line, pos):
+            got = _value(m, key, back)
+            if got is None:
+                # its last group may begin the next value
+                cut = max(m[0].rfind(c) for c in " -")
+                pos = m.start() + cut + 1 if cut > 0 and m.lastgroup in ("phone", "card") else m.end()
+                continue
+            new, end, kind = got
             found[kind] = found.get(kind, 0) + 1
-            return phone(alone[0], key, back) + PATTERN.sub(sub, m[0][alone.end() :])
-        if new is None:
-            if kind != "card":  # such digits can still be a card
-                alone = re.fullmatch(r"\d(?:[ -]?\d){12,18}", m[0])
-                new = card(m[0], key, back) if alone else None
-                kind = "card"
-            if new is None:
-                return m[0]
-        found[kind] = found.get(kind, 0) + 1
-        return new
+            out += [line[last : m.start()], new]
+            last = pos = end
+        return "".join(out) + line[last:] if out else line
 
     # no value spans lines, so lines without a digit or an at sign are left alone
-    return "\n".join(PATTERN.sub(sub, line) if HAS.search(line) else line for line in text.split("\n")), found
+    return "\n".join(rewritten(line) if HAS.search(line) else line for line in text.split("\n")), found
 
 
 RESULT = "struct<text:string,found:map<string,int>>"

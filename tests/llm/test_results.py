@@ -183,6 +183,13 @@ def test_pseudonyms_keep_the_format(kind):
     assert pii.rewrite(text, b"another key")[0] != new
 
 
+def test_neighbouring_values_are_told_apart():
+    phone, ip, card, day = "+1 (843) 555-7672", "170.106.47.218", "4111 1111 1111 1111", "1984-02-29"
+    alone = {v: pii.rewrite(v)[0] for v in (phone, ip, card, day)}
+    for a, b in itertools.permutations(alone, 2):
+        assert pii.rewrite(f"{a} {b}")[0] == f"{alone[a]} {alone[b]}", (a, b)
+
+
 def test_invalid_values_stay():
     for text in ("4111 1111 1111 1112", "300.1.2.3", "000-12-3456", "1999-02-30", "DE88 3704 0044 0532 0130 00", "version 1.2.3", "3.14159", "no numbers"):
         assert pii.rewrite(text) == (text, {})
