@@ -33,8 +33,9 @@ MIN_PAGES = 3  # a template needs so many pages
 SUPPORT = 0.6  # and its tokens so large a share of the host's pages
 
 HOST = r"^\s*(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?(\[[^\]/?#]*\]|[^/?#:]*)"
-_PART = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style)\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?[A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S | re.I)
+_PART = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style)\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?[A-Za-z][^\s/>]*)([^>\"']*(?:(?:\"[^\"]*\"|'[^']*')[^>\"']*)*)>|<[!?][^>]*>", re.S | re.I)
 _ATTRIBUTE = re.compile(r"(?:^|\s)(class|id)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+DEEP = 200  # characters of a path
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 ENDS = {"p": ("p",), "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 HOLDS = frozenset("html body table ul ol dl div article section nav main aside select header footer".split())
@@ -47,7 +48,6 @@ def _tag(name: str, rest: str) -> str:
     return name + "".join(f" {a}={v}" for a, v in named)
 
 
-@lru_cache(1 << 18)
 def role(path: str, token: str) -> int:
     """63 bits for a token in its path; odd for a tag, even for a word."""
     return xxhash.xxh64_intdigest(f"{path}\0{token}") >> 1 & ~1 | (token[0] == "<")
@@ -56,49 +56,94 @@ def role(path: str, token: str) -> int:
 def parts(page: str):
     """(path, tag token or None, text after the tag) in the order of the page. Comments, scripts and styles have no tokens."""
     stack: list[str] = []
-    at, path, tag = 0, "", None
+    paths = [""]
+    opened: dict[str, int] = {}  # how often each name is in the stack
+
+    def shut(k: int) -> None:
+        for x in stack[k:]:
+            opened[x] -= 1
+        del stack[k:], paths[k + 1 :]
+
+    at, tag = 0, None
     for m in _PART.finditer(page):
         name = m[2]
         if name is None:
             if m.start() > at:
-                yield path, tag, page[at : m.start()]
+                yield paths[-1], tag, page[at : m.start()]
                 tag = None
             at = m.end()
             continue
-        yield path, tag, page[at : m.start()]
+        if tag is not None or m.start() > at:
+            yield paths[-1], tag, page[at : m.start()]
         at = m.end()
         name = name.lower()
         if name[0] == "/":
-            if name[1:] in stack:
-                while stack.pop() != name[1:]:
-                    pass
-                path = "/".join(stack)
+            if opened.get(name[1:]):
+                k = len(stack) - 1
+                while stack[k] != name[1:]:
+                    k -= 1
+                shut(k)
             tag = "<" + name
         else:
-            for k in range(len(stack) - 1, -1, -1) if name in ENDS else ():
-                if stack[k] in ENDS[name]:
-                    del stack[k:]
-                    path = "/".join(stack)
-                    break
-                if stack[k] in HOLDS:
-                    break
-            tag = "<" + _tag(name, m[3])
-            if name not in VOID and not m[3].endswith("/"):
-                # a tag's own role is in its parent's path, which its first token after it need not repeat
-                yield path, tag, ""
+            rest = m[3]
+            if name in ENDS and any(opened.get(x) for x in ENDS[name]):
+                for k in range(len(stack) - 1, -1, -1):
+                    if stack[k] in ENDS[name]:
+                        shut(k)
+                        break
+                    if stack[k] in HOLDS:
+                        break
+            tag = "<" + (_tag(name, rest) if rest else name)
+            if name not in VOID and not rest.endswith("/"):
+                # a tag's role is in its parent's path, what follows it in its own
+                yield paths[-1], tag, ""
                 tag = None
                 stack.append(name)
-                path = "/".join(stack)
-    yield path, tag, page[at:]
+                opened[name] = opened.get(name, 0) + 1
+                path = f"{paths[-1]}/{name}"
+                # a deep path goes by its hash, so that a page of unclosed tags takes no more room than any other
+                paths.append(path if len(path) < DEEP else xxhash.xxh64_hexdigest(path))
+    yield paths[-1], tag, page[at:]
 
 
-def roles(page: str):
-    """The role of every token of the page."""
+def bags(page: str) -> dict[str, list[str]]:
+    """The tokens of the page by path."""
+    out: dict[str, list[str]] = {}
     for path, tag, text in parts(page):
-        if tag is not None:
-            yield role(path, tag)
-        for w in text.split():
-            yield role(path, w)
+        if tag is not None or text:
+            bag = out.setdefault(path, [])
+            if tag is not None:
+                bag.append(tag)
+            if text:
+                bag += text.split()
+    return out
+
+
+class Wanted:
+    """Some roles: by path and token, and the paths in which a word is one of them; other words are not looked at."""
+
+    def __init__(self, rows):
+        self.by_path: dict[str, dict[str, int]] = {}
+        for path, token, r in rows:
+            self.by_path.setdefault(path, {})[token] = r
+        self.with_words = {p for p, t in self.by_path.items() if any(x[0] != "<" for x in t)}
+
+    def __call__(self, page: str):
+        """(role or None, text before the next role) in the order of the page."""
+        for path, tag, text in parts(page):
+            r = self.by_path.get(path, {}).get(tag) if tag is not None else None
+            if text and path in self.with_words:
+                of, held = self.by_path[path], []
+                for w in text.split():
+                    x = of.get(w)
+                    if x is None:
+                        held.append(w)
+                    else:
+                        yield r, " ".join(held)
+                        r, held = x, []
+                yield r, " ".join(held)
+            elif r is not None or text:
+                yield r, text
 
 
 # ---------------------------------------------------------------- the passes
@@ -119,19 +164,21 @@ def _keyed(pages: DataFrame) -> DataFrame:
 def _candidates(pages: DataFrame) -> DataFrame:
     def run(batches):
         n: Counter = Counter()
-        seen: dict[str, Counter] = {}
+        seen: dict[str, dict[str, Counter]] = {}
 
         def of(host, _, text):
             n[host] += 1
-            seen.setdefault(host, Counter()).update(set(roles(text)))
+            mine = seen.setdefault(host, {})
+            for path, bag in bags(text).items():
+                mine.setdefault(path, Counter()).update(set(bag))
 
         _by_host(batches, of)
-        for host, c in seen.items():
+        for host, paths in seen.items():
             least = SUPPORT * n[host]
-            found = [r for r, k in c.items() if k >= least]
-            yield pa.RecordBatch.from_arrays([pa.array([host] * len(found), pa.string()), pa.array(found, pa.int64())], ["host", "role"])
+            found = [(path, token) for path, c in paths.items() for token, k in c.items() if k >= least]
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.string()) for x in ([host] * len(found), [p for p, _ in found], [t for _, t in found])], ["host", "path", "token"])
 
-    return pages.mapInArrow(run, "host string, role bigint").distinct()
+    return pages.mapInArrow(run, "host string, path string, token string").distinct()
 
 
 def _with(pages: DataFrame, rows: DataFrame, run, schema: str, columns=("host", "__page", "html")) -> DataFrame:
@@ -141,7 +188,7 @@ def _with(pages: DataFrame, rows: DataFrame, run, schema: str, columns=("host",
     """
     rows = stored(rows, "tp-table")
     size = rows.agg(F.coalesce(F.sum(F.size("t")), F.lit(0)).alias("n")).first()["n"]
-    if size * 48 <= BROADCAST_LIMIT:
+    if size * 160 <= BROADCAST_LIMIT:
         shared = pages.sparkSession.sparkContext.broadcast({r["host"]: [tuple(x) for x in r["t"]] for r in rows.collect()})
         return pages.select(*columns).mapInArrow(lambda batches: run(batches, lambda host, _: shared.value.get(host)), schema)
     joined = pages.join(rows, "host", "left").select(*columns, "t")
@@ -170,10 +217,16 @@ class Lookup:
 
 
 def _counts(pages: DataFrame, candidates: DataFrame, minimum: DataFrame) -> DataFrame:
-    """host, role, support, mark (of the occurrence vector) of the roles frequent in all pages."""
+    """host, path, token, role, class (of the occurrence vector) of the roles frequent in all pages."""
+
+    def by_path(rows):
+        out: dict[str, set[str]] = {}
+        for path, token in rows:
+            out.setdefault(path, set()).add(token)
+        return out
 
     def run(batches, lookup):
-        held = Lookup(lambda rows: {r for (r,) in rows})
+        held = Lookup(by_path)
         total: dict[tuple, list[int]] = {}
         for b in batches:
             for _, host, page, text, t in _rows_of(b):
@@ -181,22 +234,31 @@ def _counts(pages: DataFrame, candidates: DataFrame, minimum: DataFrame) -> Data
                 if rows is None:
                     continue
                 wanted = held(host, rows)
-                for r, n in Counter(roles(text)).items():
-                    if r in wanted:
-                        x = total.setdefault((host, r), [0, 0, 0])
+                marks: dict[int, tuple[int, int]] = {}
+                for path, bag in bags(text).items():
+                    mine = wanted.get(path)
+                    if mine is None:
+                        continue
+                    c = Counter(bag)
+                    for token in mine & c.keys():
+                        n = c[token]
+                        if n not in marks:
+                            h = xxhash.xxh64_intdigest(f"{page}:{n}")
+                            marks[n] = h & 0xFFFFFFFF, h >> 32  # sums of 32 bits fit a bigint for 2^31 pages
+                        x = total.setdefault((host, path, token), [0, 0, 0])
                         x[0] += 1
-                        h = xxhash.xxh3_128_intdigest(f"{page}:{n}")
-                        x[1] += h & 0xFFFFFFFF  # sums of 32 bits fit a bigint for 2^31 pages
-                        x[2] += h >> 32 & 0xFFFFFFFF
+                        x[1] += marks[n][0]
+                        x[2] += marks[n][1]
         keys = list(total)
         for i in range(0, len(keys), 1 << 16):
             k = keys[i : i + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.array([h for h, _ in k], pa.string()), pa.array([r for _, r in k], pa.int64()), *(pa.array([total[x][j] for x in k], pa.int64()) for j in range(3))], ["host", "role", "n", "m1", "m2"])
+            names = [pa.array([x[j] for x in k], pa.string()) for j in range(3)]
+            yield pa.RecordBatch.from_arrays([*names, *(pa.array([total[x][j] for x in k], pa.int64()) for j in range(3)), pa.array([role(p, t) for _, p, t in k], pa.int64())], ["host", "path", "token", "n", "m1", "m2", "role"])
 
-    per_host = candidates.groupBy("host").agg(F.collect_list(F.struct("role")).alias("t"))
-    counted = _with(pages, per_host, run, "host string, role bigint, n bigint, m1 bigint, m2 bigint")
-    sums = counted.groupBy("host", "role").agg(F.sum("n").alias("n"), F.sum("m1").alias("m1"), F.sum("m2").alias("m2"))
-    return sums.join(minimum, "host").where("n >= least").select("host", "role", F.xxhash64("n", "m1", "m2").alias("class"))
+    per_host = candidates.groupBy("host").agg(F.collect_list(F.struct("path", "token")).alias("t"))
+    counted = _with(pages, per_host, run, "host string, path string, token string, n bigint, m1 bigint, m2 bigint, role bigint")
+    sums = counted.groupBy("host", "path", "token", "role").agg(F.sum("n").alias("n"), F.sum("m1").alias("m1"), F.sum("m2").alias("m2"))
+    return sums.join(minimum, "host").where("n >= least").select("host", "path", "token", "role", F.xxhash64("n", "m1", "m2").alias("class"))
 
 
 def spans(found: list[tuple[int, int]], classes: dict[int, int]):
@@ -265,15 +327,11 @@ def spans(found: list[tuple[int, int]], classes: dict[int, int]):
     return {c: (ranks[c], parent[c], c in crossed) for c in by}
 
 
-def _places(page: str, wanted: dict[int, int]) -> list[tuple[int, int]]:
-    return [(r, i) for i, r in enumerate(roles(page)) if r in wanted]
-
-
 def _validated(pages: DataFrame, classes: DataFrame) -> DataFrame:
     """host, role, class, rank of the valid tokens of valid classes, and up, up_role: what their class is nested in (null: the page)."""
 
     def run(batches, lookup):
-        held = Lookup(dict)
+        held = Lookup(lambda rows: (Wanted([x[:3] for x in rows]), {r: c for _, _, r, c in rows}))
         token: dict[tuple, int | None] = {}
         nest: dict[tuple, tuple | None] = {}
         bad = (0, 0)
@@ -282,8 +340,8 @@ def _validated(pages: DataFrame, classes: DataFrame) -> DataFrame:
                 rows = lookup(host, t)
                 if rows is None:
                     continue
-                of = held(host, rows)
-                for c, (rank, up, crossed) in spans(_places(text, of), of).items():
+                wanted, of = held(host, rows)
+                for c, (rank, up, crossed) in spans([(r, i) for i, (r, _) in enumerate(wanted(text)) if r is not None], of).items():
                     for r, v in rank.items():
                         if token.setdefault((host, r), v) != v:
                             token[host, r] = None
@@ -296,7 +354,7 @@ def _validated(pages: DataFrame, classes: DataFrame) -> DataFrame:
             kinds = (pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(cols, kinds)], ["host", "kind", "key", "rank", "bad", "up", "up_role"])
 
-    per_host = classes.groupBy("host").agg(F.collect_list(F.struct("role", "class")).alias("t"))
+    per_host = classes.groupBy("host").agg(F.collect_list(F.struct("path", "token", "role", "class")).alias("t"))
     seen = stored(_with(pages, per_host, run, "host string, kind int, key bigint, rank bigint, bad boolean, up bigint, up_role bigint"), "tp-seen")
     tokens = seen.where("kind = 0").groupBy("host", F.col("key").alias("role")).agg(F.min("rank").alias("rank"), F.max("rank").alias("most"), F.bool_or("bad").alias("bad")).where("not bad and rank = most").select("host", "role", "rank")
     up = F.struct("up", "up_role")
@@ -308,7 +366,7 @@ def _validated(pages: DataFrame, classes: DataFrame) -> DataFrame:
 
 
 def deduced(pages: DataFrame) -> DataFrame:
-    """host, role, class, rank, up, up_role of the template tokens of every host with enough pages; stored."""
+    """host, path, token, role, class, rank, up, up_role of the template tokens of every host with enough pages; stored."""
     usable = _keyed(pages.select("page_id", "url", "html")).where("host is not null and length(html) > 0")
     ship(pages.sparkSession)
     n = usable.groupBy("host").agg(F.count("*").alias("n")).where(F.col("n") >= MIN_PAGES)
@@ -320,7 +378,7 @@ def deduced(pages: DataFrame) -> DataFrame:
     return stored(_validated(usable, classes), "tp-template")
 
 
-def slots_of(page: str, ranks: dict[int, tuple[int, int]]) -> tuple[int, list[tuple[str, str]]]:
+def slots_of(page: str, wanted: Wanted, ranks: dict[int, tuple[int, int]]) -> tuple[int, list[tuple[str, str]]]:
     """Number of template tokens on the page, and (slot, text) of each piece of text between them.
 
     ranks: role -> (number of its class, rank). A slot is named by the class and rank of the template token before it.
@@ -328,23 +386,18 @@ def slots_of(page: str, ranks: dict[int, tuple[int, int]]) -> tuple[int, list[tu
     n, name, out, held = 0, "", [], []
 
     def close():
-        if held:
-            out.append((name, entities.unescape(" ".join(held))))
-            held.clear()
+        text = " ".join(" ".join(held).split())
+        if text:
+            out.append((name, entities.unescape(text)))
+        held.clear()
 
-    for path, tag, text in parts(page):
-        if tag is not None and (x := ranks.get(role(path, tag))) is not None:
+    for r, text in wanted(page):
+        if r is not None:
             close()
             n += 1
-            name = f"{x[0]}.{x[1]}"
-        for w in text.split():
-            x = ranks.get(role(path, w))
-            if x is None:
-                held.append(w)
-            else:
-                close()
-                n += 1
-                name = f"{x[0]}.{x[1]}"
+            name = "{}.{}".format(*ranks[r])
+        if text:
+            held.append(text)
     close()
     return n, out
 
@@ -364,13 +417,13 @@ def extracted(pages: DataFrame, template: DataFrame | None = None) -> DataFrame:
 
     def table(rows):
         least: dict[int, int] = {}
-        for r, c, _ in rows:
+        for _, _, r, c, _ in rows:
             least[c] = min(r, least.get(c, r))
         number = {c: i for i, c in enumerate(sorted(least, key=least.get))}
-        return {r: (number[c], rank) for r, c, rank in rows}
+        return Wanted([x[:3] for x in rows]), {r: (number[c], rank) for _, _, r, c, rank in rows}
 
     def run(batches, lookup):
-        held = Lookup(table)
+        held, nothing = Lookup(table), Wanted([])
         for b in batches:
             n, slots, text = [], [], []
             for _, host, _, page, t in _rows_of(b):
@@ -378,12 +431,12 @@ def extracted(pages: DataFrame, template: DataFrame | None = None) -> DataFrame:
                     n.append(0), slots.append(None), text.append(None)
                     continue
                 rows = lookup(host, t) if host is not None else None
-                k, found = slots_of(page, held(host, rows) if rows else {})
+                k, found = slots_of(page, *(held(host, rows) if rows else (nothing, {})))
                 n.append(k)
                 slots.append([{"slot": s, "text": x} for s, x in found])
                 text.append("\n".join(x for _, x in found))
             yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("host"), pa.array(n, pa.int32()), pa.array(slots, kind), pa.array(text, pa.string())], ["page_id", "host", "n_template", "slots", "text"])
 
-    per_host = template.groupBy("host").agg(F.collect_list(F.struct("role", "class", "rank")).alias("t"))
+    per_host = template.groupBy("host").agg(F.collect_list(F.struct("path", "token", "role", "class", "rank")).alias("t"))
     schema = f"page_id {keyed.schema['page_id'].dataType.simpleString()}, host string, n_template int, slots array<struct<slot:string,text:string>>, text string"
     return _with(keyed, per_host, run, schema, ("page_id", "host", "__page", "html"))
