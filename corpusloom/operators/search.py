@@ -18,7 +18,12 @@ K1, B = 1.2, 0.75
 NO_MATCH = 9223372036854775807  # stands for "no proximity" where queries are ranked
 LIMIT = 100
 WIDTH = 10  # classes of the interleaved re-ranking
-MANY = 100_000  # query terms; more are not broadcast
+MANY = 100_000  # queries or query terms; tables of more are not broadcast
+
+
+def _few(n: int):
+    """A broadcast hint for tables made from n rows, if those are few; else none."""
+    return F.broadcast if n <= MANY else lambda df: df
 
 
 def idf(n_docs: Column, df: Column) -> Column:
@@ -36,11 +41,12 @@ def query_terms(queries: DataFrame, index: Index, correct: bool = True, mode: st
     w = Window.partitionBy("doc_id").orderBy("tok")
     t = t.select(F.col("doc_id").alias("query_id"), (F.row_number().over(w) - 1).alias("slot"), "token", "class", "term")
     if correct:
-        known = index.postings.join(F.broadcast(t.select("term").distinct()), "term", "left_semi").select("term").distinct()
+        few = _few(queries.count())
+        known = index.postings.join(few(t.select("term").distinct()), "term", "left_semi").select("term").distinct()
         unknown = t.where("class = 'WORD'").join(known, "term", "left_anti").select(F.col("token").alias("word")).distinct()
         fixed = spell.replacements(unknown, index.words, ngram, max_typo, mode).where("word <> replacement")
         fixed = with_stem(fixed.select(F.col("word").alias("token"), "replacement"), "replacement", "better").select("token", "better")
-        t = t.join(F.broadcast(fixed), "token", "left").withColumn("term", F.when(F.col("class") == "WORD", F.coalesce("better", "term")).otherwise(F.col("term")))
+        t = t.join(few(fixed), "token", "left").withColumn("term", F.when(F.col("class") == "WORD", F.coalesce("better", "term")).otherwise(F.col("term")))
     n = F.count("*").over(Window.partitionBy("query_id"))
     return t.select("query_id", "slot", "term", n.alias("n_slots"))
 
@@ -69,13 +75,13 @@ def features(terms: DataFrame, index: Index, vectors: DataFrame | None = None) -
 
     vectors: query_id, query_vec; without it, or without vectors of the documents, the vector features are null.
     """
-    some = F.broadcast(terms) if terms.count() <= MANY else terms
-    hits = index.postings.join(some, "term")
-    df = index.postings.join(F.broadcast(terms.select("term").distinct()), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
+    few = _few(terms.count())
+    hits = index.postings.join(few(terms), "term")
+    df = index.postings.join(few(terms.select("term").distinct()), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
     stats = F.broadcast(index.statistics())
     has_vec = "word_vec" in index.documents.columns and vectors is not None
     d = index.documents.select("doc_id", "url", "word_count", *(["word_vec"] if has_vec else []))
-    hits = hits.join(F.broadcast(df), "term").join(d.drop("word_vec"), "doc_id").crossJoin(stats)
+    hits = hits.join(few(df), "term").join(d.drop("word_vec"), "doc_id").crossJoin(stats)
     w = idf(F.col("n_docs"), F.col("df"))
     hits = hits.withColumn("idf", w).withColumn("score", bm25(F.col("idf"), F.col("tf"), F.col("word_count"), F.col("avg_len")))
     lists = F.transform(F.array_sort(F.collect_list(F.struct("slot", F.col("positions.i").alias("at")))), lambda x: x["at"])
@@ -85,7 +91,7 @@ def features(terms: DataFrame, index: Index, vectors: DataFrame | None = None) -
         F.bool_or(F.exists("positions", lambda p: p["type"] == "h")).alias("words_in_header"), lists.alias("lists"),
     )
     asked = terms.groupBy("query_id").agg(F.collect_list("term").alias("terms"))
-    f = f.join(F.broadcast(asked), "query_id")
+    f = f.join(few(asked), "query_id")
     in_url = words_in_url(F.col("url"), F.col("terms"))
     f = f.select(
         "query_id", "doc_id", "url", "word_count", "sum_token_in_package", "tf_idf", "bm25", (F.col("covered") / F.col("n_slots")).alias("query_coverage"),
@@ -94,7 +100,7 @@ def features(terms: DataFrame, index: Index, vectors: DataFrame | None = None) -
     )
     if not has_vec:
         return f.withColumns({"cos": F.lit(None).cast("double"), "euclid_dist": F.lit(None).cast("double")})
-    f = f.join(F.broadcast(vectors.select("query_id", "query_vec")), "query_id", "left").join(d.select("doc_id", "word_vec"), "doc_id")
+    f = f.join(few(vectors.select("query_id", "query_vec")), "query_id", "left").join(d.select("doc_id", "word_vec"), "doc_id")
     v, q = F.col("word_vec"), F.col("query_vec")
     return f.withColumn("cos", mean_over(v, q, cosine)).withColumn("euclid_dist", mean_over(v, q, euclid)).drop("word_vec", "query_vec")
 
@@ -108,7 +114,8 @@ def order() -> list[Column]:
 
 def ranked(featured: DataFrame, limit: int = LIMIT) -> DataFrame:
     """Adds rank (from 0) in each query and keeps the first ones; Spark cuts each partition to the limit before the shuffle."""
-    return featured.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order())) - 1).where(F.col("rank") < limit)
+    n = F.row_number().over(Window.partitionBy("query_id").orderBy(*order()))
+    return featured.withColumn("rank", n).where(F.col("rank") <= limit).withColumn("rank", F.col("rank") - 1)
 
 
 MODEL_COLUMNS = ("cos", "euclid_dist", "sum_token_in_package", "words_in_header", "query_coverage", "query_dencity", "term_proximity", "words_in_header", "log_len_words_in_url", "len_url")
