@@ -11,10 +11,10 @@ from pyspark.sql import functions as F
 
 from ..functions.words import STOP_WORDS, stem_sql, with_stem
 
-_OCTET = "(?:25[0-5]|2[0-4][0-9]|[01]?[0-9][0-9]?)"
-URL = r"https?://[a-zA-Z0-9.-]+(?:\.[a-zA-Z]{2,})+/?[^\s]*"
+_OCTET = r"(?:2[0-4]\d|25[0-5]|[01]?\d\d?)"
+URL = r"https?://[-.A-Za-z\d]+(?:\.[A-Za-z]{2,})+/?\S*"
 IPV4 = rf"\b{_OCTET}(?:\.{_OCTET}){{3}}\b"
-EMAIL = r"^[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}$"
+EMAIL = r"^[-+%._A-Za-z\d]+@[-.A-Za-z\d]+\.[A-Za-z]{2,}$"
 RUN = r"[\p{L}\p{Nd}]"
 PATTERN = rf"{IPV4}|{RUN}++"
 PATTERN_URL = rf"{URL}|{IPV4}|{RUN}+?(?={URL})|{RUN}++"  # for the texts that have a :// in them

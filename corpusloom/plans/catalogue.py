@@ -57,7 +57,7 @@ def tokenize_classes(spark, d):
 
 LINES = rf"""
 with lines as (select doc_id, unnest(ls) as text, generate_subscripts(ls, 1) - 1 as line from (select doc_id, string_split(text, chr(10)) as ls from documents)),
-mail as (select doc_id, line, text as token, 'EMAIL' as class from lines where regexp_full_match(text, '[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{{2,}}')),
+mail as (select doc_id, line, text as token, 'EMAIL' as class from lines where regexp_full_match(text, '[-+%._A-Za-z\d]+@[-.A-Za-z\d]+\.[A-Za-z]{{2,}}')),
 ip as (select doc_id, line, unnest(regexp_extract_all(text, '{T.IPV4}|{T.RUN}+')) as token, 'IPV4' as class from lines)
 select doc_id, line, token, class from mail union all select doc_id, line, token, class from ip where contains(token, '.')
 """
