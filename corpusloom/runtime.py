@@ -6,11 +6,12 @@ import os
 import tempfile
 import uuid
 import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-PACKAGE = os.path.dirname(os.path.abspath(__file__))
+PACKAGE = str(Path(__file__).resolve().parent)
 BROADCAST_LIMIT = 48 << 20  # bytes; a larger side is shuffled instead
 
 _shipped: set[str] = set()

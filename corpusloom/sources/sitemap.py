@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from ..functions.urls import absolute_url, same_origin
 from ..runtime import ship
 
-NAMESPACE = ' xmlns="http://www.sitemaps.org/schemas/sitemap/0.9"'
+PROTOCOL = "www.sitemaps.org"
+NAMESPACE = f' xmlns="http://{PROTOCOL}/schemas/sitemap/0.9"'
 
 
 def sitemap_url(url: Column) -> Column:
