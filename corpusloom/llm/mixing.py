@@ -19,7 +19,8 @@ from ..runtime import BROADCAST_LIMIT, stored
 BLOCK_TOKENS = 4096
 TEMPERATURE = 0.7  # weights without a target: the power of each source's share of the tokens
 SEED = "mix-1"
-DOCS_PER_BUCKET = 16_384
+DOCS_PER_BUCKET = 2_048  # documents that one task orders at a time
+CELL_DIGITS = 5  # hexadecimal digits of a document's hash that tell its cell; buckets are runs of cells
 POINT_BITS = 31
 STEP = 1327217885  # 2^31 over the golden ratio, odd
 CHUNK_BITS = 16
@@ -80,8 +81,8 @@ def mixed(docs: DataFrame, weights: dict | None = None, block_tokens: int = BLOC
     # every use of docs below reads it anew, so only narrow columns are kept of it until the text is placed
     d = docs.select("doc_id", "source", "text", F.regexp_count("text", F.lit(TOKEN)).cast("bigint").alias("n")).where("n > 0")
     d = d.withColumn("h", _order(seed))
-    fine = 1 << 14
-    cell = F.shiftright(F.conv(F.substring("h", 1, 6), 16, 10).cast("bigint"), 10)
+    fine = 16**CELL_DIGITS
+    cell = F.conv(F.substring("h", 1, CELL_DIGITS), 16, 10).cast("bigint")
     cells = stored(d.groupBy("source", cell.alias("cell")).agg(F.sum("n").alias("n"), F.count("*").alias("docs")), "mix-cells")
     stats = cells.groupBy("source").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs")).collect()  # a row for each weight
     names, blocks, points, count = plan({r["source"]: r["n"] for r in stats}, weights, block_tokens, slots)
