@@ -5,6 +5,10 @@ share, divided by the root of the product of their own numbers. Symbols are UTF-
 Latin-1 capitals; runs of ASCII other than letters are one blank. Landmarks span a Nystroem approximation of the kernel, and
 one ridge regression per language against the rest is fitted on it. As k(x, L) = X L' / norms, a batch is scored by the
 product X (L' A): the landmark factor is multiplied out once, on the driver.
+
+The targets of L languages sum to 2 - L in every row and the fit keeps that sum, so the best score of any text is at least
+2 / L - 1. Texts of no known language are told by two tests, both calibrated on the sample with the row itself left out: a best
+score nearer that floor than held-out rows have, and 3-grams that no landmark has.
 """
 
 from __future__ import annotations
@@ -23,7 +27,12 @@ from .common import slices, utf8
 SAMPLE_PER_LANGUAGE = 300  # bound of the labelled sample that the model is fitted on
 LANDMARKS_PER_LANGUAGE = 64
 RIDGE = 0.3
-MIN_SCORE = -0.6  # below it in every language, a text is rejected
+MIN_SCORE = -0.6  # below it in every language a text is rejected; the model's own bound is higher unless there are many languages
+CALIBRATION = 0.02  # quantile of the held-out rows of a language
+SCORE_SHARE = 0.5  # the least score lies so far from the floor to that quantile
+UNKNOWN_SHARE = 0.1  # unknown 3-grams that are allowed at least, and
+UNKNOWN_FREE = 16  # so many more (a name, a key), though not over half of a short text
+SHORT = 20  # a text of fewer 3-grams tells too little for the score test
 UNKNOWN = "und"
 A = 155  # symbols: blank, 26 letters, 128 high bytes
 
@@ -64,12 +73,21 @@ def grams(s: np.ndarray, doc: np.ndarray):
 N_CODES = A + A * A + A * A * A
 
 
+def odd_grams(raw: np.ndarray, offsets: np.ndarray, odd: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Occurrences of 3-grams in each text, and of those that are odd by their code."""
+    *_, (codes, doc) = grams(*symbols(raw, offsets))
+    n = len(offsets) - 1
+    return np.bincount(doc, minlength=n), np.bincount(doc[odd[codes]], minlength=n)
+
+
 @dataclass
 class Model:
     languages: list[str]
     columns: np.ndarray  # code -> column, the last column for a code that no landmark has
     weights: np.ndarray  # columns x languages, float32
     bias: np.ndarray
+    least: float = -np.inf  # a lower best score is rejected
+    unknown: float = 1.0  # share of 3-grams that may be unknown
 
     def presence(self, raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         width = len(self.weights)
@@ -80,6 +98,14 @@ class Model:
         x[:, -1] = 0
         return x
 
+    def rejected(self, raw: np.ndarray, offsets: np.ndarray, best: np.ndarray) -> np.ndarray:
+        """Which texts are of no known language, given their best scores."""
+        n, odd = np.zeros(len(best)), np.zeros(len(best))
+        for i, j in slices(offsets, 128, 1 << 20):
+            n[i:j], odd[i:j] = odd_grams(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], self.columns == len(self.weights) - 1)
+        share = self.unknown * n
+        return (odd > np.minimum(share + UNKNOWN_FREE, np.maximum(n / 2, share))) | ((n >= SHORT) & (best < self.least))
+
     def scores(self, raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Texts x languages; a text without a known n-gram scores -inf."""
         if not self.languages:
@@ -114,6 +140,7 @@ def fit(texts: list[str], langs: list[str]) -> Model:
     columns[codes] = np.arange(len(codes))
     blank = Model(names, columns, np.zeros((len(codes) + 1, 1), np.float32), np.zeros(1))
     x = blank.presence(raw, off)[:, :-1]
+    shared = x[marks].sum(0) > 1
     x = x / np.sqrt(np.maximum(x.sum(1), 1))[:, None]
     landmarks = x[marks]
     kmm = (landmarks @ landmarks.T).astype(np.float64)
@@ -124,9 +151,25 @@ def fit(texts: list[str], langs: list[str]) -> Model:
     y = np.where(np.array(langs)[:, None] == np.array(names)[None, :], 1.0, -1.0)
     mean, ybar = z.mean(0), y.mean(0)
     zc = z - mean
-    w = np.linalg.solve(zc.T @ zc + RIDGE * np.eye(z.shape[1]), zc.T @ (y - ybar))
+    inverse = np.linalg.inv(zc.T @ zc + RIDGE * np.eye(z.shape[1]))
+    w = inverse @ (zc.T @ (y - ybar))
     weights = np.vstack([landmarks.T.astype(np.float64) @ (root @ w), np.zeros((1, len(names)))])
-    return Model(names, columns, weights.astype(np.float32), ybar - mean @ w)
+    model = Model(names, columns, weights.astype(np.float32), ybar - mean @ w)
+    # each row as the fit without it scores it, and its 3-grams that no other text among the landmarks has
+    h = np.minimum(1 / len(y) + np.einsum("ij,jk,ik->i", zc, inverse, zc, optimize=True), 1 - 1e-6)[:, None]
+    best = ((zc @ w + ybar - h * y) / (1 - h)).max(1)
+    unseen = columns == len(codes)
+    n, odd = odd_grams(raw, off, unseen)
+    alone = unseen.copy()
+    alone[codes] = ~shared
+    odd[marks] = odd_grams(raw, off, alone)[1][marks]
+    of = [[i for i, g in enumerate(langs) if g == name and n[i] >= SHORT] for name in names]
+    if all(of):
+        floor = 2 / len(names) - 1
+        if len(names) > 1:
+            model.least = floor + SCORE_SHARE * (min(np.quantile(best[i], CALIBRATION) for i in of) - floor)
+        model.unknown = max(UNKNOWN_SHARE, 2 * max(np.quantile(odd[i] / n[i], 1 - CALIBRATION) for i in of))
+    return model
 
 
 def train(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> Model:
@@ -153,17 +196,18 @@ PREDICTION = T.StructType([T.StructField("lang", T.StringType()), T.StructField(
 def predictor(spark: SparkSession, model: Model, min_score: float = MIN_SCORE):
     """A column function: text -> (lang, score, margin to the second language)."""
     ship(spark)
-    shared = spark.sparkContext.broadcast((model.languages, model.columns, model.weights, model.bias, min_score))
+    shared = spark.sparkContext.broadcast((model, min_score))
 
     def run(text: pa.Array) -> pa.Array:
-        languages, columns, weights, bias, least = shared.value
-        m = Model(languages, columns, weights, bias)
-        y = m.scores(*utf8(text)).astype(np.float64)
+        m, least = shared.value
+        raw, off = utf8(text)
+        y = m.scores(raw, off).astype(np.float64)
         top = y.argmax(1)
         best = y[np.arange(len(y)), top]
         second = np.partition(y, -2, axis=1)[:, -2] if y.shape[1] > 1 else np.full(len(y), -np.inf)
         ok = np.isfinite(best) & (best >= least)
-        lang = pa.array([languages[t] if k else UNKNOWN for t, k in zip(top, ok)], pa.string())
+        ok[ok] = ~m.rejected(raw, off, best)[ok]
+        lang = pa.array([m.languages[t] if k else UNKNOWN for t, k in zip(top, ok)], pa.string())
         margin = np.where(np.isfinite(best) & np.isfinite(second), best - np.where(np.isfinite(second), second, 0), 0.0)
         score = pa.array(best, pa.float64(), mask=~np.isfinite(best))
         return pa.StructArray.from_arrays([lang, score, pa.array(margin, pa.float64())], ["lang", "score", "margin"])
@@ -175,7 +219,8 @@ def predictor(spark: SparkSession, model: Model, min_score: float = MIN_SCORE):
 def identify(docs: DataFrame, model: Model, min_score: float = MIN_SCORE) -> DataFrame:
     """doc_id, predicted language, score and margin of every row.
 
-    A null or empty text, and one without any letter that a landmark has, is "und" with a null score. Repeated rows
+    A null or empty text, and one without any letter that a landmark has, is "und" with a null score; a text of no
+    trained language is "und" with the score it has. Repeated rows
     are scored alike and all stay; whole texts are read whatever their length; of tied languages the first by name
     wins; other columns are ignored; an empty table gives an empty result.
     """

@@ -123,6 +123,24 @@ def test_language_accuracy_held_out(spark, small):
     assert np.mean([model.languages[i] == r["lang"] for i, r in zip(y.argmax(1), test)]) > 0.95
 
 
+@pytest.mark.parametrize("unseen", ["de", "en", "es", "fr"])
+def test_texts_of_no_trained_language_are_rejected(spark, unseen):
+    rng = random.Random(33)
+    d = table(spark, "/root/testdata/sf0.01", "documents").where("lang is not null and length(text) > 400").orderBy("doc_id").collect()
+    train, clean = [[r for r in d if r["lang"] != unseen][i::2] for i in (0, 1)]
+    letters = [" ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(2, 9))) for _ in range(rng.randint(4, 90))) for _ in range(100)]
+    other = [r["text"] for r in d if r["lang"] == unseen]
+    model = langid.fit([r["text"] for r in train], [r["lang"] for r in train])
+    texts = [("clean", r["text"]) for r in clean] + [("letters", t) for t in letters] + [("other", t) for t in other]
+    docs = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(texts)], "doc_id bigint, text string")
+    got = defaultdict(list)
+    for r in langid.identify(docs, model).collect():
+        got[texts[r["doc_id"]][0]].append(r["pred_lang"] == langid.UNKNOWN)
+    assert np.mean(got["letters"]) == 1 and np.mean(got["other"]) > 0.95 and np.mean(got["clean"]) < 0.01
+    kept = {r["doc_id"] for r in langid.accepted(docs, model).select("doc_id").collect()}
+    assert sum(texts[i][0] != "clean" for i in kept) < 0.05 * len(other) + 1
+
+
 # ---------------------------------------------------------------- 4
 def test_schedule_is_even_and_covers(spark):
     rng = random.Random(4)
