@@ -1,7 +1,8 @@
 """Near duplicates by improved consistent weighted sampling (ICWS) over TF-IDF shingles.
 
-Features are hashed pairs of neighbouring words (case folded, punctuation dropped) weighted tf x ln(1 + N / df); df is counted over all documents
-in a table of 2^20 cells, whatever the corpus size. A signature is K ICWS samples (feature, level), each equal between two documents with the
+Features are hashed pairs of neighbouring words (case folded, punctuation dropped) weighted tf x ln(1 + N / df); df is counted exactly, by
+shingle: texts are turned into chunks of features, each chunk asks the ranges of ids for the df of its own, and the answers go back to the
+chunk; nothing of it is gathered or broadcast. A signature is K ICWS samples (feature, level), each equal between two documents with the
 probability of their weighted Jaccard similarity; bands of R samples give the candidate buckets. Every pair of a bucket is verified
 by its exact weighted Jaccard, save those that verified pairs of the bucket join already; what is joined forms groups.
 Equal texts are one node from the start, so copies cost nothing twice.
@@ -9,6 +10,7 @@ Equal texts are one node from the start, so copies cost nothing twice.
 
 from __future__ import annotations
 
+import os
 from functools import lru_cache
 
 import numpy as np
@@ -22,7 +24,7 @@ from .components import components
 
 THRESHOLD = 0.6
 BANDS, ROWS = 12, 4
-DF_BITS = 20
+PARTS = 1024  # ranges of shingle ids that are counted apart
 CHUNK = 4096  # a larger bucket is verified in pairs of chunks of so many texts
 
 _U = np.uint64
@@ -93,52 +95,67 @@ def features(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return (code >> _U(32)).astype(np.int64), code.astype(np.uint32), tf.astype(np.uint32)
 
 
-def _cell(ids: np.ndarray) -> np.ndarray:
-    return (ids >> np.uint32(32 - DF_BITS)).astype(np.int64)
+def _binary(offsets: np.ndarray, values: np.ndarray) -> pa.Array:
+    """Binary values of an array of 4-byte numbers, cut at the offsets."""
+    return pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer((offsets * 4).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(values))])
 
 
-SLICE = 1 << 14
+def chunks(docs: DataFrame) -> DataFrame:
+    """node and text -> a row for about 1 MB of text: chunk, n (texts), nodes, size (features of each text), ids, tf."""
 
+    def run(batches):
+        for b in batches:
+            raw, off = utf8(b.column(1))
+            for i, j in slices(off, 2000, 1 << 20):
+                doc, ids, tf = features(raw[off[i] : off[j]], off[i : j + 1] - off[i])
+                size = np.bincount(doc, minlength=j - i).astype(np.uint32)
+                row = {"chunk": int.from_bytes(os.urandom(8), "big", signed=True), "n": j - i, "nodes": b"".join(b.column(0)[i:j].to_pylist()), "size": size.tobytes(), "ids": ids.tobytes(), "tf": tf.tobytes()}
+                yield pa.RecordBatch.from_pylist([row], _CHUNK)
 
-def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
-    """df of every cell over all texts, and the number of texts; partial tables are summed by slices of cells."""
-    ship(docs.sparkSession)
+    return docs.mapInArrow(run, "chunk bigint, n bigint, nodes binary, size binary, ids binary, tf binary")
 
-    def count(batches):
-        df, n = np.zeros(1 << DF_BITS, np.uint32), 0
-        for b in batches:
-            raw, off = utf8(b.column(0))
-            n += b.num_rows - b.column(0).null_count
-            for i, j in slices(off, 5000, 1 << 20):
-                _, ids, _ = features(raw[off[i] : off[j]], off[i : j + 1] - off[i])
-                df += np.bincount(_cell(ids), minlength=len(df)).astype(np.uint32)
-        if n:
-            parts = df.reshape(-1, SLICE)
-            yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary()), pa.array([n] + [0] * (len(parts) - 1), pa.int64())], ["part", "df", "n"])
-
-    def add(batches):
-        total: dict[int, list] = {}
+
+_CHUNK = pa.schema([("chunk", pa.int64()), ("n", pa.int64()), *((c, pa.binary()) for c in ("nodes", "size", "ids", "tf"))])
+
+
+def _ranked(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct ids in order, and where each of the ids is among them."""
+    order = np.argsort(ids)
+    ordered = ids[order]
+    first = np.ones(len(ids), bool)
+    first[1:] = ordered[1:] != ordered[:-1]
+    at = np.empty(len(ids), np.int64)
+    at[order] = np.cumsum(first) - 1
+    return ordered[first], at
+
+
+def document_frequencies(chunked: DataFrame) -> DataFrame:
+    """chunk, part, df: over all texts, of the distinct ids of a chunk that are in a part of the ids, in their order."""
+    width = (1 << 32) // PARTS
+
+    def ask(batches):
         for b in batches:
-            for part, df, n in zip(*(c.to_pylist() for c in b.columns)):
-                x = np.frombuffer(df, np.uint32 if len(df) == 4 * SLICE else np.uint64)
-                if part in total:
-                    total[part][0] += x
-                    total[part][1] += n
-                else:
-                    total[part] = [x.astype(np.uint64), n]
-        if total:
-            yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([t[0].tobytes() for t in total.values()], pa.binary()), pa.array([t[1] for t in total.values()], pa.int64())], ["part", "df", "n"])
+            for chunk, ids in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                own, at = _ranked(np.frombuffer(ids, np.uint32))
+                count = np.bincount(at, minlength=len(own)).astype(np.uint32)
+                cuts = np.searchsorted(own, np.arange(PARTS, dtype=np.uint32) * np.uint32(width))
+                cuts = np.append(cuts, len(own))
+                part = np.flatnonzero(np.diff(cuts))
+                cuts = np.append(cuts[part], len(own))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), chunk)), pa.array(part.astype(np.int32)), _binary(cuts, own), _binary(cuts, count)], ["chunk", "part", "ids", "count"])
+
+    def count(t: pa.Table) -> pa.Table:
+        raw, off = utf8(t.column("ids"))
+        ids = raw.view(np.uint32) % np.uint32(width)
+        df = np.bincount(ids, utf8(t.column("count"))[0].view(np.uint32))[ids].astype(np.uint32)
+        return pa.table([t.column("chunk"), t.column("part"), _binary(off // 4, df)], ["chunk", "part", "df"])
 
-    schema = "part int, df binary, n bigint"
-    rows = docs.select("text").mapInArrow(count, schema).repartition(16, "part").mapInArrow(add, schema).collect()
-    df = np.zeros(1 << DF_BITS, np.uint64)
-    for r in rows:
-        df[r["part"] * SLICE : (r["part"] + 1) * SLICE] += np.frombuffer(r["df"], np.uint64)
-    return df, sum(r["n"] for r in rows)
+    asked = chunked.select("chunk", "ids").mapInArrow(ask, "chunk bigint, part int, ids binary, count binary")
+    return asked.groupBy("part").applyInArrow(count, "chunk bigint, part int, df binary")
 
 
-def idf_table(df: np.ndarray, n: int) -> np.ndarray:
-    return np.log1p(max(n, 1) / np.maximum(df, 1)).astype(np.float32)
+def idf_of(df: np.ndarray, n: int) -> np.ndarray:
+    return np.log1p(n / df)
 
 
 @lru_cache(1)
@@ -190,26 +207,30 @@ def _node(text):
     return F.unhex(F.md5(text))
 
 
-def signed(docs: DataFrame, idf, bands: int, rows: int) -> DataFrame:
-    """doc_id, node (of equal texts), keys: the band keys, of every row with a text."""
-
-    def run(text: pa.Array) -> pa.Array:
-        table = idf.value
-        raw, off = utf8(text)
-        starts, values = np.zeros(len(text) + 1, np.int32), []
-        for i, j in slices(off, 2000, 512 << 10):
-            doc, ids, tf = features(raw[off[i] : off[j]], off[i : j + 1] - off[i])
-            if len(doc):
-                first = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
-                w = np.log(tf.astype(np.float32) * table[_cell(ids)])
-                values.append(band_keys(signatures(first, ids, w, bands * rows), bands, rows).ravel())
-                starts[i + doc[first] + 1] = bands
+def signed(chunked: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
+    """node (of equal texts), keys: the band keys, df: of its features in their order; a row for each text of the chunks."""
+
+    def sign(own: pa.Table, answers: pa.Table) -> pa.Table:
+        if not own.num_rows:
+            return pa.table([[], [], []], schema)
+        r = own.to_pylist()[0]
+        ids, tf, size = (np.frombuffer(r[c], np.uint32) for c in ("ids", "tf", "size"))
+        df = utf8(answers.sort_by("part").column("df"))[0].view(np.uint32)[_ranked(ids)[1]] if len(ids) else ids
+        off = np.concatenate([[0], np.cumsum(size, dtype=np.int64)])
+        w = np.log(tf * idf_of(df, n)).astype(np.float32)
+        values = []
+        for i, j in slices(off, 2000, 1 << 16):
+            a, b = off[i], off[j]
+            if a < b:
+                values.append(band_keys(signatures(off[i:j][size[i:j] > 0] - a, ids[a:b], w[a:b], bands * rows), bands, rows).ravel())
         flat = np.concatenate(values) if values else np.zeros(0, np.int64)
-        return pa.ListArray.from_arrays(pa.array(np.cumsum(starts).astype(np.int32)), pa.array(flat))
+        ends = np.concatenate([[0], np.cumsum(np.where(size > 0, bands, 0))]).astype(np.int32)
+        nodes = [r["nodes"][16 * i : 16 * i + 16] for i in range(len(size))]
+        return pa.table([pa.array(nodes, pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)), _binary(off, df)], schema)
 
-    run.__annotations__ = {"text": pa.Array, "return": pa.Array}
-    f = F.arrow_udf(run, "array<bigint>")
-    return docs.where("text is not null").select("doc_id", _node(F.col("text")).alias("node"), f(F.col("text")).alias("keys"))
+    schema = pa.schema([("node", pa.binary()), ("keys", pa.list_(pa.int64())), ("df", pa.binary())])
+    answers = document_frequencies(chunked)
+    return chunked.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(sign, "node binary, keys array<bigint>, df binary")
 
 
 def _with_features(docs: DataFrame) -> DataFrame:
@@ -227,13 +248,12 @@ def _with_features(docs: DataFrame) -> DataFrame:
 
 
 class Group:
-    """The texts of a bucket as one run of features."""
+    """The texts of a bucket as runs of features, each ids, tf and df; n: the number of all texts."""
 
-    def __init__(self, feats: list[bytes], idf: np.ndarray):
-        self.ids = [np.frombuffer(f, np.uint32, len(f) // 8) for f in feats]
-        self.tf = [np.frombuffer(f, np.uint32, len(f) // 8, len(f) // 2) for f in feats]
-        self.idf = idf
-        self.total = np.array([float((t * idf[_cell(i)].astype(np.float64)).sum()) for i, t in zip(self.ids, self.tf)])
+    def __init__(self, feats: list[bytes], n: int):
+        self.ids, self.tf, df = ([np.frombuffer(f, np.uint32, len(f) // 12, k * (len(f) // 3)) for f in feats] for k in range(3))
+        self.idf = [idf_of(d, n) for d in df]
+        self.total = np.array([float((t * v).sum()) for t, v in zip(self.tf, self.idf)])
 
     def similar(self, a: int, others: np.ndarray, threshold: float) -> np.ndarray:
         """Which of the others have a weighted Jaccard similarity to a of at least the threshold."""
@@ -242,11 +262,11 @@ class Group:
         ok = lo >= threshold * hi
         near = others[ok]
         if len(near):
-            ids, tf = np.concatenate([self.ids[o] for o in near]), np.concatenate([self.tf[o] for o in near])
+            ids, tf, idf = (np.concatenate([x[o] for o in near]) for x in (self.ids, self.tf, self.idf))
             size = np.array([len(self.ids[o]) for o in near])
             mine = self.ids[a]
             at = np.minimum(np.searchsorted(mine, ids), len(mine) - 1)
-            both = np.where(mine[at] == ids, np.minimum(self.tf[a][at], tf) * self.idf[_cell(ids)].astype(np.float64), 0.0)
+            both = np.where(mine[at] == ids, np.minimum(self.tf[a][at], tf) * idf, 0.0)
             shared = np.add.reduceat(both, np.concatenate([[0], np.cumsum(size)[:-1]]))
             ok[ok] = shared >= threshold * (self.total[a] + self.total[near] - shared)
         return ok
@@ -266,17 +286,16 @@ class Group:
         return out
 
 
-def verified_links(members: DataFrame, idf, threshold: float) -> DataFrame:
+def verified_links(members: DataFrame, n: int, threshold: float) -> DataFrame:
     """(key, node, feat) sorted by key -> the verified links (u, v) within each key."""
 
     def run(batches):
-        table = idf.value
         key, nodes, feats = None, [], []
         us, vs = [], []
 
         def close():
             if len(nodes) > 1:
-                for a, b in Group(feats, table).links(threshold):
+                for a, b in Group(feats, n).links(threshold):
                     us.append(nodes[a])
                     vs.append(nodes[b])
 
@@ -287,11 +306,11 @@ def verified_links(members: DataFrame, idf, threshold: float) -> DataFrame:
             return b
 
         for b in batches:
-            for k, n, f in zip(*(c.to_pylist() for c in b.columns)):
+            for k, node, f in zip(*(c.to_pylist() for c in b.columns)):
                 if k != key:
                     close()
                     key, nodes, feats = k, [], []
-                nodes.append(n)
+                nodes.append(node)
                 feats.append(f)
             if len(us) > 10_000:
                 yield drain()
@@ -308,9 +327,10 @@ def groups(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, ro
     """
     spark = docs.sparkSession
     ship(spark)
-    df, n = document_frequencies(docs)
-    idf = spark.sparkContext.broadcast(idf_table(df, n))
-    sig = stored(signed(docs, idf, bands, rows), "nd-sig")
+    named = docs.where("text is not null").withColumn("node", _node(F.col("text")))
+    chunked = stored(chunks(named.select("node", "text")), "nd-chunks")
+    n = chunked.agg(F.sum("n")).first()[0] or 0
+    sig = stored(signed(chunked, n, bands, rows), "nd-sig")
     keys = sig.groupBy("node").agg(F.first("keys").alias("keys")).select("node", F.explode("keys").alias("key"))
     # buckets of the same texts, as most bands of near copies give them, are verified once
     h1, h2 = F.xxhash64("node"), F.xxhash64(F.lit(7), "node")
@@ -318,16 +338,18 @@ def groups(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, ro
     kept = stored(sizes.groupBy("n", "f1", "f2").agg(F.min("key").alias("key")).select("key", "n"), "nd-buckets")
     members = stored(keys.join(checked_broadcast(kept, 24), "key"), "nd-members")
     involved = stored(members.select("node").distinct(), "nd-nodes")
-    texts = docs.where("text is not null").select(_node(F.col("text")).alias("node"), "text").join(checked_broadcast(involved, 40), "node", "left_semi")
-    feats = _with_features(texts).groupBy("node").agg(F.first("feat").alias("feat"))
+    some = checked_broadcast(involved, 40)
+    feats = _with_features(named.select("node", "text").join(some, "node", "left_semi")).groupBy("node").agg(F.first("feat").alias("feat"))
+    df = sig.select("node", "df").join(some, "node", "left_semi").groupBy("node").agg(F.first("df").alias("df"))
+    feats = feats.join(df, "node").select("node", F.concat("feat", "df").alias("feat"))
     # a bucket of c chunks becomes a key for each pair of chunks
     c = F.ceil(F.col("n") / chunk).cast("int")
     mine = F.pmod(F.xxhash64(F.lit(3), "node"), c).cast("int")
     pairs = F.when(c == 1, F.array(F.col("key"))).otherwise(F.transform(F.sequence(F.lit(0), c - 1), lambda o: F.xxhash64("key", F.least(o, mine), F.greatest(o, mine))))
     work = members.select("node", F.explode(pairs).alias("key")).join(feats, "node").select("key", "node", "feat")
-    links = verified_links(work.repartition("key").sortWithinPartitions("key", "node"), idf, threshold)
+    links = verified_links(work.repartition("key").sortWithinPartitions("key", "node"), n, threshold)
     roots = components(links)
-    named = sig.select("node", "doc_id").join(roots, "node", "left").withColumn("group", F.coalesce("root", "node"))
+    named = named.select("node", "doc_id").join(roots, "node", "left").withColumn("group", F.coalesce("root", "node"))
     w = Window.partitionBy("group")
     rank = F.row_number().over(w.orderBy(F.col("doc_id").asc_nulls_last(), "node"))
     return stored(named.select("node", "doc_id", "group", F.count("*").over(w).alias("group_size"), (rank == 1).alias("keep"), F.min("doc_id").over(w).alias("rep_id")), "nd-groups")

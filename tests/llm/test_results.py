@@ -12,6 +12,7 @@ import pytest
 
 from corpusloom.llm import components, cover_join, decontam, entries, langid, mixing, near_dup, ngram_lm, pii, templates, token_count, url_filter
 from corpusloom.llm.common import utf8
+from corpusloom import runtime
 from corpusloom.runtime import table
 
 WORDS = "alpha beta gamma delta omega river stone cloud forest winter summer engine letter window garden silver copper market harbor signal".split()
@@ -315,6 +316,32 @@ def test_near_duplicates_against_all_pairs(spark):
     assert all(root(i) == root(r) for i, r in got.items())
 
 
+def test_document_frequencies_are_exact(spark):
+    rng = random.Random(88)
+    texts = [" ".join(f"w{rng.randrange(30_000)}" for _ in range(rng.randint(0, 900))) for _ in range(6000)]
+    want = Counter()
+    feats = [near_dup.features(*utf8(pa.array([t])))[1] for t in texts]
+    for ids in feats:
+        want.update(ids.tolist())
+    named = spark.createDataFrame([(i.to_bytes(16, "big"), t) for i, t in enumerate(texts)], "node binary, text string")
+    chunked = runtime.stored(near_dup.chunks(named), "test-chunks")
+    got = {int.from_bytes(r["node"], "big"): np.frombuffer(r["df"], np.uint32) for r in near_dup.signed(chunked, len(texts), 2, 2).select("node", "df").collect()}
+    assert len(got) == len(texts) and len(want) > 2_000_000
+    assert all(got[i].tolist() == [want[x] for x in ids.tolist()] for i, ids in enumerate(feats))
+
+
+def test_similarity_does_not_fade_with_the_number_of_shingles(spark):
+    # 20 texts share a passage and have the rest alone; the other texts hold ten million shingles more
+    rng = np.random.default_rng(89)
+    own = lambda n: " ".join(f"w{x}" for x in rng.integers(0, 10**12, n).tolist())
+    passage = own(85)
+    texts = [f"{own(10)} {passage} {own(10)}" for _ in range(20)] + [own(4000) for _ in range(2500)]
+    exact = 84 * math.log1p(len(texts) / 20), 40 * math.log1p(len(texts))
+    assert exact[0] / sum(exact) < near_dup.THRESHOLD - 0.03
+    docs = spark.createDataFrame(pa.table({"doc_id": range(len(texts)), "text": texts})).repartition(8)
+    assert near_dup.near_duplicates(docs).where("group_size > 1").count() == 0
+
+
 def test_signatures_collide_with_the_similarity():
     rng = np.random.default_rng(8)
     ids = np.arange(400, dtype=np.uint32) * np.uint32(7919)
