@@ -17,6 +17,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -27,7 +28,8 @@ from .common import slices, utf8
 SAMPLE_PER_LANGUAGE = 300  # bound of the labelled sample that the model is fitted on
 LANDMARKS_PER_LANGUAGE = 64
 RIDGE = 0.3
-MIN_SCORE = -0.6  # below it in every language a text is rejected; the model's own bound is higher unless there are many languages
+SAMPLE_CHARS = 20_000  # of a longer text of the sample a run of so many, from a place told by its hash
+LANGUAGES = 256  # labels that are fitted: those with the most different texts
 CALIBRATION = 0.02  # quantile of the held-out rows of a language
 SCORE_SHARE = 0.5  # the least score lies so far from the floor to that quantile
 UNKNOWN_SHARE = 0.1  # unknown 3-grams that are allowed at least, and
@@ -122,8 +124,11 @@ class Model:
 
 
 def fit(texts: list[str], langs: list[str]) -> Model:
-    """Nystroem ridge regression, one language against the rest. Without texts the model rejects everything."""
-    order = sorted(range(len(texts)), key=lambda i: (langs[i], texts[i]))
+    """Nystroem ridge regression, one language against the rest. Without texts the model rejects everything.
+
+    The landmarks of a language are those of its texts with the lowest hashes.
+    """
+    order = sorted(range(len(texts)), key=lambda i: (langs[i], xxhash.xxh64_intdigest(texts[i]), texts[i]))
     texts, langs = [texts[i] for i in order], [langs[i] for i in order]
     names = sorted(set(langs))
     if not names:
@@ -173,27 +178,31 @@ def fit(texts: list[str], langs: list[str]) -> Model:
 
 
 def train(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> Model:
-    """Fit on at most per_language rows of each value of lang: those whose text hashes lowest. Rows without text or lang are left out."""
-    usable = docs.select("lang", "text").where("lang is not null and length(trim(text)) > 0")
-    h = F.xxhash64("text")
-    n = usable.groupBy("lang").count().collect()
+    """Fit on at most per_language different texts of each value of lang: those that hash lowest.
+
+    Rows without text or lang are left out; repeated rows count once, so copies crowd out no language; of texts over SAMPLE_CHARS a run is
+    taken. Of more than LANGUAGES labels those with fewer texts are not fitted (of tied ones the later by name): the model, all of
+    it at the driver, is bounded so. An empty table gives a model that rejects everything.
+    """
+    usable = docs.select("lang", "text").where("lang is not null and length(trim(text)) > 0").withColumn("h", F.xxhash64("text"))
+    n = usable.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
     if not n:
         return fit([], [])
-    rows = []
-    # a hash limit that leaves few more rows than are wanted, so that only those reach the driver
-    share = {r["lang"]: min(1.0, 4.0 * per_language / r["count"] + 1e-9) for r in n}
+    # a hash limit that leaves few more texts than are wanted, so that only those are gathered
+    share = {r["lang"]: min(1.0, 4.0 * per_language / r["n"] + 1e-9) for r in n}
     limit = F.create_map(*[x for k, v in share.items() for x in (F.lit(k), F.lit(min(int(v * 2.0**64) - 2**63, 2**63 - 1)))])
-    near = usable.withColumn("h", h).where(F.col("h") <= limit[F.col("lang")])
+    near = usable.where(F.col("h") <= limit[F.col("lang")])
+    over = F.length("text") - SAMPLE_CHARS
+    near = near.withColumn("text", F.when(over > 0, F.substring(F.col("text"), (F.pmod("h", over) + 1).cast("int"), F.lit(SAMPLE_CHARS))).otherwise(F.col("text")))
     best = near.groupBy("lang").agg(F.slice(F.sort_array(F.collect_set(F.struct("h", "text"))), 1, per_language).alias("s"))
-    for r in best.collect():
-        rows += [(x["text"], r["lang"]) for x in r["s"]]
+    rows = [(x["text"], r["lang"]) for r in best.collect() for x in r["s"]]
     return fit([t for t, _ in rows], [g for _, g in rows])
 
 
 PREDICTION = T.StructType([T.StructField("lang", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("margin", T.DoubleType())])
 
 
-def predictor(spark: SparkSession, model: Model, min_score: float = MIN_SCORE):
+def predictor(spark: SparkSession, model: Model, min_score: float = -np.inf):
     """A column function: text -> (lang, score, margin to the second language)."""
     ship(spark)
     shared = spark.sparkContext.broadcast((model, min_score))
@@ -216,11 +225,11 @@ def predictor(spark: SparkSession, model: Model, min_score: float = MIN_SCORE):
     return F.arrow_udf(run, PREDICTION)
 
 
-def identify(docs: DataFrame, model: Model, min_score: float = MIN_SCORE) -> DataFrame:
+def identify(docs: DataFrame, model: Model, min_score: float = -np.inf) -> DataFrame:
     """doc_id, predicted language, score and margin of every row.
 
     A null or empty text, and one without any letter that a landmark has, is "und" with a null score; a text of no
-    trained language is "und" with the score it has. Repeated rows
+    trained language is "und" with the score it has; so is any whose score is under min_score, if that is given. Repeated rows
     are scored alike and all stay; whole texts are read whatever their length; of tied languages the first by name
     wins; other columns are ignored; an empty table gives an empty result.
     """
@@ -229,7 +238,10 @@ def identify(docs: DataFrame, model: Model, min_score: float = MIN_SCORE) -> Dat
     return p.select("doc_id", F.col("p.lang").alias("pred_lang"), F.col("p.score").alias("score"), F.col("p.margin").alias("margin"))
 
 
-def accepted(docs: DataFrame, model: Model, min_score: float = MIN_SCORE) -> DataFrame:
-    """The rows, with their columns as they were, whose language some classifier claims."""
+def accepted(docs: DataFrame, model: Model, min_score: float = -np.inf) -> DataFrame:
+    """The rows, with their columns as they were, whose language some classifier claims: those that identify doesn't call "und".
+
+    Rows with a null or empty text, or without letters, go; repeated rows stay or go together; whole texts are read; an empty table stays empty.
+    """
     f = predictor(docs.sparkSession, model, min_score)
     return docs.withColumn("__loom_lid", f(F.col("text"))).where(F.col("__loom_lid.lang") != UNKNOWN).drop("__loom_lid")

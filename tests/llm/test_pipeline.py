@@ -36,6 +36,9 @@ def made(spark, tmp_path_factory):
         x = items[i][1]
         docs.append(("en", f"{prose('en', 40)} {x[:20] + 'q' + x[21:]} {prose('en', 40)}"))  # leaks, one letter changed
     docs += [("en", prose("en", 40) + f" call +1 (555) 010-{1000 + i} or write to person{i}@mail.example.org") for i in range(4)]
+    # of no trained language, under no label or a wrong one that has too few texts to be learnt
+    strange = ["właśnie dzisiaj przyszedł list z krakowa który zawierał wszystkie potrzebne wiadomości dotyczące naszej wspólnej podróży w góry", "сегодня утром мы получили письмо из москвы о нашей поездке в горы зимой", "xq zvkw qjj wxzq kkvj zqx vwq jxk qzz wvk xjq kqz vxw zjq wqk"]
+    docs += [(None, t * 3) for t in strange]
     docs += [("en", "1234 ---- 5678"), ("fr", ""), (None, None), (None, "!!")]
     rows = [(i, t, lang, rng.choice(["web", "web", "books"]), None if t is None else len(t)) for i, (lang, t) in enumerate(docs)]
     d = tmp_path_factory.mktemp("sf")
@@ -48,8 +51,9 @@ def expected(rows, items):
     """doc_id -> text after every stage but the mixture."""
     usable = [r for r in rows if r[1] and r[1].strip() and r[2]]
     model = langid.fit([r[1] for r in usable], [r[2] for r in usable])
-    scores = model.scores(*utf8(pa.array([r[1] or "" for r in rows]))).max(1)
-    stay = [r for r, s in zip(rows, scores) if np.isfinite(s) and s >= langid.MIN_SCORE]
+    raw = utf8(pa.array([r[1] or "" for r in rows]))
+    scores = model.scores(*raw).max(1)
+    stay = [r for r, s, bad in zip(rows, scores, model.rejected(*raw, scores)) if np.isfinite(s) and not bad]
     texts = [near(r[1]) for r in stay]
     sim = weighted_jaccard(None, texts)
     parent = list(range(len(stay)))
@@ -84,6 +88,7 @@ def test_pipeline(spark, made):
         if r["epoch"] == 0:
             pieces[r["doc_id"], r["source"]].append((r["token_from"], r["text"]))
     assert {k[0]: ("".join(t for _, t in sorted(p)), k[1]) for k, p in pieces.items()} == want
+    assert not any(w in t for t, _ in want.values() for w in ("krakowa", "москвы", "zvkw"))
     assert 80 < len(want) < len(rows) - 15 and not any("mail.example.org" in t and f"person{i}@" in t for t, _ in want.values() for i in range(4))
     assert len({r["slot"] for r in got}) == len(size) and max(size.values()) <= 4096 and math.isfinite(sum(size.values()))
 

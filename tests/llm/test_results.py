@@ -142,7 +142,57 @@ def test_texts_of_no_trained_language_are_rejected(spark, unseen):
     assert sum(texts[i][0] != "clean" for i in kept) < 0.05 * len(other) + 1
 
 
+def test_copies_crowd_out_no_language(spark):
+    many = [(f"bonjour le chat est sur la table {w}", "fr") for w in WORDS[:5]] * 4000 + [(f"the cat of the house {a} {b}", "en") for a in WORDS for b in WORDS]
+    docs = spark.createDataFrame([(i, t, g) for i, (t, g) in enumerate(many)], "doc_id bigint, text string, lang string")
+    # 200,000 rows of five texts
+    docs = docs.unionByName(docs.where("lang = 'fr'").crossJoin(spark.range(9)).drop("id"))
+    model = langid.train(docs)
+    assert model.languages == ["en", "fr"]
+    top = model.scores(*utf8(pa.array(["le chat est sur la table", "the cat of the house"]))).argmax(1)
+    assert [model.languages[i] for i in top] == ["fr", "en"]
+
+
+def test_tied_languages_take_the_first_name_and_long_texts_train(spark):
+    rows = [("same words in either", g) for g in ("b", "a")] + [("a" * 5 + " different text " * 20_000, "a")]
+    docs = spark.createDataFrame([(i, t, g) for i, (t, g) in enumerate(rows)], "doc_id bigint, text string, lang string")
+    model = langid.train(docs.where("doc_id < 2"))
+    assert {r["pred_lang"] for r in langid.identify(docs.where("doc_id < 2"), model).collect()} <= {"a", langid.UNKNOWN}
+    assert langid.train(docs).languages == ["a", "b"]
+
+
 # ---------------------------------------------------------------- 4
+@pytest.mark.parametrize("totals", [{"a": 10**9, "b": 10}, {"a": 5 * 10**8, "b": 10**6, "c": 100}, {"a": 10**14, "b": 1}, {None: 1, "x": 1}])
+def test_tiny_sources_make_no_other_repeat(totals):
+    names, blocks, points, slots, reached = mixing.plan(totals)
+    assert set(names) == set(totals) and slots + sum(blocks) - sum(reached) <= 1.05 * sum(blocks) + len(names)
+    assert all(0 <= r <= b for r, b in zip(reached, blocks)) and sorted(set(points)) == points
+
+
+def test_counts_of_points_against_a_loop():
+    points = [i * mixing.STEP % (1 << mixing.POINT_BITS) for i in range(5000)]
+    for n in (0, 1, 17, 5000):
+        for upto in (0, 1, 10**6, 1 << 30, 1 << mixing.POINT_BITS):
+            assert mixing._held(n, upto) == sum(p < upto for p in points[:n])
+
+
+@pytest.mark.parametrize("weights", [None, {"a": 1.0, "b": 1e-10}, {"a": 1e-10, "b": 1.0}])
+def test_every_block_is_placed_whatever_the_weights(spark, weights):
+    rng = random.Random(44)
+    rows = [(i, prose(rng, 50), "a") for i in range(100)] + [(100 + i, prose(rng, 5), "b") for i in range(20)]
+    got = mixing.mixed(spark.createDataFrame(rows, "doc_id bigint, text string, source string"), weights, block_tokens=40).collect()
+    assert {r["doc_id"] for r in got if r["epoch"] == 0} == set(range(120))
+    slots = {r["slot"]: (r["source"], r["epoch"], r["block"]) for r in got}
+    assert sorted(slots) == list(range(len(slots))) and len(set(slots.values())) == len(slots)
+    assert len(slots) <= (mixing.REPEAT + 1) * 128
+
+
+def test_a_source_for_each_document(spark):
+    rows = [(i, "some words", f"s{i:03d}") for i in range(300)]
+    got = mixing.mixed(spark.createDataFrame(rows, "doc_id bigint, text string, source string"), block_tokens=2).collect()
+    assert {r["doc_id"] for r in got} == set(range(300)) and len({r["slot"] for r in got}) == len(got)
+
+
 def test_schedule_is_even_and_covers(spark):
     rng = random.Random(4)
     rows = [(i, prose(rng, rng.randint(1, 400)), rng.choice(["a", "a", "a", "b", None])) for i in range(300)]
@@ -151,7 +201,7 @@ def test_schedule_is_even_and_covers(spark):
     total = Counter()
     for _, t, s in rows:
         total[s] += len(t.split())
-    names, blocks, points, slots = mixing.plan(total, block_tokens=500)
+    names, blocks, points, slots, reached = mixing.plan(total, block_tokens=500)
     # every document's pieces of epoch 0 are its text
     pieces = defaultdict(list)
     for r in got:
@@ -170,6 +220,7 @@ def test_schedule_is_even_and_covers(spark):
         held = np.cumsum([r["src"] == src for r in s])
         assert np.abs(held - weight * np.arange(1, len(s) + 1)).max() < 4
         assert [r["rank"] for r in s if r["src"] == src] == list(range(int(held[-1])))
+        assert reached[src] == min(blocks[src], int(held[-1]))
     for r in s[:50]:
         point = r["slot"] * mixing.STEP % (1 << mixing.POINT_BITS)
         assert edges[r["src"]] <= point < edges[r["src"] + 1]
