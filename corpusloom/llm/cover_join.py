@@ -1,12 +1,15 @@
-"""Exact threshold pairs of embeddings by dual traversal of cover trees.
+"""Exact threshold links of embeddings by dual traversal of cover trees.
 
 Vectors are compared on the unit sphere, where a cosine of at least t is a distance of at most sqrt(2 - 2t). Equal vectors
-are one point. Points go to the nearest of some pivots, and the points of a cell (a large one in parts) form a cover tree: the children
+are one point, with the number of its copies. Points go to the nearest of some pivots (those of a large cell again, to pivots of its
+own), and the points of a cell form a cover tree: the children
 of a node of level i are centres that cover its points within 2^-(i+1), the node's own centre among them; levels at which a
 node has one child only are left out. Each node keeps its covering radius, the distance to its farthest
 descendant. Two trees are walked together from their roots: a pair of nodes is pruned if its centres lie farther apart than the two
 covering radii and the threshold together, else their children are paired; pairs of leaves that are left are verified in double
-precision. The roots' own balls prune pairs of trees before anything is sent.
+precision. A pair of nodes all of whose points must be within the threshold is counted as it is, without its pairs. The roots' own balls prune pairs
+of trees before anything is sent. Each pair of trees gives the number of links of its points and a spanning forest of
+them, never more rows than points.
 
 No index prunes much where all points are about equally far apart; there the cost is that of all pairs of points,
 as matrix products. Where points cluster, or lie near a surface of few dimensions, most pairs of nodes go at the top.
@@ -19,10 +22,11 @@ from math import ceil, sqrt
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import ship, stored
+from ..runtime import BROADCAST_LIMIT, checked_broadcast, ship, stored
+from .components import components
 
 THRESHOLD = 0.95
 CELL = 4096  # points to a tree, or 8 times the root of their number if that is more
@@ -48,15 +52,15 @@ def _far(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 class CoverTree:
     """Nodes by number, the root 0, with their centre (a point), covering radius, and first child and number of children."""
 
-    NAMES = ("points", "centre", "radius", "first", "count", "id_end", "ids")
+    NAMES = ("points", "centre", "radius", "first", "count", "rep", "copies", "key")
 
-    def __init__(self, points, centre, radius, first, count, id_end, ids):
+    def __init__(self, points, centre, radius, first, count, rep, copies, key):
         self.points, self.centre, self.radius, self.first, self.count = points, centre, radius, first, count
-        self.id_end, self.ids = id_end, ids  # the ids of point i are ids[id_end[i - 1] : id_end[i]]
+        self.rep, self.copies, self.key = rep, copies, key  # of each point its least id, its number of rows and 16 bytes that name it
         self.at = unit(points) if len(points) else points
 
     @classmethod
-    def build(cls, points: np.ndarray, id_end: np.ndarray, ids: np.ndarray) -> CoverTree:
+    def build(cls, points: np.ndarray, rep: np.ndarray, copies: np.ndarray, key: np.ndarray) -> CoverTree:
         x = unit(points)
         centre, radius, first, count = [0], [0.0], [0], [0]
         todo = [(0, np.arange(len(x)), 0)]
@@ -82,7 +86,28 @@ class CoverTree:
                 radius.append(0.0)
                 first.append(0)
                 count.append(0)
-        return cls(points, np.array(centre), np.array(radius, np.float32), np.array(first), np.array(count), id_end, ids)
+        return cls(points, np.array(centre), np.array(radius, np.float32), np.array(first), np.array(count), rep, copies, key)
+
+    def leaves(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The points in the order of the leaves, and of each node the range of its own there."""
+        if not hasattr(self, "_leaves"):
+            order, lo, hi = np.empty(len(self.points), np.int64), np.zeros(len(self.centre), np.int64), np.zeros(len(self.centre), np.int64)
+            n, todo = 0, [(0, False)]
+            first, count, centre = self.first.tolist(), self.count.tolist(), self.centre.tolist()
+            while todo:
+                node, seen = todo.pop()
+                if seen:
+                    hi[node] = n
+                elif not count[node]:
+                    lo[node], order[n] = n, centre[node]
+                    n += 1
+                    hi[node] = n
+                else:
+                    lo[node] = n
+                    todo.append((node, True))
+                    todo += [(c, False) for c in range(first[node], first[node] + count[node])]
+            self._leaves = order, lo, hi
+        return self._leaves
 
     def to_bytes(self) -> bytes:
         f = io.BytesIO()
@@ -94,9 +119,6 @@ class CoverTree:
         with np.load(io.BytesIO(data)) as z:
             return cls(*(z[n] for n in cls.NAMES))
 
-    def ids_of(self, point: int) -> np.ndarray:
-        return self.ids[self.id_end[point - 1] if point else 0 : self.id_end[point]]
-
 
 def _cover(x: np.ndarray, members: np.ndarray, radius: float) -> tuple[list[int], list[np.ndarray]]:
     """Centres among the members, the first one included, more than radius apart, and the members nearest to each."""
@@ -129,10 +151,15 @@ def _cover(x: np.ndarray, members: np.ndarray, radius: float) -> tuple[list[int]
     return heads, [parts[h] for h in heads]
 
 
-def close_points(a: CoverTree, b: CoverTree, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Points of a, points of b and their similarity, of all pairs of at least the threshold; of a tree with itself each pair once."""
+def close_points(a: CoverTree, b: CoverTree, threshold: float, whole: list | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Points of a, points of b and their similarity, of all pairs of at least the threshold; of a tree with itself each pair once.
+
+    Given a list whole, pairs of nodes all of whose points are as near go there instead, as two arrays of nodes; of a node with
+    itself all pairs of its points are meant.
+    """
     same = a is b
     eps = sqrt(max(0.0, 2 - 2 * threshold)) + SLACK
+    sure = np.float32(eps - 2 * SLACK if whole is not None else -1)
     i, j = np.zeros(1, np.int64), np.zeros(1, np.int64)
     found: list[tuple[np.ndarray, np.ndarray]] = []
     if same and not a.count[0]:
@@ -146,7 +173,11 @@ def close_points(a: CoverTree, b: CoverTree, threshold: float) -> tuple[np.ndarr
         big = ci * cj > BLOCK
         next_i, next_j = [], []
 
-        def keep(u, v):
+        def keep(u, v, far):
+            inside = far + a.radius[u] + b.radius[v] <= sure
+            if inside.any():
+                whole.append((u[inside], v[inside]))
+                u, v = u[~inside], v[~inside]
             leaf = (a.count[u] == 0) & (b.count[v] == 0)
             if leaf.any():
                 found.append((a.centre[u[leaf]], b.centre[v[leaf]]))
@@ -158,13 +189,13 @@ def close_points(a: CoverTree, b: CoverTree, threshold: float) -> tuple[np.ndarr
             xv, rv = b.at[b.centre[v]], b.radius[v] + np.float32(eps)
             for s in range(0, len(u), BLOCK):
                 w = u[s : s + BLOCK]
-                near = _far(a.at[a.centre[w]], xv) <= a.radius[w][:, None] + rv[None]
-                p, q = np.nonzero(near)
-                p, q = w[p], v[q]
+                far = _far(a.at[a.centre[w]], xv)
+                p, q = np.nonzero(far <= a.radius[w][:, None] + rv[None])
+                far, p, q = far[p, q], w[p], v[q]
                 if same and i[k] == j[k]:
                     ok = (p < q) | ((p == q) & (a.count[p] > 0))
-                    p, q = p[ok], q[ok]
-                keep(p, q)
+                    far, p, q = np.where(p == q, 0, far)[ok], p[ok], q[ok]
+                keep(p, q, far)
         small = np.flatnonzero(~big)
         for s in range(0, len(small), 4096):
             k = small[s : s + 4096]
@@ -180,8 +211,11 @@ def close_points(a: CoverTree, b: CoverTree, threshold: float) -> tuple[np.ndarr
             for t in range(0, len(u), 1 << 16):
                 p, q = u[t : t + (1 << 16)], v[t : t + (1 << 16)]
                 dot = np.einsum("ij,ij->i", a.at[a.centre[p]], b.at[b.centre[q]])
-                near = np.sqrt(np.maximum(2 - 2 * dot, 0)) <= a.radius[p] + b.radius[q] + np.float32(eps)
-                keep(p[near], q[near])
+                far = np.sqrt(np.maximum(2 - 2 * dot, 0))
+                if same:
+                    far[p == q] = 0
+                near = far <= a.radius[p] + b.radius[q] + np.float32(eps)
+                keep(p[near], q[near], far[near])
         i = np.concatenate(next_i) if next_i else np.zeros(0, np.int64)
         j = np.concatenate(next_j) if next_j else np.zeros(0, np.int64)
     if not found:
@@ -195,65 +229,157 @@ def close_points(a: CoverTree, b: CoverTree, threshold: float) -> tuple[np.ndarr
     return p[ok], q[ok], np.minimum(sim[ok], 1.0)
 
 
+def _roots(n: int, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """The least number of the component of each of n points that the edges join."""
+    root = np.arange(n)
+    while True:
+        new = root.copy()
+        low = np.minimum(root[u], root[v])
+        np.minimum.at(new, root[u], low)
+        np.minimum.at(new, root[v], low)
+        while (new[new] != new).any():
+            new = new[new]
+        new = new[root]
+        if (new == root).all():
+            return root
+        root = new
+
+
+def links(a: CoverTree, b: CoverTree, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Of the points of a, and then those of b if that is another tree: rows linked to each, and the least point of its component here."""
+    same, whole = a is b, []
+    p, q, _ = close_points(a, b, threshold, whole)
+    u, v = (np.concatenate(x) for x in zip(*whole)) if whole else (np.zeros(0, np.int64),) * 2
+    base = 0 if same else len(a.points)
+    count = np.zeros(base + len(b.points), np.int64)
+    np.add.at(count, p, b.copies[q])
+    np.add.at(count, q + base, a.copies[p])
+    edges = [(p, q + base)]
+
+    def spread(t, node, rows):
+        """Of the leaves of a tree, in their order, the sum of rows over the nodes that each is in."""
+        _, lo, hi = t.leaves()
+        out = np.zeros(len(t.points) + 1, np.int64)
+        np.add.at(out, lo[node], rows)
+        np.add.at(out, hi[node], -rows)
+        return np.cumsum(out)[:-1]
+
+    def rows(t, node):
+        order, lo, hi = t.leaves()
+        total = np.concatenate([[0], np.cumsum(t.copies[order])])
+        return total[hi[node]] - total[lo[node]]
+
+    other = u != v if same else np.ones(len(u), bool)
+    count[a.leaves()[0]] += spread(a, u, rows(b, v))
+    count[b.leaves()[0] + base] += spread(b, v[other], rows(a, u)[other])
+    if same:  # a node with itself counts each of its points' own rows
+        count[a.leaves()[0]] -= spread(a, u[~other], np.ones((~other).sum(), np.int64)) * a.copies[a.leaves()[0]]
+    # what lies in a node that is near as a whole is joined to one of it; a node within another adds nothing
+    for t, nodes, at in (((a, np.concatenate([u, v]), 0),) if same else ((a, u, 0), (b, v, base))):
+        order, lo, hi = t.leaves()
+        end = np.zeros(len(order) + 1, np.int64)
+        np.maximum.at(end, lo[nodes], hi[nodes])
+        before = np.concatenate([[0], np.maximum.accumulate(end)[:-1]])
+        for s in np.flatnonzero(end > before).tolist():
+            edges.append((np.full(end[s] - s, order[s] + at), order[s : end[s]] + at))
+    edges.append((a.leaves()[0][a.leaves()[1][u]], b.leaves()[0][b.leaves()[1][v]] + base))
+    return count, _roots(len(count), *(np.concatenate(x) for x in zip(*edges)))
+
+
 def _flat(column: pa.Array, dim: int) -> np.ndarray:
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float32, copy=False).reshape(-1, dim)
 
 
-def pairs(embeddings: DataFrame, threshold: float = THRESHOLD, cell: int = CELL) -> DataFrame:
-    """vec_a < vec_b and similarity (to 6 digits) of every pair of rows with a cosine of at least the threshold (0 < threshold <= 1).
+def _points(embeddings: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """vec_id and key (null without a usable vector), once each; and key, v, rep, copies, dim, h of each vector. Both stored."""
+    e = embeddings.where("vec_id is not null").select(F.col("vec_id").cast("bigint").alias("vec_id"), F.col("embedding").alias("raw"))
+    fine = (F.size("raw") > 0) & F.forall("raw", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) < F.lit(float("inf")))) & F.exists("raw", lambda x: x != 0)
+    most = F.array_max(F.transform("raw", lambda x: F.abs(x.cast("double"))))
+    # vectors near the ends of single precision are scaled by a power of two, which is exact
+    scale = F.pow(F.lit(2.0), F.floor(F.log2(most)))
+    usual = (most >= F.lit(1e-18)) & (most <= F.lit(1e18))
+    v = F.when(usual, F.col("raw").cast("array<float>")).otherwise(F.transform("raw", lambda x: (x.cast("double") / scale).cast("float")))
+    e = e.withColumn("v", F.when(F.coalesce(fine, F.lit(False)), v))
+    h = F.xxhash64("v")
+    key = F.unhex(F.concat(*(F.lpad(F.hex(x), 16, "0") for x in (h, F.xxhash64(F.lit(7), F.col("v"))))))
+    e = e.select("vec_id", "v", F.when(F.col("v").isNotNull(), key).alias("key"))
+    members = stored(e.select("vec_id", "key").distinct(), "cj-members")
+    n = members.where("key is not null").groupBy("key").agg(F.count("*").alias("copies"), F.min("vec_id").alias("rep"))
+    points = e.where("key is not null").select("key", "v").groupBy("key").agg(F.first("v").alias("v")).join(n, "key")
+    return members, stored(points.select("key", "v", "rep", "copies", F.size("v").alias("dim"), h.alias("h")), "cj-points")
+
+
+def _nearest(points: DataFrame, pivots: dict[tuple, np.ndarray], by: list[str]) -> Column:
+    """The number of the nearest of the pivots that a row's columns name; 0 where there are none."""
+    shared = points.sparkSession.sparkContext.broadcast({k: unit(p) for k, p in pivots.items()})
+
+    def run(key: pa.Array, v: pa.Array) -> pa.Array:
+        out, rows = np.zeros(len(v), np.int32), {}
+        for i, k in enumerate(key.to_pylist()):
+            rows.setdefault(tuple(k), []).append(i)
+        for k, at in rows.items():
+            if k in shared.value:
+                x = unit(_flat(v.take(pa.array(at)), k[0]))
+                for s in range(0, len(x), 4096):
+                    out[at[s : s + 4096]] = (x[s : s + 4096] @ shared.value[k].T).argmax(1)
+        return pa.array(out)
+
+    run.__annotations__ = {"key": pa.Array, "v": pa.Array, "return": pa.Array}
+    return F.arrow_udf(run, "int")(F.array(*by), F.col("v"))
+
 
-    Rows without an id, and embeddings that are null, empty, of length 0 or hold a null, NaN or infinity, have no pairs; nor do
-    embeddings of different dimensions. Equal vectors under different ids are a pair of similarity 1; a row that is repeated counts once; one
-    id with several vectors has a row for each pair of vectors and none with itself. Other columns are ignored; an empty table gives an
-    empty result. Values are taken in single precision.
+def _placed(points: DataFrame, cell: int) -> DataFrame:
+    """The points with the dim, cell, sub and part of the tree that each is in; stored.
+
+    Pivots are the points with the lowest hashes: about the eighth of the root of their number, and for a cell of over 4 x cell points one for
+    every cell of them, though not more in all than a broadcast holds. What is larger still is cut by hash.
     """
-    spark = embeddings.sparkSession
-    ship(spark)
-    v = F.col("embedding").cast("array<float>")
-    e = embeddings.where("vec_id is not null and size(embedding) > 0").select(F.col("vec_id").cast("bigint").alias("vec_id"), v.alias("v"))
-    whole = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(1e18)))
-    e = e.where(F.coalesce(whole, F.lit(False)) & F.coalesce(F.exists("v", lambda x: F.abs(x) > F.lit(1e-18)), F.lit(False)))
-    points = stored(e.groupBy("v").agg(F.array_sort(F.collect_set("vec_id")).alias("ids")).select("v", "ids", F.size("v").alias("dim"), F.xxhash64("v").alias("h")), "cj-points")
-    pivots: dict[int, np.ndarray] = {}
-    sizes = {}
+    pivots: dict[tuple, np.ndarray] = {}
     for r in points.groupBy("dim").count().collect():
-        sizes[r["dim"]] = max(cell, ceil(8 * sqrt(r["count"])))
-        top = points.where(F.col("dim") == r["dim"]).orderBy("h", "v").limit(ceil(r["count"] / sizes[r["dim"]])).select("v").collect()
-        pivots[r["dim"]] = np.array([x["v"] for x in top], np.float32)
-    if not pivots:
-        return spark.createDataFrame([], "vec_a bigint, vec_b bigint, similarity double")
-    shared = spark.sparkContext.broadcast({d: unit(p) for d, p in pivots.items()})
-
-    def nearest(v: pa.Array) -> pa.Array:
-        out = np.zeros(len(v), np.int32)
-        dims = np.diff(v.offsets.to_numpy())
-        for d in np.unique(dims):
-            at = np.flatnonzero(dims == d)
-            x = unit(_flat(v.take(pa.array(at)), int(d)))
-            for s in range(0, len(x), 4096):
-                out[at[s : s + 4096]] = (x[s : s + 4096] @ shared.value[int(d)].T).argmax(1)
-        return pa.array(out)
-
-    nearest.__annotations__ = {"v": pa.Array, "return": pa.Array}
-    placed = stored(points.withColumn("cell", F.arrow_udf(nearest, "int")(F.col("v"))), "cj-cells")
-    # a cell with many more points than the others is several trees
-    many = placed.groupBy("dim", "cell").count().withColumn("parts", F.ceil(F.col("count") / (4 * cell)).cast("int")).drop("count")
-    placed = placed.join(F.broadcast(many) if sum(map(len, pivots.values())) < 1 << 20 else many, ["dim", "cell"])
-    placed = placed.withColumn("part", F.pmod(F.xxhash64("h"), F.col("parts")).cast("int"))
+        size = max(cell, ceil(8 * sqrt(r["count"])))
+        top = points.where(F.col("dim") == r["dim"]).orderBy("h", "key").limit(ceil(r["count"] / size)).select("v").collect()
+        pivots[(r["dim"],)] = np.array([x["v"] for x in top], np.float32)
+    placed = stored(points.withColumn("cell", _nearest(points, pivots, ["dim"])), "cj-cells")
+    sizes = placed.groupBy("dim", "cell").agg(F.count("*").alias("n"))
+    large = sizes.where(F.col("n") > 4 * cell).collect()  # at most a row for each pivot
+    if large:
+        room = max(1, BROADCAST_LIMIT // (8 * sum(r["dim"] * ceil(r["n"] / cell) for r in large) or 1))
+        few = spark_rows(points, [(r["dim"], r["cell"], (min(1.0, room) / cell)) for r in large])
+        unit_h = (F.xxhash64("h").bitwiseAND(F.lit((1 << 52) - 1)) / F.lit(float(1 << 52))).alias("x")
+        found = placed.join(F.broadcast(few), ["dim", "cell"]).where(unit_h < F.col("share")).select("dim", "cell", "v", "key").collect()
+        below: dict[tuple, list] = {}
+        for r in sorted(found, key=lambda r: bytes(r["key"])):
+            below.setdefault((r["dim"], r["cell"]), []).append(r["v"])
+        placed = stored(placed.withColumn("sub", _nearest(points, {k: np.array(x, np.float32) for k, x in below.items()}, ["dim", "cell"])), "cj-subs")
+    else:
+        placed = placed.withColumn("sub", F.lit(0))
+    many = stored(placed.groupBy("dim", "cell", "sub").agg(F.ceil(F.count("*") / (4 * cell)).cast("int").alias("parts")).where("parts > 1"), "cj-parts")
+    placed = placed.join(checked_broadcast(many, 64), ["dim", "cell", "sub"], "left")
+    return placed.withColumn("part", F.pmod(F.xxhash64("h"), F.coalesce("parts", F.lit(1))).cast("int"))
+
+
+def spark_rows(like: DataFrame, rows: list[tuple]) -> DataFrame:
+    return like.sparkSession.createDataFrame(rows, "dim int, cell int, share double")
+
+
+def _walked(points: DataFrame, threshold: float, cell: int, result, schema: str) -> DataFrame:
+    """The batches of result(tree, tree) over all pairs of trees, and each with itself, that can hold a link."""
+    placed = _placed(points, cell)
 
     def grow(key, t):
-        t = t.combine_chunks().sort_by("h")
+        t = t.combine_chunks().sort_by([("h", "ascending"), ("key", "ascending")])
         dim = key[0].as_py()
-        ids = t["ids"].combine_chunks()
-        tree = CoverTree.build(_flat(t["v"], dim), np.cumsum(np.diff(ids.offsets.to_numpy())), ids.flatten().to_numpy())
+        names = np.frombuffer(b"".join(t["key"].to_pylist()), np.uint8).reshape(-1, 16)
+        tree = CoverTree.build(_flat(t["v"], dim), t["rep"].to_numpy(), t["copies"].to_numpy(), names)
         root = tree.at[tree.centre[0]]
-        return pa.table({"dim": pa.array([dim], pa.int32()), "cell": pa.array([key[1].as_py()], pa.int32()), "part": pa.array([key[2].as_py()], pa.int32()), "root": pa.array([root.tolist()], pa.list_(pa.float32())), "radius": pa.array([float(tree.radius[0])], pa.float32()), "tree": pa.array([tree.to_bytes()], pa.binary())})
+        return pa.table({**{c: pa.array([k.as_py()], pa.int32()) for c, k in zip(("dim", "cell", "sub", "part"), key)}, "root": pa.array([root.tolist()], pa.list_(pa.float32())), "radius": pa.array([float(tree.radius[0])], pa.float32()), "tree": pa.array([tree.to_bytes()], pa.binary())})
 
-    trees = placed.select("dim", "cell", "part", "v", "ids", "h").groupBy("dim", "cell", "part").applyInArrow(grow, "dim int, cell int, part int, root array<float>, radius float, tree binary")
-    trees = stored(trees.withColumn("id", F.struct("dim", "cell", "part")).select("id", "root", "radius", "tree"), "cj-trees")
-    # which pairs of trees can hold a pair: their balls, widened by the threshold, meet
+    by = ("dim", "cell", "sub", "part")
+    trees = placed.select(*by, "v", "rep", "copies", "key", "h").groupBy(*by).applyInArrow(grow, "dim int, cell int, sub int, part int, root array<float>, radius float, tree binary")
+    trees = stored(trees.withColumn("id", F.struct(*by)).select("id", "root", "radius", "tree"), "cj-trees")
+    # which pairs of trees can hold a link: their balls, widened by the threshold, meet
     heads = trees.select("id", "root", "radius")
     a, b = heads.select(*(F.col(c).alias(f"a_{c}") for c in heads.columns)), heads.select(*(F.col(c).alias(f"b_{c}") for c in heads.columns))
     dot = F.aggregate(F.zip_with("a_root", "b_root", lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
@@ -274,43 +400,52 @@ def pairs(embeddings: DataFrame, threshold: float = THRESHOLD, cell: int = CELL)
                     own, held = key, t
                 elif key != own:
                     raise RuntimeError("a tree's own row comes first")
-                p, q, sim = close_points(held, t if other else held, threshold)
-                yield from _named(held, t if other else held, p, q, sim)
-                if not other:
-                    yield from _copies(held)
+                yield from result(held, t if other else held)
 
-    out = work.repartition("own").sortWithinPartitions("own", "other", "id").mapInArrow(walk, "vec_a bigint, vec_b bigint, similarity double")
-    return out.select("vec_a", "vec_b", F.round("similarity", 6).alias("similarity"))
+    return work.repartition("own").sortWithinPartitions("own", "other", "id").mapInArrow(walk, schema)
+
+
+def linked(embeddings: DataFrame, threshold: float = THRESHOLD, cell: int = CELL) -> DataFrame:
+    """vec_id, class_id, n_links: a row for each id and vector of it.
+
+    n_links is the number of other such rows with a cosine of at least the threshold (0 < threshold <= 1), equal vectors included; class_id is the
+    least vec_id among all rows that links, and links of theirs, join to the row. Copies are counted, not paired. Rows without an id are left
+    out; embeddings that are null, empty, of length 0 or hold a null, NaN or infinity have no links and are classes of their own, and so
+    are, to each other, embeddings of different dimensions. A row that is repeated counts once; one id with several vectors has a row for each of them. Other
+    columns are ignored; an empty table gives an empty result. Values are taken in single precision, after scaling if they are near its ends.
+    """
+    ship(embeddings.sparkSession)
+    members, points = _points(embeddings)
+
+    def found(a: CoverTree, b: CoverTree):
+        n, root = links(a, b, threshold)
+        key = a.key if a is b else np.concatenate([a.key, b.key])
+        at = np.flatnonzero(n)
+        names = lambda k: pa.Array.from_buffers(pa.binary(16), len(k), [None, pa.py_buffer(np.ascontiguousarray(key[k]))]).cast(pa.binary())
+        yield pa.RecordBatch.from_arrays([names(at), pa.array(n[at]), names(root[at])], ["key", "n", "root"])
+
+    seen = stored(_walked(points, threshold, cell, found, "key binary, n bigint, root binary"), "cj-links")
+    n = seen.groupBy("key").agg(F.sum("n").alias("n"))
+    roots = components(seen.select(F.col("key").alias("u"), F.col("root").alias("v"))).withColumnRenamed("node", "key")
+    point = stored(points.select("key", "rep", "copies").join(roots, "key", "left").join(n, "key", "left").withColumn("root", F.coalesce("root", "key")), "cj-roots")
+    least = point.groupBy("root").agg(F.min("rep").alias("class_id"))
+    point = stored(point.join(least, "root").select("key", "class_id", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "cj-result")
+    out = members.join(checked_broadcast(point, 48), "key", "left")
+    return out.select("vec_id", F.coalesce("class_id", "vec_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"))
 
 
-def _batches(u: list[np.ndarray], v: list[np.ndarray], s: list[np.ndarray]):
-    if u:
-        a, b, sim = np.concatenate(u), np.concatenate(v), np.concatenate(s)
-        ok = a != b
-        a, b, sim = np.minimum(a, b)[ok], np.maximum(a, b)[ok], sim[ok]
-        for i in range(0, len(a), 1 << 16):
-            part = slice(i, i + (1 << 16))
-            yield pa.RecordBatch.from_arrays([pa.array(a[part], pa.int64()), pa.array(b[part], pa.int64()), pa.array(sim[part], pa.float64())], ["vec_a", "vec_b", "similarity"])
-
-
-def _named(a: CoverTree, b: CoverTree, p: np.ndarray, q: np.ndarray, sim: np.ndarray):
-    """The ids of pairs of points."""
-    u, v, s, n = [], [], [], 0
-    for x, y, z in zip(p, q, sim):
-        i, j = a.ids_of(x), b.ids_of(y)
-        u.append(np.repeat(i, len(j)))
-        v.append(np.tile(j, len(i)))
-        s.append(np.full(len(i) * len(j), z))
-        n += len(u[-1])
-        if n > 1 << 18:
-            yield from _batches(u, v, s)
-            u, v, s, n = [], [], [], 0
-    yield from _batches(u, v, s)
-
-
-def _copies(t: CoverTree):
-    """The pairs of ids of equal vectors."""
-    for x in np.flatnonzero(np.diff(np.concatenate([[0], t.id_end])) > 1):
-        ids = t.ids_of(x)
-        for k in range(len(ids) - 1):
-            yield from _batches([np.full(len(ids) - k - 1, ids[k])], [ids[k + 1 :]], [np.ones(len(ids) - k - 1)])
+def pairs(embeddings: DataFrame, threshold: float = THRESHOLD, cell: int = CELL) -> DataFrame:
+    """vec_a < vec_b and similarity (to 6 digits) of the pairs of different vectors with a cosine of at least the threshold.
+
+    A vector goes by the least of its ids. What counts, and what does not, is as for linked; the result grows with the square of what lies close together.
+    """
+    ship(embeddings.sparkSession)
+
+    def found(a: CoverTree, b: CoverTree):
+        p, q, sim = close_points(a, b, threshold)
+        x, y = a.rep[p], b.rep[q]
+        ok = x != y
+        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)[ok], pa.int64()), pa.array(np.maximum(x, y)[ok], pa.int64()), pa.array(sim[ok], pa.float64())], ["vec_a", "vec_b", "similarity"])
+
+    out = _walked(_points(embeddings)[1], threshold, cell, found, "vec_a bigint, vec_b bigint, similarity double")
+    return out.select("vec_a", "vec_b", F.round("similarity", 6).alias("similarity"))

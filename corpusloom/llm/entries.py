@@ -67,7 +67,7 @@ def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_embedding_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cover_join.pairs(table(spark, sf_dir, "embeddings"))
+    return cover_join.linked(table(spark, sf_dir, "embeddings"))
 
 
 def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -108,12 +108,13 @@ from urls u left join best b using (page_id)
 """
 
 
-PAIRS_SQL = f"""
-with e as (select distinct vec_id, cast(embedding as double[]) as v from embeddings where len(embedding) > 0),
-p as (select a.vec_id as vec_a, b.vec_id as vec_b, list_cosine_similarity(a.v, b.v) as similarity from e a join e b on a.vec_id < b.vec_id)
-select vec_a, vec_b, round(similarity, 6) as similarity from p where similarity >= {cover_join.THRESHOLD}
+LINKS_SQL = f"""
+with recursive e as (select row_number() over (order by vec_id, v) as n, * from (select distinct vec_id, cast(embedding as double[]) as v from embeddings where len(embedding) > 0)),
+p as (select a.n as a, b.n as b from e a join e b on a.n <> b.n and list_cosine_similarity(a.v, b.v) >= {cover_join.THRESHOLD}),
+r(n, least) as (select n, vec_id from e union select p.b, r.least from r join p on p.a = r.n)
+select vec_id, (select min(least) from r where r.n = e.n) as class_id, (select count(*) from p where p.a = e.n) as n_links from e
 """
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_filter": URL_SQL, "op4_mix_sources": mixing.sql(), "op9_embedding_pairs": PAIRS_SQL}
+    return {"op1_url_filter": URL_SQL, "op4_mix_sources": mixing.sql(), "op9_embedding_pairs": LINKS_SQL}

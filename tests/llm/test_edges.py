@@ -143,4 +143,15 @@ def test_embedding_pairs(spark, empty):
     rows = [] if empty else [(1, [1.0, 0.0]), (2, [2.0, 0.0]), (2, [2.0, 0.0]), (3, None), (4, []), (5, [0.0, 0.0]), (6, [None, 1.0]), (7, [nan, 1.0]), (8, [inf, 1.0]), (None, [1.0, 0.0]), (9, [1.0, 0.0]), (10, [0.0, 1.0]), (11, [1.0, 0.0, 0.0]), (12, [1.0, 0.0, 0.01])]
     e = spark.createDataFrame([(*r, *CLASH) for r in rows], f"vec_id bigint, embedding array<float>, {EXTRA}")
     got = sorted((r["vec_a"], r["vec_b"]) for r in cover_join.pairs(e).collect())
-    assert got == ([] if empty else [(1, 2), (1, 9), (2, 9), (11, 12)])
+    assert got == ([] if empty else [(1, 2), (11, 12)])  # 9 has the vector of 1
+    got = {r["vec_id"]: (r["class_id"], r["n_links"]) for r in cover_join.linked(e).collect()}
+    alone = {i: (i, 0) for i in (3, 4, 5, 6, 7, 8, 10)}
+    assert got == ({} if empty else alone | {1: (1, 2), 2: (1, 2), 9: (1, 2), 11: (11, 1), 12: (11, 1)})
+
+
+def test_large_and_small_finite_vectors_are_linked(spark):
+    for kind, big, small in (("float", 3e38, 1e-45), ("double", 1e300, 1e-300)):
+        rows = [(1, [big, 0.0]), (2, [big / 2, 0.0]), (3, [0.0, small]), (4, [0.0, 1.0]), (5, [1e18, 2e18]), (6, [1e-19, 2e-19]), (7, [-1e18, 1.0])]
+        e = spark.createDataFrame(rows, f"vec_id bigint, embedding array<{kind}>")
+        got = {r["vec_id"]: (r["class_id"], r["n_links"]) for r in cover_join.linked(e).collect()}
+        assert got == {1: (1, 1), 2: (1, 1), 3: (3, 1), 4: (3, 1), 5: (5, 1), 6: (5, 1), 7: (7, 0)}, kind

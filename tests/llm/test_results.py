@@ -430,23 +430,42 @@ def test_components(spark):
 
 
 # ---------------------------------------------------------------- 9
-@pytest.mark.parametrize("threshold", [0.3, 0.9, 0.99])
-def test_cover_trees_against_all_pairs(spark, threshold):
-    rng = np.random.default_rng(9)
-    x = np.concatenate([rng.normal(size=(1, 6)) + 0.1 * rng.normal(size=(40, 6)) for _ in range(8)] + [rng.normal(size=(80, 6))]).astype(np.float32)
-    x = np.concatenate([x, x[:5]])
+def clusters(rng):
+    x = np.concatenate([rng.normal(size=(1, 6)) + 0.1 * rng.normal(size=(40, 6)) for _ in range(8)] + [rng.normal(size=(80, 6))] + [rng.normal(size=(1, 6)) + 1e-4 * rng.normal(size=(90, 6))]).astype(np.float32)
+    return np.concatenate([x, x[:5], x[:5], x[-60:]])
+
+
+@pytest.mark.parametrize("threshold,cell", [(0.3, 32), (0.9, 32), (0.9, 8), (0.99, 64), (0.9999, 1000)])
+def test_cover_trees_against_all_pairs(spark, threshold, cell):
+    x = clusters(np.random.default_rng(9))
     y = x.astype(float) / np.sqrt((x.astype(float) ** 2).sum(1))[:, None]
-    want = {(a, b) for a, b in zip(*np.nonzero(np.triu(y @ y.T, 1) >= threshold))}
+    near = y @ y.T >= threshold
+    np.fill_diagonal(near, False)
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<float>")
-    got = [(r["vec_a"], r["vec_b"]) for r in cover_join.pairs(df, threshold, cell=32).collect()]
-    assert len(got) == len(set(got)) and set(got) == want
+    got = [(r["vec_a"], r["vec_b"]) for r in cover_join.pairs(df, threshold, cell).collect()]
+    first = {v.tobytes(): i for i, v in reversed(list(enumerate(x)))}
+    rep = [first[v.tobytes()] for v in x]
+    assert len(got) == len(set(got)) and set(got) == {(rep[a], rep[b]) for a, b in zip(*np.nonzero(near)) if rep[a] < rep[b]}
+    got = {r["vec_id"]: (r["class_id"], r["n_links"]) for r in cover_join.linked(df, threshold, cell).collect()}
+    root = cover_join._roots(len(x), *np.nonzero(near))
+    assert got == {i: (root[i], near[i].sum()) for i in range(len(x))}
+
+
+def test_links_against_sql(spark, tmp_path, monkeypatch):
+    duckdb = pytest.importorskip("duckdb")
+    x = clusters(np.random.default_rng(99))
+    df = spark.createDataFrame([(i % 400, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<float>").coalesce(1)
+    df.write.parquet(str(tmp_path / "embeddings.parquet"))
+    want = duckdb.sql(entries.LINKS_SQL.replace("from embeddings", f"from read_parquet('{tmp_path}/embeddings.parquet/*.parquet')")).fetchall()
+    got = entries.op9_embedding_pairs(spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, got)) == sorted(want) and len(want) > 400 and max(r[2] for r in want) > 50
 
 
 def test_cover_tree_invariants():
     rng = np.random.default_rng(10)
     x = np.concatenate([rng.normal(size=(300, 4)), 1 + 1e-9 * rng.normal(size=(5, 4))]).astype(np.float32)
     x = np.unique(x, axis=0)
-    t = cover_join.CoverTree.build(x, np.arange(1, len(x) + 1), np.arange(len(x)))
+    t = cover_join.CoverTree.build(x, np.arange(len(x)), np.ones(len(x), np.int64), np.zeros((len(x), 16), np.uint8))
     t = cover_join.CoverTree.from_bytes(t.to_bytes())
 
     def under(n):
