@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..runtime import stored
@@ -18,13 +18,12 @@ def components(edges: DataFrame) -> DataFrame:
     e = stored(edges.select("u", "v").where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "cc")
     mark = _mark(e)
     while mark[0]:
-        # large star: neighbours above u hang below the least of u and its neighbours
+        # large star: neighbours above u hang below the least of u and its neighbours; a hub's are aggregated before they are shuffled
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        m = F.least("u", F.min("v").over(Window.partitionBy("u")))
-        big = both.withColumn("m", m).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
+        big = stored(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "cc")
         # small star: the lesser neighbours of u, and u, hang below the least of them
-        least = F.min("v").over(Window.partitionBy("u"))
-        near = big.withColumn("m", least)
+        near = big.join(big.groupBy("u").agg(F.min("v").alias("m")), "u")
         small = near.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(near.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
         e = stored(small, "cc")
         new = _mark(e)

@@ -1,21 +1,22 @@
 """Near duplicates by improved consistent weighted sampling (ICWS) over TF-IDF shingles.
 
-Features are hashed pairs of neighbouring words (case folded, punctuation dropped) weighted tf x ln(1 + N / df); df is counted exactly, by
-shingle: texts are turned into chunks of features, each chunk asks the ranges of ids for the df of its own, and the answers go back to the
-chunk; nothing of it is gathered or broadcast. A signature is K ICWS samples (feature, level), each equal between two documents with the
+Features are hashed pairs of neighbouring words (case folded, punctuation dropped) weighted tf x ln(1 + N / df) over the N different
+texts; df is counted exactly, by 32-bit shingle id: texts are turned into chunks of features, each chunk asks the ranges of ids for the df of its own, and the answers
+go back to the chunk; nothing of it is gathered or broadcast. A signature is K ICWS samples (feature, level), each equal between two documents with the
 probability of their weighted Jaccard similarity; bands of R samples give the candidate buckets. Every pair of a bucket is verified
 by its exact weighted Jaccard, save those that verified pairs of the bucket join already; what is joined forms groups.
-Equal texts are one node from the start, so copies cost nothing twice.
+Equal texts are one node from the start, so copies cost nothing twice and change no weight.
 """
 
 from __future__ import annotations
 
 import os
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..runtime import checked_broadcast, ship, stored
@@ -23,8 +24,10 @@ from .common import mix64, slices, utf8
 from .components import components
 
 THRESHOLD = 0.6
-BANDS, ROWS = 12, 4
-PARTS = 1024  # ranges of shingle ids that are counted apart
+BANDS, ROWS = 17, 4  # a pair at the threshold itself shares a band with a probability of 0.91
+PARTS = 1024  # ranges of shingle ids that are counted apart, at least
+PART_IDS = 4 << 20  # and so many ids to a range, up to 65536 ranges
+CHUNK_BYTES = 4 << 20  # of text to a chunk of features
 CHUNK = 4096  # a larger bucket is verified in pairs of chunks of so many texts
 
 _U = np.uint64
@@ -95,27 +98,46 @@ def features(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return (code >> _U(32)).astype(np.int64), code.astype(np.uint32), tf.astype(np.uint32)
 
 
-def _binary(offsets: np.ndarray, values: np.ndarray) -> pa.Array:
-    """Binary values of an array of 4-byte numbers, cut at the offsets."""
-    return pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer((offsets * 4).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(values))])
+def packed(x: np.ndarray) -> bytes:
+    """Small numbers as a byte each; 255 stands for one that follows after all bytes."""
+    return np.minimum(x, 255).astype(np.uint8).tobytes() + x[x >= 255].astype(np.uint32).tobytes()
 
 
-def chunks(docs: DataFrame) -> DataFrame:
-    """node and text -> a row for about 1 MB of text: chunk, n (texts), nodes, size (features of each text), ids, tf."""
+def unpacked(data: np.ndarray, n: int) -> tuple[np.ndarray, int]:
+    """The n numbers at the front of the bytes, and how many bytes they take."""
+    x = data[:n].astype(np.uint32)
+    large = np.flatnonzero(data[:n] == 255)
+    end = n + 4 * len(large)
+    x[large] = data[n:end].view(np.uint32)
+    return x, end
+
+
+def chunks(texts: DataFrame) -> DataFrame:
+    """node and text -> a row for about CHUNK_BYTES of text: chunk, n (texts), nodes, size (features of each text), n_ids, ids, tf."""
 
     def run(batches):
+        held: list[tuple] = []
+
+        def close():
+            nodes, size, ids, tf = (x if k == 0 else np.concatenate(x) for k, x in enumerate(zip(*(h[1:] for h in held))))
+            row = {"chunk": int.from_bytes(os.urandom(8), "big", signed=True), "n": len(size), "nodes": b"".join(nodes), "size": size.tobytes(), "n_ids": len(ids), "ids": ids.tobytes(), "tf": packed(tf)}
+            held.clear()
+            return pa.RecordBatch.from_pylist([row], _CHUNK)
+
         for b in batches:
             raw, off = utf8(b.column(1))
             for i, j in slices(off, 2000, 1 << 20):
                 doc, ids, tf = features(raw[off[i] : off[j]], off[i : j + 1] - off[i])
-                size = np.bincount(doc, minlength=j - i).astype(np.uint32)
-                row = {"chunk": int.from_bytes(os.urandom(8), "big", signed=True), "n": j - i, "nodes": b"".join(b.column(0)[i:j].to_pylist()), "size": size.tobytes(), "ids": ids.tobytes(), "tf": tf.tobytes()}
-                yield pa.RecordBatch.from_pylist([row], _CHUNK)
+                held.append((off[j] - off[i], b"".join(b.column(0)[i:j].to_pylist()), np.bincount(doc, minlength=j - i).astype(np.uint32), ids, tf))
+                if sum(h[0] for h in held) >= CHUNK_BYTES:
+                    yield close()
+        if held:
+            yield close()
 
-    return docs.mapInArrow(run, "chunk bigint, n bigint, nodes binary, size binary, ids binary, tf binary")
+    return texts.mapInArrow(run, "chunk bigint, n bigint, nodes binary, size binary, n_ids bigint, ids binary, tf binary")
 
 
-_CHUNK = pa.schema([("chunk", pa.int64()), ("n", pa.int64()), *((c, pa.binary()) for c in ("nodes", "size", "ids", "tf"))])
+_CHUNK = pa.schema([("chunk", pa.int64()), ("n", pa.int64()), ("nodes", pa.binary()), ("size", pa.binary()), ("n_ids", pa.int64()), ("ids", pa.binary()), ("tf", pa.binary())])
 
 
 def _ranked(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -129,26 +151,53 @@ def _ranked(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return ordered[first], at
 
 
-def document_frequencies(chunked: DataFrame) -> DataFrame:
-    """chunk, part, df: over all texts, of the distinct ids of a chunk that are in a part of the ids, in their order."""
-    width = (1 << 32) // PARTS
+def _cuts(own: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """The parts that have some of the rising ids, and where those of each begin and end."""
+    at = np.searchsorted(own, np.arange(parts, dtype=np.uint64) * np.uint64((1 << 32) // parts))
+    at = np.append(at, len(own))
+    part = np.flatnonzero(np.diff(at))
+    return part, np.append(at[part], len(own))
+
+
+def parts_for(n_ids: int) -> int:
+    parts = PARTS
+    while parts < 1 << 16 and parts * PART_IDS < n_ids:
+        parts *= 2
+    return parts
+
+
+def document_frequencies(chunked: DataFrame, parts: int) -> DataFrame:
+    """chunk, part, df: over all texts, of the distinct ids of a chunk that are in a part of the ids, in their order; packed.
+
+    Ids travel as their lower halves, with the number of ids for each upper half.
+    """
+    blocks = (1 << 16) // parts
 
     def ask(batches):
         for b in batches:
             for chunk, ids in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 own, at = _ranked(np.frombuffer(ids, np.uint32))
                 count = np.bincount(at, minlength=len(own)).astype(np.uint32)
-                cuts = np.searchsorted(own, np.arange(PARTS, dtype=np.uint32) * np.uint32(width))
-                cuts = np.append(cuts, len(own))
-                part = np.flatnonzero(np.diff(cuts))
-                cuts = np.append(cuts[part], len(own))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), chunk)), pa.array(part.astype(np.int32)), _binary(cuts, own), _binary(cuts, count)], ["chunk", "part", "ids", "count"])
+                part, cuts = _cuts(own, parts)
+                upper = np.bincount(own >> np.uint32(16), minlength=1 << 16).astype(np.uint32).reshape(parts, blocks)
+                lower = own.astype(np.uint16)
+                sent = [upper[k].tobytes() + lower[a:e].tobytes() for k, a, e in zip(part, cuts[:-1], cuts[1:])]
+                counts = [packed(count[a:e]) for a, e in zip(cuts[:-1], cuts[1:])]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), chunk)), pa.array(part.astype(np.int32)), pa.array(sent, pa.binary()), pa.array(counts, pa.binary())], ["chunk", "part", "ids", "count"])
+
+    def local(data: np.ndarray) -> np.ndarray:
+        upper = data[: 4 * blocks].view(np.uint32)
+        return np.repeat(np.arange(blocks, dtype=np.int64) << 16, upper) + data[4 * blocks :].view(np.uint16)
 
     def count(t: pa.Table) -> pa.Table:
         raw, off = utf8(t.column("ids"))
-        ids = raw.view(np.uint32) % np.uint32(width)
-        df = np.bincount(ids, utf8(t.column("count"))[0].view(np.uint32))[ids].astype(np.uint32)
-        return pa.table([t.column("chunk"), t.column("part"), _binary(off // 4, df)], ["chunk", "part", "df"])
+        counts, ends = utf8(t.column("count"))
+        df = np.zeros(blocks << 16, np.uint32)
+        for a, b, c, d in zip(off[:-1], off[1:], ends[:-1], ends[1:]):
+            ids = local(raw[a:b])
+            df[ids] += unpacked(counts[c:d], len(ids))[0]  # the ids of a row differ
+        answers = pa.array([packed(df[local(raw[a:b])]) for a, b in zip(off[:-1], off[1:])], pa.binary())
+        return pa.table([t.column("chunk"), t.column("part"), answers], ["chunk", "part", "df"])
 
     asked = chunked.select("chunk", "ids").mapInArrow(ask, "chunk bigint, part int, ids binary, count binary")
     return asked.groupBy("part").applyInArrow(count, "chunk bigint, part int, df binary")
@@ -207,15 +256,22 @@ def _node(text):
     return F.unhex(F.md5(text))
 
 
-def signed(chunked: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
-    """node (of equal texts), keys: the band keys, df: of its features in their order; a row for each text of the chunks."""
+def signed(chunked: DataFrame, n: int, parts: int, bands: int, rows: int) -> DataFrame:
+    """node (of equal texts), keys: the band keys, df: of its features in their order, packed; a row for each text of the chunks."""
 
     def sign(own: pa.Table, answers: pa.Table) -> pa.Table:
         if not own.num_rows:
             return pa.table([[], [], []], schema)
         r = own.to_pylist()[0]
-        ids, tf, size = (np.frombuffer(r[c], np.uint32) for c in ("ids", "tf", "size"))
-        df = utf8(answers.sort_by("part").column("df"))[0].view(np.uint32)[_ranked(ids)[1]] if len(ids) else ids
+        ids, size = (np.frombuffer(r[c], np.uint32) for c in ("ids", "size"))
+        tf = unpacked(np.frombuffer(r["tf"], np.uint8), len(ids))[0]
+        distinct, at = _ranked(ids)
+        told = answers.sort_by("part")
+        part, cuts = _cuts(distinct, parts)
+        if told["part"].to_pylist() != part.tolist():
+            raise RuntimeError("an answer is missing")
+        known = [unpacked(np.frombuffer(x, np.uint8), k)[0] for x, k in zip(told["df"].to_pylist(), np.diff(cuts).tolist())]
+        df = np.concatenate(known)[at] if known else ids
         off = np.concatenate([[0], np.cumsum(size, dtype=np.int64)])
         w = np.log(tf * idf_of(df, n)).astype(np.float32)
         values = []
@@ -226,32 +282,42 @@ def signed(chunked: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
         flat = np.concatenate(values) if values else np.zeros(0, np.int64)
         ends = np.concatenate([[0], np.cumsum(np.where(size > 0, bands, 0))]).astype(np.int32)
         nodes = [r["nodes"][16 * i : 16 * i + 16] for i in range(len(size))]
-        return pa.table([pa.array(nodes, pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)), _binary(off, df)], schema)
+        return pa.table([pa.array(nodes, pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)), pa.array([packed(df[a:b]) for a, b in zip(off[:-1], off[1:])], pa.binary())], schema)
 
     schema = pa.schema([("node", pa.binary()), ("keys", pa.list_(pa.int64())), ("df", pa.binary())])
-    answers = document_frequencies(chunked)
+    answers = document_frequencies(chunked, parts)
     return chunked.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(sign, "node binary, keys array<bigint>, df binary")
 
 
-def _with_features(docs: DataFrame) -> DataFrame:
+def _with_features(texts: DataFrame) -> DataFrame:
     def run(text: pa.Array) -> pa.Array:
         raw, off = utf8(text)
         out = []
         for i, j in slices(off, 2000, 1 << 20):
             doc, ids, tf = features(raw[off[i] : off[j]], off[i : j + 1] - off[i])
             at = np.searchsorted(doc, np.arange(j - i + 1))
-            out += [ids[a:b].tobytes() + tf[a:b].tobytes() for a, b in zip(at[:-1], at[1:])]
+            out += [np.uint32(b - a).tobytes() + ids[a:b].tobytes() + packed(tf[a:b]) for a, b in zip(at[:-1], at[1:])]
         return pa.array(out, pa.binary())
 
     run.__annotations__ = {"text": pa.Array, "return": pa.Array}
-    return docs.select("node", F.arrow_udf(run, "binary")(F.col("text")).alias("feat"))
+    return texts.select("node", F.arrow_udf(run, "binary")(F.col("text")).alias("feat"))
+
+
+def _opened(feat: bytes) -> Iterator[np.ndarray]:
+    """ids, tf and df of a text's features."""
+    data = np.frombuffer(feat, np.uint8)
+    n = int(data[:4].view(np.uint32)[0])
+    yield data[4 : 4 + 4 * n].view(np.uint32)
+    tf, used = unpacked(data[4 + 4 * n :], n)
+    yield tf
+    yield unpacked(data[4 + 4 * n + used :], n)[0]
 
 
 class Group:
-    """The texts of a bucket as runs of features, each ids, tf and df; n: the number of all texts."""
+    """The texts of a bucket as runs of features; n: the number of all texts."""
 
     def __init__(self, feats: list[bytes], n: int):
-        self.ids, self.tf, df = ([np.frombuffer(f, np.uint32, len(f) // 12, k * (len(f) // 3)) for f in feats] for k in range(3))
+        self.ids, self.tf, df = zip(*(_opened(f) for f in feats))
         self.idf = [idf_of(d, n) for d in df]
         self.total = np.array([float((t * v).sum()) for t, v in zip(self.tf, self.idf)])
 
@@ -320,18 +386,31 @@ def verified_links(members: DataFrame, n: int, threshold: float) -> DataFrame:
     return members.mapInArrow(run, "u binary, v binary")
 
 
+def different(named: DataFrame, rows: DataFrame) -> DataFrame:
+    """node and text of one row of each node. rows: node, doc_id, copies of all."""
+    many = rows.groupBy("node").agg(F.count("*").alias("ids"), F.min("doc_id").alias("__loom_rep"), F.sum("copies").alias("n"), F.min_by("copies", F.coalesce("doc_id", F.lit(2**63 - 1))).alias("again"))
+    many = stored(many.where("n > 1").select("node", "__loom_rep", (F.col("again") > 1).alias("__loom_again")), "nd-copies")
+    one = named.join(checked_broadcast(many, 56), "node", "left").where(F.col("__loom_again").isNull() | F.col("doc_id").eqNullSafe(F.col("__loom_rep")))
+    once = one.where("not coalesce(__loom_again, false)").select("node", "text")
+    if many.where("__loom_again").isEmpty():
+        return once
+    return once.unionByName(one.where("__loom_again").select("node", "text").dropDuplicates(["node"]))  # rows that repeat id and text
+
+
 def groups(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, chunk: int = CHUNK) -> DataFrame:
-    """node, doc_id, group, group_size, keep of every row with a text; stored.
+    """node, doc_id, copies, group_size, rep_id, keep: a row for each text and doc_id of it, copies its rows; stored.
 
-    group is the node of the group's rows; keep marks its row with the least doc_id (nulls last).
+    keep marks the row with the least doc_id (nulls last) of its group, and of those the least node.
     """
     spark = docs.sparkSession
     ship(spark)
-    named = docs.where("text is not null").withColumn("node", _node(F.col("text")))
-    chunked = stored(chunks(named.select("node", "text")), "nd-chunks")
-    n = chunked.agg(F.sum("n")).first()[0] or 0
-    sig = stored(signed(chunked, n, bands, rows), "nd-sig")
-    keys = sig.groupBy("node").agg(F.first("keys").alias("keys")).select("node", F.explode("keys").alias("key"))
+    named = docs.where("text is not null").select("doc_id", "text", _node(F.col("text")).alias("node"))
+    rows_of = stored(named.groupBy("node", "doc_id").agg(F.count("*").alias("copies")), "nd-rows")
+    texts = different(named, rows_of)
+    chunked = stored(chunks(texts), "nd-chunks")
+    n, n_ids = chunked.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("n_ids"), F.lit(0))).first()
+    sig = stored(signed(chunked, n, parts_for(n_ids), bands, rows), "nd-sig")
+    keys = sig.select("node", F.explode("keys").alias("key"))
     # buckets of the same texts, as most bands of near copies give them, are verified once
     h1, h2 = F.xxhash64("node"), F.xxhash64(F.lit(7), "node")
     sizes = keys.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor(h1).alias("f1"), F.bit_xor(h2).alias("f2")).where("n > 1")
@@ -339,9 +418,8 @@ def groups(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, ro
     members = stored(keys.join(checked_broadcast(kept, 24), "key"), "nd-members")
     involved = stored(members.select("node").distinct(), "nd-nodes")
     some = checked_broadcast(involved, 40)
-    feats = _with_features(named.select("node", "text").join(some, "node", "left_semi")).groupBy("node").agg(F.first("feat").alias("feat"))
-    df = sig.select("node", "df").join(some, "node", "left_semi").groupBy("node").agg(F.first("df").alias("df"))
-    feats = feats.join(df, "node").select("node", F.concat("feat", "df").alias("feat"))
+    feats = _with_features(texts.join(some, "node", "left_semi")).join(sig.select("node", "df").join(some, "node", "left_semi"), "node")
+    feats = feats.select("node", F.concat("feat", "df").alias("feat"))
     # a bucket of c chunks becomes a key for each pair of chunks
     c = F.ceil(F.col("n") / chunk).cast("int")
     mine = F.pmod(F.xxhash64(F.lit(3), "node"), c).cast("int")
@@ -349,10 +427,12 @@ def groups(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, ro
     work = members.select("node", F.explode(pairs).alias("key")).join(feats, "node").select("key", "node", "feat")
     links = verified_links(work.repartition("key").sortWithinPartitions("key", "node"), n, threshold)
     roots = components(links)
-    named = named.select("node", "doc_id").join(roots, "node", "left").withColumn("group", F.coalesce("root", "node"))
-    w = Window.partitionBy("group")
-    rank = F.row_number().over(w.orderBy(F.col("doc_id").asc_nulls_last(), "node"))
-    return stored(named.select("node", "doc_id", "group", F.count("*").over(w).alias("group_size"), (rank == 1).alias("keep"), F.min("doc_id").over(w).alias("rep_id")), "nd-groups")
+    grouped = stored(rows_of.join(checked_broadcast(stored(roots, "nd-roots"), 64), "node", "left").withColumn("group", F.coalesce("root", "node")).drop("root"), "nd-grouped")
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node"))
+    found = grouped.groupBy("group").agg(F.sum("copies").alias("group_size"), least.alias("least"))
+    out = grouped.join(found, "group")
+    keep = F.col("doc_id").eqNullSafe(F.col("least.doc_id")) & (F.col("node") == F.col("least.node"))
+    return stored(out.select("node", "doc_id", "copies", "group_size", F.col("least.doc_id").alias("rep_id"), keep.alias("keep")), "nd-groups")
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, **how) -> DataFrame:
@@ -363,23 +443,27 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, **how) -> Dat
     as rep_id. Rows with null doc_ids take part, kept only if no other of the group has an id; of repeated rows one is kept. Texts
     are read whole; other columns are ignored; an empty table gives an empty result.
     """
-    g = groups(docs, threshold, **how).select("doc_id", "rep_id", "group_size", "keep")
+    g = groups(docs, threshold, **how)
+    # repeated rows again, in two steps so that no row makes a long array
+    g = g.withColumn("step", F.explode(F.sequence(F.lit(0), F.expr("(copies - 1) div 4096"))))
+    g = g.withColumn("i", F.explode(F.sequence(F.col("step") * 4096, F.least(F.col("copies"), (F.col("step") + 1) * 4096) - 1)))
+    g = g.select("doc_id", "rep_id", "group_size", (F.col("keep") & (F.col("i") == 0)).alias("keep"))
     null = docs.where("text is null").select("doc_id", F.col("doc_id").alias("rep_id"), F.lit(1).cast("bigint").alias("group_size"), F.lit(True).alias("keep"))
     return g.unionByName(null)
 
 
 def deduplicated(docs: DataFrame, threshold: float = THRESHOLD, **how) -> DataFrame:
-    """The rows that near_duplicates keeps, with their columns as they were."""
+    """The rows, with their columns as they were, that near_duplicates keeps: one of each group, and all without a text.
+
+    Of rows that repeat both text and doc_id any one may be the one; their other columns may hold anything, maps too. Texts are compared
+    whole; an empty table stays empty.
+    """
     g = groups(docs, threshold, **how)
-    same = g.groupBy("node", "doc_id").agg(F.count("*").alias("__loom_n"), F.max("keep").alias("__loom_keep"))
-    out = stored(same.where("not __loom_keep or __loom_n > 1").select(F.col("node").alias("__loom_node"), F.col("doc_id").alias("__loom_id"), "__loom_keep"), "nd-out")
+    out = stored(g.where("not keep or copies > 1").select(F.col("node").alias("__loom_node"), F.col("doc_id").alias("__loom_id"), F.col("keep").alias("__loom_keep")), "nd-out")
     out_b = checked_broadcast(out, 56)
     named = docs.withColumn("__loom_text", _node(F.col("text")))
     on = (F.col("__loom_text") == F.col("__loom_node")) & F.col("doc_id").eqNullSafe(F.col("__loom_id"))
     stay = named.join(out_b, on, "left_anti")
-    if out.where("__loom_keep").limit(1).count():  # rows that repeat both id and text: one of them stays
-        again = named.join(out_b.where("__loom_keep"), on, "left_semi")
-        order = F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])
-        again = again.withColumn("__loom_rank", F.row_number().over(Window.partitionBy("__loom_text", "doc_id").orderBy(order))).where("__loom_rank = 1").drop("__loom_rank")
-        stay = stay.unionByName(again)
+    if not out.where("__loom_keep").isEmpty():  # rows that repeat both id and text: one of them stays
+        stay = stay.unionByName(named.join(out_b.where("__loom_keep"), on, "left_semi").dropDuplicates(["__loom_text", "doc_id"]))
     return stay.drop("__loom_text")

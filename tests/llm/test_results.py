@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from corpusloom.llm import components, cover_join, decontam, entries, langid, mixing, near_dup, ngram_lm, pii, templates, token_count, url_filter
 from corpusloom.llm.common import utf8
@@ -376,9 +377,32 @@ def test_document_frequencies_are_exact(spark):
         want.update(ids.tolist())
     named = spark.createDataFrame([(i.to_bytes(16, "big"), t) for i, t in enumerate(texts)], "node binary, text string")
     chunked = runtime.stored(near_dup.chunks(named), "test-chunks")
-    got = {int.from_bytes(r["node"], "big"): np.frombuffer(r["df"], np.uint32) for r in near_dup.signed(chunked, len(texts), 2, 2).select("node", "df").collect()}
-    assert len(got) == len(texts) and len(want) > 2_000_000
-    assert all(got[i].tolist() == [want[x] for x in ids.tolist()] for i, ids in enumerate(feats))
+    for parts in (1024, 4096):
+        rows = near_dup.signed(chunked, len(texts), parts, 2, 2).select("node", "df").collect()
+        got = {int.from_bytes(r["node"], "big"): near_dup.unpacked(np.frombuffer(r["df"], np.uint8), len(feats[int.from_bytes(r["node"], "big")]))[0] for r in rows}
+        assert len(got) == len(texts) and len(want) > 2_000_000
+        assert all(got[i].tolist() == [want[x] for x in ids.tolist()] for i, ids in enumerate(feats))
+
+
+def test_packing_round_trip():
+    for x in ([], [0, 1, 254], [255, 256, 2**32 - 1, 3]):
+        data = np.frombuffer(near_dup.packed(np.array(x, np.uint32)) + b"rest", np.uint8)
+        got, used = near_dup.unpacked(data, len(x))
+        assert got.tolist() == x and data[used:].tobytes() == b"rest"
+
+
+def test_copies_weigh_once_and_keep_their_edited_partners(spark):
+    rng = random.Random(81)
+    base = " ".join(rng.choice(WORDS) + str(rng.randint(0, 300)) for _ in range(60))
+    edited = [base + f" end{i} more{i}" for i in range(3)]
+    rest = [" ".join(rng.choice(WORDS) + str(rng.randint(0, 300)) for _ in range(60)) for _ in range(50)]
+    texts = [base] * 3000 + edited + rest
+    rows = spark.createDataFrame([(i % 2900 if i < 3000 else i, t) for i, t in enumerate(texts)], "doc_id bigint, text string")
+    got = near_dup.near_duplicates(rows).collect()
+    assert len(got) == len(texts)
+    assert sum(r["keep"] for r in got) == 51 and {(r["rep_id"], r["group_size"]) for r in got if r["doc_id"] < 3003} == {(0, 3003)}
+    wide = rows.withColumn("tags", F.create_map(F.lit("k"), F.col("doc_id")))
+    assert sorted(r["doc_id"] for r in near_dup.deduplicated(wide).collect()) == [0, *range(3003, 3053)]
 
 
 def test_similarity_does_not_fade_with_the_number_of_shingles(spark):
