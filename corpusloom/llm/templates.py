@@ -4,8 +4,9 @@ A page is a run of tags and words. A token's role is its name together with the
 host, roles with the same occurrence vector (so often on the first page, so often on the second, ...) form an equivalence class; classes of
 frequent roles are the template, what lies between their tokens are its slots. It takes four passes over the pages, none
 of which gathers a host in one place, so a host of any size is many tasks:
-  1. roles frequent among a host's pages in some part of the input: a superset of those frequent among all of them;
-  2. their exact support, and a fingerprint of their occurrence vector, the sum of hash(page, count) over the pages. Roles of a host
+  1. roles hashed to buckets, and how many pages of the host have a role of each bucket. A frequent role is in a frequent bucket, wherever
+     its pages lie, and few others are;
+  2. the exact support of the roles in frequent buckets, and a fingerprint of their occurrence vector, the sum of hash(page, count) over the pages. Roles of a host
      with one fingerprint are a class;
   3. validity. On every page the k-th occurrences of a class's tags must keep one order and come before the (k + 1)-th ones; a word must
      keep its place between two of them; and a class must be nested, on every page, after the same token of one other
@@ -18,6 +19,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+import zlib
 from collections import Counter
 from functools import lru_cache
 from math import ceil
@@ -36,6 +38,9 @@ HOST = r"^\s*(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?(\[[^\]/?#]*\]|[^/?#:]
 _PART = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style)\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?[A-Za-z][^\s/>]*)([^>\"']*(?:(?:\"[^\"]*\"|'[^']*')[^>\"']*)*)>|<[!?][^>]*>", re.S | re.I)
 _ATTRIBUTE = re.compile(r"(?:^|\s)(class|id)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 DEEP = 200  # characters of a path
+BUCKETS = 1 << 16  # of a host's roles
+FLUSH = 1 << 18  # counts that a task holds before it passes them on
+WORDS = 32  # bits of the place of a word among those of its gap
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 ENDS = {"p": ("p",), "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 HOLDS = frozenset("html body table ul ol dl div article section nav main aside select header footer".split())
@@ -147,13 +152,6 @@ class Wanted:
 
 
 # ---------------------------------------------------------------- the passes
-def _by_host(batches, of):
-    """Calls of(host, page_id, html) for every row with both."""
-    for b in batches:
-        for host, page, text in zip(b.column("host").to_pylist(), b.column("__page").to_pylist(), b.column("html").to_pylist()):
-            of(host, page, text)
-
-
 def _keyed(pages: DataFrame) -> DataFrame:
     """Adds host, null if the URL has none, and __page, a hash that tells pages apart; repeated rows are one page."""
     host = F.lower(F.regexp_extract("url", HOST, 1))
@@ -161,40 +159,59 @@ def _keyed(pages: DataFrame) -> DataFrame:
     return pages.withColumn("host", F.when(host != "", host)).withColumn("__page", F.xxhash64("page_id", "url", "html"))
 
 
-def _candidates(pages: DataFrame) -> DataFrame:
+def _buckets(path: str, tokens):
+    """(token, bucket of its role) of some tokens of a path."""
+    c = zlib.crc32(path.encode("utf-8", "surrogatepass"))
+    return ((t, zlib.crc32(t.encode("utf-8", "surrogatepass"), c) % BUCKETS) for t in tokens)
+
+
+def _frequent(pages: DataFrame, minimum: DataFrame) -> DataFrame:
+    """host, bucket: those with a role on enough of the host's pages to hold a frequent one."""
+
     def run(batches):
-        n: Counter = Counter()
-        seen: dict[str, dict[str, Counter]] = {}
+        seen: dict[str, Counter] = {}
+        held = 0
 
-        def of(host, _, text):
-            n[host] += 1
-            mine = seen.setdefault(host, {})
-            for path, bag in bags(text).items():
-                mine.setdefault(path, Counter()).update(set(bag))
+        def flush():
+            rows = [(h, b, n) for h, c in seen.items() for b, n in c.items()]
+            seen.clear()
+            cols = list(zip(*rows)) or [(), (), ()]
+            return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int64())], ["host", "bucket", "n"])
 
-        _by_host(batches, of)
-        for host, paths in seen.items():
-            least = SUPPORT * n[host]
-            found = [(path, token) for path, c in paths.items() for token, k in c.items() if k >= least]
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.string()) for x in ([host] * len(found), [p for p, _ in found], [t for _, t in found])], ["host", "path", "token"])
+        for b in batches:
+            for host, text in zip(b.column("host").to_pylist(), b.column("html").to_pylist()):
+                found = {k for path, bag in bags(text).items() for _, k in _buckets(path, set(bag))}
+                seen.setdefault(host, Counter()).update(found)
+                held += len(found)
+                if held > FLUSH:
+                    yield flush()
+                    held = 0
+        yield flush()
 
-    return pages.mapInArrow(run, "host string, path string, token string").distinct()
+    counted = pages.select("host", "html").mapInArrow(run, "host string, bucket int, n bigint").groupBy("host", "bucket").agg(F.sum("n").alias("n"))
+    return counted.join(minimum, "host").where("n >= least").select("host", "bucket")
 
 
 def _with(pages: DataFrame, rows: DataFrame, run, schema: str, columns=("host", "__page", "html")) -> DataFrame:
     """mapInArrow over the pages with a table by host: run(batches, lookup), lookup(host, row) -> the rows of the host.
 
-    rows: host, and t (an array of structs). It is broadcast while small; beyond, its rows travel with the pages.
+    rows: host, t (an array of structs) and bytes (what it takes). It is broadcast while small; beyond, its rows travel with the pages.
     """
     rows = stored(rows, "tp-table")
-    size = rows.agg(F.coalesce(F.sum(F.size("t")), F.lit(0)).alias("n")).first()["n"]
-    if size * 160 <= BROADCAST_LIMIT:
+    size = rows.agg(F.coalesce(F.sum("bytes"), F.lit(0)).alias("n")).first()["n"]
+    rows = rows.drop("bytes")
+    if size <= BROADCAST_LIMIT:
         shared = pages.sparkSession.sparkContext.broadcast({r["host"]: [tuple(x) for x in r["t"]] for r in rows.collect()})
         return pages.select(*columns).mapInArrow(lambda batches: run(batches, lambda host, _: shared.value.get(host)), schema)
     joined = pages.join(rows, "host", "left").select(*columns, "t")
     return joined.mapInArrow(lambda batches: run(batches, lambda host, t: None if t is None else [tuple(x.values()) for x in t]), schema)
 
 
+def _bytes():
+    """What the template rows of a host take in Python."""
+    return F.sum(F.octet_length("path") + F.octet_length("token") + 400).alias("bytes")
+
+
 def _rows_of(b):
     """(row number, host, page, html, its table rows) of a batch."""
     names = b.schema.names
@@ -216,17 +233,11 @@ class Lookup:
         return self.held[host]
 
 
-def _counts(pages: DataFrame, candidates: DataFrame, minimum: DataFrame) -> DataFrame:
+def _counts(pages: DataFrame, frequent: DataFrame, minimum: DataFrame) -> DataFrame:
     """host, path, token, role, class (of the occurrence vector) of the roles frequent in all pages."""
 
-    def by_path(rows):
-        out: dict[str, set[str]] = {}
-        for path, token in rows:
-            out.setdefault(path, set()).add(token)
-        return out
-
     def run(batches, lookup):
-        held = Lookup(by_path)
+        held = Lookup(lambda rows: {b for (b,) in rows})
         total: dict[tuple, list[int]] = {}
         for b in batches:
             for _, host, page, text, t in _rows_of(b):
@@ -236,11 +247,10 @@ def _counts(pages: DataFrame, candidates: DataFrame, minimum: DataFrame) -> Data
                 wanted = held(host, rows)
                 marks: dict[int, tuple[int, int]] = {}
                 for path, bag in bags(text).items():
-                    mine = wanted.get(path)
-                    if mine is None:
-                        continue
                     c = Counter(bag)
-                    for token in mine & c.keys():
+                    for token, bucket in _buckets(path, c):
+                        if bucket not in wanted:
+                            continue
                         n = c[token]
                         if n not in marks:
                             h = xxhash.xxh64_intdigest(f"{page}:{n}")
@@ -249,13 +259,19 @@ def _counts(pages: DataFrame, candidates: DataFrame, minimum: DataFrame) -> Data
                         x[0] += 1
                         x[1] += marks[n][0]
                         x[2] += marks[n][1]
+                if len(total) > FLUSH:
+                    yield from rows_of(total)
+                    total.clear()
+        yield from rows_of(total)
+
+    def rows_of(total):
         keys = list(total)
         for i in range(0, len(keys), 1 << 16):
             k = keys[i : i + (1 << 16)]
             names = [pa.array([x[j] for x in k], pa.string()) for j in range(3)]
             yield pa.RecordBatch.from_arrays([*names, *(pa.array([total[x][j] for x in k], pa.int64()) for j in range(3)), pa.array([role(p, t) for _, p, t in k], pa.int64())], ["host", "path", "token", "n", "m1", "m2", "role"])
 
-    per_host = candidates.groupBy("host").agg(F.collect_list(F.struct("path", "token")).alias("t"))
+    per_host = frequent.groupBy("host").agg(F.collect_list(F.struct("bucket")).alias("t"), (F.count("*") * 100).alias("bytes"))
     counted = _with(pages, per_host, run, "host string, path string, token string, n bigint, m1 bigint, m2 bigint, role bigint")
     sums = counted.groupBy("host", "path", "token", "role").agg(F.sum("n").alias("n"), F.sum("m1").alias("m1"), F.sum("m2").alias("m2"))
     return sums.join(minimum, "host").where("n >= least").select("host", "path", "token", "role", F.xxhash64("n", "m1", "m2").alias("class"))
@@ -294,7 +310,7 @@ def spans(found: list[tuple[int, int]], classes: dict[int, int]):
                 inner = inner + 1 if j == gap_before else 0
                 gap_before = j
                 gap = -1 if j == 0 or j == len(tags) else (j - 1) % k
-                value = None if gap < 0 or gap == k - 1 else 1000 + gap * 1000 + min(inner, 999)
+                value = None if gap < 0 or gap == k - 1 else gap + 1 << WORDS | inner
                 r = found[i][0]
                 if rank.setdefault(r, value) != value:
                     rank[r] = None
@@ -354,7 +370,7 @@ def _validated(pages: DataFrame, classes: DataFrame) -> DataFrame:
             kinds = (pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(cols, kinds)], ["host", "kind", "key", "rank", "bad", "up", "up_role"])
 
-    per_host = classes.groupBy("host").agg(F.collect_list(F.struct("path", "token", "role", "class")).alias("t"))
+    per_host = classes.groupBy("host").agg(F.collect_list(F.struct("path", "token", "role", "class")).alias("t"), _bytes())
     seen = stored(_with(pages, per_host, run, "host string, kind int, key bigint, rank bigint, bad boolean, up bigint, up_role bigint"), "tp-seen")
     tokens = seen.where("kind = 0").groupBy("host", F.col("key").alias("role")).agg(F.min("rank").alias("rank"), F.max("rank").alias("most"), F.bool_or("bad").alias("bad")).where("not bad and rank = most").select("host", "role", "rank")
     up = F.struct("up", "up_role")
@@ -371,8 +387,7 @@ def deduced(pages: DataFrame) -> DataFrame:
     ship(pages.sparkSession)
     n = usable.groupBy("host").agg(F.count("*").alias("n")).where(F.col("n") >= MIN_PAGES)
     minimum = stored(n.select("host", F.greatest(F.lit(MIN_PAGES), F.ceil(F.col("n") * SUPPORT)).alias("least")), "tp-hosts")
-    candidates = stored(_candidates(usable).join(minimum.select("host"), "host", "left_semi"), "tp-candidates")
-    counted = stored(_counts(usable, candidates, minimum), "tp-counts")
+    counted = stored(_counts(usable, stored(_frequent(usable, minimum), "tp-buckets"), minimum), "tp-counts")
     size = counted.groupBy("host", "class").count().where("count >= 2").select("host", "class")
     classes = stored(counted.join(size, ["host", "class"]), "tp-classes")
     return stored(_validated(usable, classes), "tp-template")
@@ -381,7 +396,8 @@ def deduced(pages: DataFrame) -> DataFrame:
 def slots_of(page: str, wanted: Wanted, ranks: dict[int, tuple[int, int]]) -> tuple[int, list[tuple[str, str]]]:
     """Number of template tokens on the page, and (slot, text) of each piece of text between them.
 
-    ranks: role -> (number of its class, rank). A slot is named by the class and rank of the template token before it.
+    ranks: role -> (number of its class, rank). A slot is named by the class and rank of the template token before it; a word's rank
+    is that of the gap it is in and its place there.
     """
     n, name, out, held = 0, "", [], []
 
@@ -395,7 +411,8 @@ def slots_of(page: str, wanted: Wanted, ranks: dict[int, tuple[int, int]]) -> tu
         if r is not None:
             close()
             n += 1
-            name = "{}.{}".format(*ranks[r])
+            c, rank = ranks[r]
+            name = f"{c}.{rank}" if rank < 1 << WORDS else f"{c}.{(rank >> WORDS) - 1}.{rank & (1 << WORDS) - 1}"
         if text:
             held.append(text)
     close()
@@ -437,6 +454,6 @@ def extracted(pages: DataFrame, template: DataFrame | None = None) -> DataFrame:
                 text.append("\n".join(x for _, x in found))
             yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("host"), pa.array(n, pa.int32()), pa.array(slots, kind), pa.array(text, pa.string())], ["page_id", "host", "n_template", "slots", "text"])
 
-    per_host = template.groupBy("host").agg(F.collect_list(F.struct("path", "token", "role", "class", "rank")).alias("t"))
+    per_host = template.groupBy("host").agg(F.collect_list(F.struct("path", "token", "role", "class", "rank")).alias("t"), _bytes())
     schema = f"page_id {keyed.schema['page_id'].dataType.simpleString()}, host string, n_template int, slots array<struct<slot:string,text:string>>, text string"
     return _with(keyed, per_host, run, schema, ("page_id", "host", "__page", "html"))

@@ -94,6 +94,26 @@ def test_classes_against_brute_force(spark):
     assert {"<html", "</html", "<h1", "</h1", "<li", "</li", "<p", "</p", "Acme"} <= tags
 
 
+def test_candidates_do_not_depend_on_the_partitions(spark, small):
+    pages = templates._keyed(table(spark, "/root/testdata/sf0.01", "pages")).where("host is not null and length(html) > 0")
+    n = pages.groupBy("host").count().selectExpr("host", "greatest(3, ceil(count * 0.6)) as least").where("least <= 1000")
+    found = [{(r["host"], r["bucket"]) for r in templates._frequent(pages.repartition(k), n).collect()} for k in (1, 200)]
+    assert found[0] == found[1] and found[0]
+    rows = {(r["host"], r["path"], r["token"]) for r in templates.deduced(pages.drop("host", "__page")).collect()}
+    spread = {(r["host"], r["path"], r["token"]) for r in templates.deduced(pages.drop("host", "__page").repartition(200)).collect()}
+    assert rows == spread and len(found[0]) < 3 * max(len(rows), 1000)
+
+
+def test_words_of_a_long_gap_have_ranks_of_their_own(spark):
+    boiler = " ".join(f"w{i}" for i in range(2500))
+    pages = spark.createDataFrame([(i, f"https://c.org/{i}", f"<html><body><p>{boiler}</p><b>own{i} text</b></body></html>") for i in range(6)], "page_id bigint, url string, html string")
+    rows = [r for r in templates.deduced(pages).collect() if r["token"].startswith("w")]
+    assert len(rows) == 2500 and len({(r["class"], r["rank"]) for r in rows}) == 2500
+    order = sorted(rows, key=lambda r: r["rank"])
+    assert [r["token"] for r in order] == boiler.split()
+    assert {r["text"] for r in templates.extracted(pages).collect()} == {f"own{i}" for i in range(6)}  # "text" is on every page
+
+
 # ---------------------------------------------------------------- 3
 def test_kernel_of_a_model_is_the_nystroem_solution():
     rng = random.Random(3)
