@@ -1,7 +1,7 @@
 """Benchmark decontamination by pigeonhole edit matching.
 
-Texts are reduced to lower-case words with single blanks. An item of m bytes may differ from a passage by k = rate x m
-edits; cut into k + 1 pieces, it leaves one piece whole wherever it occurs so. All positions of all documents are compared with the
+Texts are reduced to lower-case words with single blanks, one before the first and one after the last word; so is an item, so that it begins
+and ends where words do, or else pays for it. An item of m bytes may differ from a passage by k = rate x m edits; cut into k + 1 pieces, it leaves one piece whole wherever it occurs so. All positions of all documents are compared with the
 pieces' first 8 bytes at once, hits are held against the whole piece, and the passage around a hit is verified with
 Myers' bit-parallel edit distance, over integers as long as the item.
 """
@@ -19,6 +19,7 @@ from ..runtime import ship
 from .common import slices, utf8
 
 ERROR_RATE = 0.06
+LEAST = 16  # bytes of an item's words; shorter ones are in texts that have nothing to do with them
 SHARD_BYTES = 16 << 20  # of items that are matched in one pass
 
 _U = np.uint64
@@ -29,32 +30,24 @@ _FOLD[128:] = np.arange(128, 256)
 
 
 def normalised(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Words of all texts in one run, a blank between words, a zero byte after each text; and where each begins."""
+    """Words of all texts in one run, a blank before, between and after the words of a text, a zero byte after it; and where each begins."""
     n = len(offsets) - 1
-    buf = np.zeros(len(raw) + n, np.uint8)
-    at = np.arange(len(raw)) + np.repeat(np.arange(n), np.diff(offsets))
+    buf = np.full(len(raw) + 3 * n, 32, np.uint8)
     body = _FOLD[raw]
     if len(raw) > 1:
         capital = (raw[:-1] == 0xC3) & (raw[1:] >= 0x80) & (raw[1:] <= 0x9E) & (raw[1:] != 0x97)
         body[1:][capital] += 0x20
-    buf[at] = body
+    buf[np.arange(len(raw)) + np.repeat(3 * np.arange(n) + 1, np.diff(offsets))] = body
+    ends = offsets[1:] + 3 * np.arange(n) + 2
+    buf[ends] = 0
+    blank = buf == 32
     keep = np.ones(len(buf), bool)
-    if len(buf):
-        # a blank stays only between two words
-        blank = buf == 32
-        keep[1:] &= ~(blank[1:] & (blank[:-1] | (buf[:-1] == 0)))
-        keep[0] = not blank[0]
-        buf2 = buf[keep]
-        ends = offsets[1:] + np.arange(n)
-        start = np.concatenate([[0], np.cumsum(keep)[ends]])
-        last = np.zeros(len(buf2), bool)
-        last[:-1] = (buf2[:-1] == 32) & (buf2[1:] == 0)
-        start = start - np.concatenate([[0], np.cumsum(last)])[start]
-        return buf2[~last], start
-    return buf, np.zeros(n + 1, np.int64)
+    keep[1:] = ~(blank[1:] & blank[:-1])
+    return buf[keep], np.concatenate([[0], np.cumsum(keep)[ends]])
 
 
 def normal(text: str) -> bytes:
+    """The words of a text with a blank before and after each; one blank if there are none."""
     raw, off = utf8(pa.array([text], pa.string()))
     return normalised(raw, off)[0][:-1].tobytes()
 
@@ -122,13 +115,18 @@ def _slot(x: np.ndarray) -> np.ndarray:
     return ((x * _U(0x9E3779B97F4A7C15)) >> _U(64 - HASH_BITS)).astype(np.intp)
 
 
-def index(items: list[tuple[int | None, str]], rate: float = ERROR_RATE) -> Index:
+def budget_of(item: bytes, rate: float = ERROR_RATE) -> int:
+    """How many bytes may differ, the blanks around the words not counted."""
+    return int(rate * (len(item) - 2))
+
+
+def index(items: list[tuple[int | None, str]], rate: float = ERROR_RATE, least: int = LEAST) -> Index:
     patterns, ids, budget, pieces, short = [], [], [], [], []
     for item_id, text in items:
         item = normal(text) if text else b""
-        if not item:
+        if len(item) - 2 < max(least, 1):
             continue
-        k = int(rate * len(item))
+        k = budget_of(item, rate)
         n = len(patterns)
         patterns.append(Pattern(item))
         ids.append(item_id)
@@ -216,10 +214,10 @@ def _shards(benchmark: DataFrame) -> list[list[tuple[int | None, str]]]:
         yield [(r["item_id"], r["text"]) for r in items.where(F.pmod(F.xxhash64("text"), F.lit(n)) == i).collect()]
 
 
-def _matcher(spark: SparkSession, items, rate: float):
+def _matcher(spark: SparkSession, items, rate: float, least: int):
     """A column function: text -> array of (item_id, distance)."""
     ship(spark)
-    shared = spark.sparkContext.broadcast(index(sorted(items, key=lambda x: (x[0] is None, x[0] or 0, x[1])), rate))
+    shared = spark.sparkContext.broadcast(index(sorted(items, key=lambda x: (x[0] is None, x[0] or 0, x[1])), rate, least))
 
     def run(text: pa.Array) -> pa.Array:
         ix = shared.value
@@ -234,24 +232,29 @@ def _matcher(spark: SparkSession, items, rate: float):
     return F.arrow_udf(run, "array<struct<item_id:bigint,distance:int>>")
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE, least: int = LEAST) -> DataFrame:
     """doc_id, item_id, distance (bytes, of the best passage) for every document and item it holds within the budget.
 
-    Items with a null or empty text, or without words, match nothing; texts without words hold nothing. Repeated
+    An item occurs where its words do, from the beginning of one to the end of one; a letter more or less there is an edit. Items with a null or
+    empty text, and of fewer than least bytes in words, match nothing; texts without words hold nothing. Repeated
     documents give a row each; items with one text and several ids each match. Whole texts are
     searched; other columns are ignored; empty tables give an empty result.
     """
     out = None
     for items in _shards(benchmark):
-        f = _matcher(docs.sparkSession, items, rate)
+        f = _matcher(docs.sparkSession, items, rate, least)
         part = docs.select("doc_id", F.explode(f(F.col("text"))).alias("m")).select("doc_id", "m.item_id", "m.distance")
         out = part if out is None else out.unionByName(part)
     return out
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE) -> DataFrame:
-    """The rows, with their columns as they were, that hold no item."""
+def clean(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE, least: int = LEAST) -> DataFrame:
+    """The rows, with their columns as they were, that hold no item within the budget.
+
+    Rows with a null text, or one without words, stay; repeated rows stay or go together; whole texts are searched; without items, or
+    without any of least bytes, all stay; an empty table stays empty.
+    """
     for items in _shards(benchmark):
-        f = _matcher(docs.sparkSession, items, rate)
+        f = _matcher(docs.sparkSession, items, rate, least)
         docs = docs.withColumn("__loom_hits", f(F.col("text"))).where(F.size("__loom_hits") == 0).drop("__loom_hits")
     return docs
