@@ -5,12 +5,14 @@ transition carries by how much the number of tokens changes when the text read s
 sum along a text is its token count. States are: the part of the pre-tokenizer that the text is in, the longest suffix
 of the pre-token that can still grow into a token, and, for the places in it where such a token could start, the last token before
 the place (the encoding of a prefix is its shorter prefix's encoding and one more token, told by which pairs of neighbours merging keeps apart) and its relative count. Transitions are
-made when they are first met and kept in one table.
-
-Texts are cut into chunks of equal length. A chunk's state map is what it does to any incoming state: after the first
-blank that follows a non-blank the state no longer depends on it, so the map is a head that is still to be run, and a fixed end
-state and count. Maps compose associatively; those of a text are folded as a tree (a parallel prefix scan), and in each round all heads, as all
-chunks before, run in step through the table, one array operation a character.
+made when they are first met: those of the first 256 characters in rows, those of others in a hash table, so that memory does not grow with
+the number of characters. Where too many states are made, all but those in use are forgotten.
+
+Texts are cut into chunks of equal length, and all chunks run in step through the tables, one array operation a character. A chunk's
+state map is what it does to an incoming state. After the first blank that follows a non-blank the state no longer depends on it, so such a
+map is constant but for its count. The map of a chunk without one is kept for the incoming states that are asked for: first the one that the end
+of the chunk before leads to from anywhere, as a rule the right one, then those that turn out. Maps are composed by pointer jumping over (chunk, state), a
+parallel prefix scan, for all texts at once.
 """
 
 from __future__ import annotations
@@ -25,11 +27,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..runtime import ship
-from .common import slices, utf8
+from .common import mix64, slices, utf8
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 CHUNK = 512
-STATES = 1 << 17  # with more of them made, the table is dropped and made anew, so memory is bounded
+STATES = 1 << 16  # with more of them made, those not in use are forgotten
+ROW = 256  # characters whose transitions are in rows
+OTHERS = 1 << 20  # transitions by other characters; with more of them they are forgotten
+GUESS = 64  # characters that lead to the likely state at the end of a chunk
+ROUNDS = 40  # in which an unexpected state is tried on many chunks ahead
 FEW = 64  # so many possible next tokens are told apart one by one
 SPACES = {*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000}
 
@@ -153,14 +159,33 @@ class Transducer:
 
     def __init__(self, ranks: dict[bytes, int]):
         self.bpe = Bpe(ranks)
-        self.states: list[tuple] = []
-        self.number: dict[tuple, int] = {}
         self.symbol = np.full(0x110000, -1, np.int32)
         self.chars: list[int] = []
-        self.width = 64
-        self.table = np.full((1024, self.width), -1, np.int32)
-        self.free = self._state(FREE)
+        self.symbols(np.array([*range(128), *range(0xC0, 0x100)]))
+        self.live: list[np.ndarray] = []  # states in use, renumbered in place when others are forgotten
+        self._forget([FREE])
+
+    def _forget(self, states: list[tuple]) -> None:
+        """Keep these states, and no transition."""
+        self.states: list[tuple] = []
+        self.number: dict[tuple, int] = {}
+        self.table = np.full((1024, ROW), -1, np.int32)
+        self.keys, self.values, self.used = np.full(1 << 12, -1, np.int64), np.zeros(1 << 12, np.int32), 0
         self.after_space: dict[int, int] = {}
+        for x in (self.bpe.whole, self.bpe.spines, self.bpe.alike, self.bpe.same):
+            x.clear()
+        for s in states:
+            self._state(s)
+        self.free = self._state(FREE)
+
+    def compact(self) -> None:
+        used = np.unique(np.concatenate([*self.live, [self.free]]))
+        used = used[used >= 0]
+        to = np.full(len(self.states) + 1, -1, np.int64)
+        to[used] = np.arange(len(used))
+        self._forget([self.states[k] for k in used])
+        for x in self.live:
+            x[:] = to[x]  # -1 stays: it is the last place
 
     def _state(self, s: tuple) -> int:
         if s not in self.number:
@@ -173,15 +198,48 @@ class Transducer:
     def symbols(self, chars: np.ndarray) -> np.ndarray:
         out = self.symbol[chars]
         if (out < 0).any():
-            for c in np.unique(chars[out < 0]):
-                self.symbol[c] = len(self.chars)
-                self.chars.append(int(c))
-            while len(self.chars) > self.width:
-                self.table = np.hstack([self.table, np.full_like(self.table, -1)])
-                self.width *= 2
+            new = np.unique(chars[out < 0])
+            self.symbol[new] = len(self.chars) + np.arange(len(new))
+            self.chars += new.tolist()
             out = self.symbol[chars]
         return out
 
+    def _slots(self, key: np.ndarray) -> np.ndarray:
+        """Where keys are in the hash table, or the free place for each."""
+        mask = len(self.keys) - 1
+        at = (mix64(key.astype(np.uint64)) & np.uint64(mask)).astype(np.int64)
+        left = np.arange(len(key))
+        while len(left):
+            there = self.keys[at[left]]
+            left = left[(there != key[left]) & (there >= 0)]
+            at[left] = (at[left] + 1) & mask
+        return at
+
+    def look_up(self, state: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+        """Transitions (end state, shifted, and change of the count), -1 where they are not made."""
+        v = self.table[state, np.minimum(symbol, ROW - 1)]
+        far = np.flatnonzero(symbol >= ROW - 1)
+        if len(far):
+            key = state[far] << 21 | symbol[far]
+            at = self._slots(key)
+            v[far] = np.where(self.keys[at] == key, self.values[at], -1)
+        return v
+
+    def _keep(self, state: int, symbol: int, value: int) -> None:
+        if symbol < ROW - 1:
+            self.table[state, symbol] = value
+            return
+        if 2 * self.used >= len(self.keys):
+            old = self.keys >= 0
+            keys, values = self.keys[old], self.values[old]
+            self.keys, self.values = np.full(2 * len(self.keys), -1, np.int64), np.zeros(2 * len(self.keys), np.int32)
+            for k, x in zip(keys, values):  # one by one, as they may want the same place
+                at = self._slots(np.array([k]))[0]
+                self.keys[at], self.values[at] = k, x
+        at = self._slots(np.array([state << 21 | symbol]))[0]
+        self.used += self.keys[at] < 0
+        self.keys[at], self.values[at] = state << 21 | symbol, value
+
     def _first(self, before: bytes, char: int) -> tuple[tuple, int]:
         """A new pre-token of a blank that was read already (or nothing) and a character that is no blank."""
         b = chr(char).encode("utf-8", "surrogatepass")
@@ -228,25 +286,30 @@ class Transducer:
         new, d = self.move(self.states[state], self.chars[symbol])
         if not -(1 << (SHIFT - 1)) <= d < 1 << (SHIFT - 1):
             raise ValueError("a count changes by more than a table entry holds")
-        n = self._state(new)
-        self.table[state, symbol] = (n << SHIFT) | (d + (1 << (SHIFT - 1)))
+        self._keep(state, symbol, (self._state(new) << SHIFT) | (d + (1 << (SHIFT - 1))))
 
     def run(self, symbols: np.ndarray, start: np.ndarray, length: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Run the pieces symbols[start : start + length] from their states, in step; (end states, counts)."""
         order = np.argsort(-length, kind="stable")
         at, left = start[order].astype(np.int64), length[order]
         state = state[order].astype(np.int64)
+        self.live.append(state)
         total = np.zeros(len(order), np.int64)
         active = np.searchsorted(-left, -np.arange(int(left[0]) if len(left) else 0), "left")
         for j, m in enumerate(active):
             sym = symbols[at[:m] + j]
-            v = self.table.ravel()[state[:m] * self.width + sym]
+            v = self.look_up(state[:m], sym)
             if (v < 0).any():
-                for s, c in {(int(a), int(b)) for a, b in zip(state[:m][v < 0], sym[v < 0])}:
-                    self.fill(s, c)
-                v = self.table.ravel()[state[:m] * self.width + sym]
+                new = np.unique(state[:m][v < 0] << 21 | sym[v < 0])
+                if len(self.states) + len(new) > STATES or self.used + len(new) > OTHERS:
+                    self.compact()
+                    new = np.unique(state[:m] << 21 | sym)
+                for k in new.tolist():
+                    self.fill(k >> 21, k & (1 << 21) - 1)
+                v = self.look_up(state[:m], sym)
             total[:m] += v & ((1 << SHIFT) - 1)
             state[:m] = v >> SHIFT
+        self.live.pop()
         out_state, out_total = np.empty_like(state), np.empty_like(total)
         out_state[order] = state
         out_total[order] = total - left * (1 << (SHIFT - 1))
@@ -259,8 +322,6 @@ class Transducer:
 
     def counts(self, chars: np.ndarray, offsets: np.ndarray, chunk: int = CHUNK) -> np.ndarray:
         """Token counts of the texts chars[offsets[i] : offsets[i + 1]]."""
-        if len(self.states) > STATES:
-            self.__init__(self.bpe.ranks)
         symbols = self.symbols(chars)
         size = np.diff(offsets)
         pieces = np.maximum(1, -(-size // chunk))
@@ -270,41 +331,67 @@ class Transducer:
         end = np.minimum(start + chunk, offsets[doc + 1])
         # the first place of a later chunk after which the state is known
         blank = np.zeros(len(chars) + 1, bool)
-        blank[:-1] = np.array([c in SPACES for c in self.chars], bool)[symbols] if len(chars) else False
+        blank[:-1] = _BLANK[chars]
         sync = np.zeros(len(chars) + 1, bool)
         sync[1:-1] = blank[1:-1] & ~blank[:-2] if len(chars) else False
         known = np.flatnonzero(sync)
-        i = np.searchsorted(known, start)
-        p = np.append(known, len(chars) + 1)[i]
-        has = (place > 0) & (p < end)
+        p = np.append(known, len(chars) + 1)[np.searchsorted(known, start)]
         first = place == 0
-        # a map: its head symbols[head : head_end], then state and count if fixed
-        head, head_end = start.copy(), np.where(first, start, np.where(has, p + 1, end))
-        fixed = first | has
+        has = ~first & (p < end)
+        fixed = first | has  # whose end state does not depend on the chunk before
+        tail = np.where(first, start, p + 1)
         state = np.full(len(doc), self.free, np.int64)
-        for k in np.flatnonzero(has):
-            state[k] = self.blank_state(int(chars[p[k]]))
-        total = np.zeros(len(doc), np.int64)
+        self.live = [state]
+        for c in np.unique(chars[p[has]]):
+            k = self.blank_state(int(c))
+            state[np.flatnonzero(has)[chars[p[has]] == c]] = k
         f = np.flatnonzero(fixed)
-        state[f], total[f] = self.run(symbols, head_end[f], end[f] - head_end[f], state[f])
-        # fold neighbouring maps of a text until one is left of each
-        while len(doc) > len(size):
-            rank = np.arange(len(doc)) - np.searchsorted(doc, doc)
-            right = np.flatnonzero((rank % 2 == 1))
-            left = right - 1
-            go = right[fixed[left]]
-            s, t = self.run(symbols, head[go], head_end[go] - head[go], state[go - 1])
-            # after its head a fixed map is where it always is; one without an end is all head
-            state[go - 1] = np.where(fixed[go], state[go], s)
-            total[go - 1] += t + np.where(fixed[go], total[go], 0)
-            stay = right[~fixed[left]]  # heads join: the chunks lie side by side
-            head_end[stay - 1] = head_end[stay]
-            state[stay - 1], total[stay - 1], fixed[stay - 1] = state[stay], total[stay], fixed[stay]
-            keep = rank % 2 == 0
-            doc, head, head_end, fixed, state, total = (x[keep] for x in (doc, head, head_end, fixed, state, total))
-        return total
-
-
+        state[f], n = self.run(symbols, tail[f], end[f] - tail[f], state[f])
+        total = np.bincount(doc[f], n, len(size)).astype(np.int64)
+        need = np.flatnonzero(~first)
+        if not len(need):
+            return total
+        # nodes: what a chunk's head, up to where it is fixed, does to a state
+        head = np.where(has, p + 1, end) - start
+        later = np.append(doc[1:] == doc[:-1], False) & ~fixed  # the chunk after it depends on it
+        last = np.flatnonzero(~later)[np.searchsorted(np.flatnonzero(~later), np.arange(len(doc)))]  # of its run of such chunks
+        given = fixed[need - 1]
+        enter = state[need - 1]
+        g = need[~given]
+        self.live = [state, enter]
+        enter[~given] = self.run(symbols, start[g] - np.minimum(GUESS, chunk), np.full(len(g), min(GUESS, chunk)), np.full(len(g), self.free))[0]
+        c, roots = need, np.flatnonzero(given)
+        leave, n = self.run(symbols, start[c], head[c], enter)
+        turn = 0
+        while True:
+            key = c << 32 | enter
+            order = np.argsort(key)
+            want = (c + 1) << 32 | leave
+            at = np.minimum(np.searchsorted(key[order], want), len(key) - 1)
+            found = later[c] & (key[order][at] == want)
+            to, sums = np.where(found, order[at], np.arange(len(c))), np.where(found, n, 0)
+            while (to[to] != to).any():
+                sums = sums + sums[to]
+                to = to[to]
+            stop = to[roots]
+            lost = later[c[stop]]
+            if not lost.any():
+                np.add.at(total, doc[c[roots]], sums[roots] + n[stop])
+                return total
+            # the state that came out is tried on the next chunks, at first on some, then on all ahead, in the end on one by one
+            at, s = c[stop[lost]] + 1, leave[stop[lost]]
+            ahead = np.minimum(last[at] - at + 1, 16 << min(turn, 40) if turn < ROUNDS else 1)
+            more = np.repeat(at - np.cumsum(ahead) + ahead, ahead) + np.arange(ahead.sum())
+            s = np.repeat(s, ahead)
+            fresh = ~np.isin(more << 32 | s, key)
+            self.live = [state, enter, leave, s]
+            out, k = self.run(symbols, start[more[fresh]], head[more[fresh]], s[fresh])
+            c, enter, leave, n = (np.concatenate(x) for x in ((c, more[fresh]), (enter, s[fresh]), (leave, out), (n, k)))
+            turn += 1
+
+
+_BLANK = np.zeros(0x110000, bool)
+_BLANK[list(SPACES)] = True
 _own: dict[str, Transducer] = {}
 
 

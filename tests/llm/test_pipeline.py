@@ -70,7 +70,7 @@ def expected(rows, items):
             parent[max(ra, rb)] = min(ra, rb)
     stay = [r for i, r in enumerate(stay) if root(i) == i]
     wanted = [decontam.normal(t) for _, t in items if t]
-    held = lambda t: any(edits(w, decontam.normal(t)) <= int(decontam.ERROR_RATE * len(w)) for w in wanted)
+    held = lambda t: any(edits(w, decontam.normal(t)) <= decontam.budget_of(w) for w in wanted)
     return {r[0]: (pii.rewrite(r[1])[0], r[3]) for r in stay if not held(r[1])}
 
 

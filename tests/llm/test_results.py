@@ -301,6 +301,51 @@ def test_token_counts_are_those_of_the_encoder(spark, small):
     assert got == {i: len(enc.encode_ordinary(t)) for i, t in rows}
 
 
+def encoder():
+    tiktoken = pytest.importorskip("tiktoken")
+    import public_tokenizers as P
+
+    return tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=token_count.load_ranks(token_count.TOKENIZER), special_tokens={})
+
+
+def counted(t, texts, **how):
+    chars = np.array([ord(c) for x in texts for c in x], np.uint32)
+    return t.counts(chars, np.concatenate([[0], np.cumsum([len(x) for x in texts])]), **how).tolist()
+
+
+def test_many_characters_take_little_memory():
+    enc = encoder()
+    rng = random.Random(66)
+    wide = [chr(c) for c in range(0x4E00, 0x4E00 + 20_000)]
+    rng.shuffle(wide)
+    texts = ["".join(wide), " ".join(wide[:3000]), "a b c d e f g h " * 500, "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(50_000))]
+    t = token_count.Transducer(token_count.load_ranks(token_count.TOKENIZER))
+    assert counted(t, texts) == [len(enc.encode_ordinary(x)) for x in texts]
+    assert t.table.nbytes + t.keys.nbytes + t.values.nbytes < 150 << 20 and len(t.states) <= token_count.STATES
+
+
+@pytest.mark.parametrize("states", [400, 1 << 16])
+def test_texts_without_blanks_are_scanned(monkeypatch, states):
+    monkeypatch.setattr(token_count, "STATES", states)
+    enc = encoder()
+    rng = random.Random(67)
+    letters = lambda n, of: "".join(rng.choice(of) for _ in range(n))
+    texts = ["a" * 5000, "ab" * 3000, letters(20_000, "abcdefghij"), letters(3000, "0123456789"), "x" * 700 + " " + "y" * 1400, letters(4000, "漢字仮名é"), "", " " * 900, "-" * 2100 + "=" * 1030, "w " * 30 + "z" * 3000]
+    t = token_count.Transducer(token_count.load_ranks(token_count.TOKENIZER))
+    for chunk in (token_count.CHUNK, 100):
+        assert counted(t, texts, chunk=chunk) == [len(enc.encode_ordinary(x)) for x in texts]
+
+
+def test_a_very_long_text_without_blanks():
+    enc = encoder()
+    rng = random.Random(68)
+    part = "".join(rng.choice("etaoinshrdlu") for _ in range(10_000))
+    t = token_count.Transducer(token_count.load_ranks(token_count.TOKENIZER))
+    text = part * 200  # the encoder itself takes quadratic time
+    few = [len(enc.encode_ordinary(part * n)) for n in (2, 3)]
+    assert counted(t, [part * 2, part * 3, text]) == [*few, few[0] + 198 * (few[1] - few[0])]
+
+
 # ---------------------------------------------------------------- 7
 def edits(item: bytes, text: bytes) -> int:
     """The least edit distance of the item to any substring of the text."""
@@ -332,12 +377,21 @@ def test_decontamination_against_edit_distance():
     for d, t in enumerate(texts):
         for i, item in items:
             p = decontam.normal(item)
-            if (e := edits(p, decontam.normal(t))) <= int(decontam.ERROR_RATE * len(p)):
+            if len(p) - 2 >= decontam.LEAST and (e := edits(p, decontam.normal(t))) <= decontam.budget_of(p):
                 want[d, i] = e
     assert set(got) == set(want) and len(want) > 20
     assert all(got[k] >= want[k] for k in got)
 
 
+def test_items_match_whole_words_only():
+    items = [(1, "no"), (2, "cat"), (3, "nothing of concatenation"), (4, "othing of concatenatio"), (5, "we know"), (6, "!?")]
+    texts = ["We know nothing of concatenation here", "No cat", "", "nothing of concatenation"]
+    found = lambda least, rate=0.0: {(d, ix.ids[n]) for ix in [decontam.index(items, rate, least)] for d, n, _ in decontam.matches(ix, *utf8(pa.array(texts)))}
+    assert found(decontam.LEAST) == {(0, 3), (3, 3)}
+    assert found(1) == {(0, 3), (3, 3), (0, 5), (1, 1), (1, 2)}
+    assert found(decontam.LEAST, 0.1) == {(0, 3), (3, 3), (0, 4), (3, 4)}  # two letters of 22 bytes
+
+
 # ---------------------------------------------------------------- 8
 def weighted_jaccard(docs, texts):
     n = len(set(texts))
