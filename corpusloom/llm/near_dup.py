@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..runtime import checked_broadcast, ship, stored
-from .common import mix64, slices, utf8
+from .common import mix64, packed, slices, unpacked, utf8
 from .components import components
 
 THRESHOLD = 0.6
@@ -98,20 +98,6 @@ def features(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return (code >> _U(32)).astype(np.int64), code.astype(np.uint32), tf.astype(np.uint32)
 
 
-def packed(x: np.ndarray) -> bytes:
-    """Small numbers as a byte each; 255 stands for one that follows after all bytes."""
-    return np.minimum(x, 255).astype(np.uint8).tobytes() + x[x >= 255].astype(np.uint32).tobytes()
-
-
-def unpacked(data: np.ndarray, n: int) -> tuple[np.ndarray, int]:
-    """The n numbers at the front of the bytes, and how many bytes they take."""
-    x = data[:n].astype(np.uint32)
-    large = np.flatnonzero(data[:n] == 255)
-    end = n + 4 * len(large)
-    x[large] = data[n:end].view(np.uint32)
-    return x, end
-
-
 def chunks(texts: DataFrame) -> DataFrame:
     """node and text -> a row for about CHUNK_BYTES of text: chunk, n (texts), nodes, size (features of each text), n_ids, ids, tf."""
 

@@ -18,18 +18,21 @@ The template tables have a few hundred rows a host. They are broadcast if they a
 from __future__ import annotations
 
 import html as entities
+import os
 import re
 import zlib
 from collections import Counter
 from functools import lru_cache
 from math import ceil
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..runtime import BROADCAST_LIMIT, ship, stored
+from .common import packed, unpacked
 
 MIN_PAGES = 3  # a template needs so many pages
 SUPPORT = 0.6  # and its tokens so large a share of the host's pages
@@ -38,8 +41,9 @@ HOST = r"^\s*(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?(\[[^\]/?#]*\]|[^/?#:]
 _PART = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style)\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?[A-Za-z][^\s/>]*)([^>\"']*(?:(?:\"[^\"]*\"|'[^']*')[^>\"']*)*)>|<[!?][^>]*>", re.S | re.I)
 _ATTRIBUTE = re.compile(r"(?:^|\s)(class|id)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 DEEP = 200  # characters of a path
-BUCKETS = 1 << 16  # of a host's roles
-FLUSH = 1 << 18  # counts that a task holds before it passes them on
+BUCKETS = 1 << 14  # of a host's roles
+FLUSH = 1 << 20  # counts that a task holds before it passes them on
+FAN = 1024  # counts of a host that one task adds up
 WORDS = 32  # bits of the place of a word among those of its gap
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 ENDS = {"p": ("p",), "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
@@ -159,37 +163,88 @@ def _keyed(pages: DataFrame) -> DataFrame:
     return pages.withColumn("host", F.when(host != "", host)).withColumn("__page", F.xxhash64("page_id", "url", "html"))
 
 
-def _buckets(path: str, tokens):
-    """(token, bucket of its role) of some tokens of a path."""
-    c = zlib.crc32(path.encode("utf-8", "surrogatepass"))
-    return ((t, zlib.crc32(t.encode("utf-8", "surrogatepass"), c) % BUCKETS) for t in tokens)
+class Buckets:
+    """The bucket of a role by its path and token; those met before are kept, up to a bound."""
+
+    def __init__(self):
+        self.by_path: dict[str, dict[str, int]] = {}
+        self.n = 0
+
+    def of(self, path: str) -> dict[str, int]:
+        if self.n > 1 << 20:
+            self.by_path.clear()
+            self.n = 0
+        return self.by_path.setdefault(path, {})
+
+    def add(self, known: dict[str, int], path: str, token: str) -> int:
+        self.n += 1
+        known[token] = b = zlib.crc32(token.encode("utf-8", "surrogatepass"), zlib.crc32(path.encode("utf-8", "surrogatepass"))) % BUCKETS
+        return b
+
+    def __call__(self, path: str, tokens) -> list[int]:
+        known = self.of(path)
+        found = list(map(known.get, tokens))
+        if None in found:
+            found = [known.get(t) if b is not None else self.add(known, path, t) for t, b in zip(tokens, found)]
+        return found
 
 
 def _frequent(pages: DataFrame, minimum: DataFrame) -> DataFrame:
-    """host, bucket: those with a role on enough of the host's pages to hold a frequent one."""
+    """host, t: its buckets with a role on enough of its pages to hold a frequent one, as an array; stored.
+
+    Each task sends a vector of counts for each of its hosts, and those of a host are added up in tasks of at most FAN.
+    """
+
+    def vector(host: str, n: np.ndarray):
+        at = np.flatnonzero(n)
+        return host, np.uint32(len(at)).tobytes() + at.astype(np.uint16).tobytes() + packed(n[at])
+
+    def batch(rows):
+        ids = np.frombuffer(os.urandom(8 * len(rows)), np.int64)
+        return pa.RecordBatch.from_arrays([pa.array([h for h, _ in rows], pa.string()), pa.array(ids), pa.array([v for _, v in rows], pa.binary())], ["host", "id", "n"])
 
     def run(batches):
-        seen: dict[str, Counter] = {}
-        held = 0
+        buckets, seen, held = Buckets(), {}, 0
 
         def flush():
-            rows = [(h, b, n) for h, c in seen.items() for b, n in c.items()]
+            rows = [vector(h, np.bincount(np.array(x), minlength=BUCKETS)) for h, x in seen.items()]
             seen.clear()
-            cols = list(zip(*rows)) or [(), (), ()]
-            return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int64())], ["host", "bucket", "n"])
+            return batch(rows)
 
         for b in batches:
             for host, text in zip(b.column("host").to_pylist(), b.column("html").to_pylist()):
-                found = {k for path, bag in bags(text).items() for _, k in _buckets(path, set(bag))}
-                seen.setdefault(host, Counter()).update(found)
+                found = {k for path, bag in bags(text).items() for k in buckets(path, set(bag))}
+                seen.setdefault(host, []).extend(found)
                 held += len(found)
                 if held > FLUSH:
                     yield flush()
                     held = 0
         yield flush()
 
-    counted = pages.select("host", "html").mapInArrow(run, "host string, bucket int, n bigint").groupBy("host", "bucket").agg(F.sum("n").alias("n"))
-    return counted.join(minimum, "host").where("n >= least").select("host", "bucket")
+    def opened(data: bytes, total: np.ndarray) -> None:
+        raw = np.frombuffer(data, np.uint8)
+        n = int(raw[:4].view(np.uint32)[0])
+        total[raw[4 : 4 + 2 * n].view(np.uint16)] += unpacked(raw[4 + 2 * n :], n)[0]
+
+    def add(key, t):
+        total = np.zeros(BUCKETS, np.int64)
+        for x in t["n"].to_pylist():
+            opened(x, total)
+        return pa.Table.from_batches([batch([vector(key[0].as_py(), total)])])
+
+    def enough(key, t):
+        total = np.zeros(BUCKETS, np.int64)
+        for x in t["n"].to_pylist():
+            opened(x, total)
+        return pa.table({"host": pa.array([key[0].as_py()], pa.string()), "t": pa.array([np.flatnonzero(total >= t["least"][0].as_py()).astype(np.int32)], pa.list_(pa.int32()))})
+
+    rows = stored(pages.select("host", "html").mapInArrow(run, "host string, id bigint, n binary"), "tp-counted")
+    most = rows.groupBy("host").count().agg(F.max("count")).first()[0] or 0
+    while most > FAN:
+        salt = F.pmod(F.xxhash64("id"), F.lit(-(-most // FAN)))
+        rows = stored(rows.withColumn("salt", salt).groupBy("host", "salt").applyInArrow(add, "host string, id bigint, n binary"), "tp-added")
+        most = -(-most // FAN)
+    return stored(rows.join(minimum, "host").groupBy("host").applyInArrow(enough, "host string, t array<int>").where("size(t) > 0"), "tp-buckets")
 
 
 def _with(pages: DataFrame, rows: DataFrame, run, schema: str, columns=("host", "__page", "html")) -> DataFrame:
@@ -238,7 +293,7 @@ def _counts(pages: DataFrame, frequent: DataFrame, minimum: DataFrame) -> DataFr
 
     def run(batches, lookup):
         held = Lookup(lambda rows: {b for (b,) in rows})
-        total: dict[tuple, list[int]] = {}
+        buckets, total = Buckets(), {}
         for b in batches:
             for _, host, page, text, t in _rows_of(b):
                 rows = lookup(host, t)
@@ -248,10 +303,9 @@ def _counts(pages: DataFrame, frequent: DataFrame, minimum: DataFrame) -> DataFr
                 marks: dict[int, tuple[int, int]] = {}
                 for path, bag in bags(text).items():
                     c = Counter(bag)
-                    for token, bucket in _buckets(path, c):
+                    for (token, n), bucket in zip(c.items(), buckets(path, c)):
                         if bucket not in wanted:
                             continue
-                        n = c[token]
                         if n not in marks:
                             h = xxhash.xxh64_intdigest(f"{page}:{n}")
                             marks[n] = h & 0xFFFFFFFF, h >> 32  # sums of 32 bits fit a bigint for 2^31 pages
@@ -271,7 +325,7 @@ def _counts(pages: DataFrame, frequent: DataFrame, minimum: DataFrame) -> DataFr
             names = [pa.array([x[j] for x in k], pa.string()) for j in range(3)]
             yield pa.RecordBatch.from_arrays([*names, *(pa.array([total[x][j] for x in k], pa.int64()) for j in range(3)), pa.array([role(p, t) for _, p, t in k], pa.int64())], ["host", "path", "token", "n", "m1", "m2", "role"])
 
-    per_host = frequent.groupBy("host").agg(F.collect_list(F.struct("bucket")).alias("t"), (F.count("*") * 100).alias("bytes"))
+    per_host = frequent.select("host", F.transform("t", lambda b: F.struct(b)).alias("t"), (F.size("t") * 100).alias("bytes"))
     counted = _with(pages, per_host, run, "host string, path string, token string, n bigint, m1 bigint, m2 bigint, role bigint")
     sums = counted.groupBy("host", "path", "token", "role").agg(F.sum("n").alias("n"), F.sum("m1").alias("m1"), F.sum("m2").alias("m2"))
     return sums.join(minimum, "host").where("n >= least").select("host", "path", "token", "role", F.xxhash64("n", "m1", "m2").alias("class"))
@@ -387,7 +441,7 @@ def deduced(pages: DataFrame) -> DataFrame:
     ship(pages.sparkSession)
     n = usable.groupBy("host").agg(F.count("*").alias("n")).where(F.col("n") >= MIN_PAGES)
     minimum = stored(n.select("host", F.greatest(F.lit(MIN_PAGES), F.ceil(F.col("n") * SUPPORT)).alias("least")), "tp-hosts")
-    counted = stored(_counts(usable, stored(_frequent(usable, minimum), "tp-buckets"), minimum), "tp-counts")
+    counted = stored(_counts(usable, _frequent(usable, minimum), minimum), "tp-counts")
     size = counted.groupBy("host", "class").count().where("count >= 2").select("host", "class")
     classes = stored(counted.join(size, ["host", "class"]), "tp-classes")
     return stored(_validated(usable, classes), "tp-template")
