@@ -36,37 +36,41 @@ def measure(word: Column) -> Column:
     return F.regexp_count(word, F.lit(VOWEL_BREAK))
 
 
-def _step(x: str, step: int) -> str:
-    """One step as SQL. Suffixes are tried by their last letter, so that most words take a few comparisons."""
-    rules, least = STEPS[step]
+def _step(step: tuple[dict[str, str], int | None]):
+    """One step, as a function of a column."""
+    return lambda x: _replaced(x, *step)
+
+
+def _replaced(x: Column, rules: dict[str, str], least: int | None) -> Column:
+    """Suffixes are tried by their last letter, so that most words take a few comparisons."""
     by_end: dict[str, list[str]] = {}
     for suffix in sorted(rules, key=lambda s: (-len(s), s)):
         by_end.setdefault(suffix[-1], []).append(suffix)
-    outer = []
+    out = F
     for end, suffixes in sorted(by_end.items()):
-        inner = []
+        inner = F
         for suffix in suffixes:
             n = len(suffix)
-            rest = f"left({x}, length({x}) - {n})"
-            test = f"endswith({x}, '{suffix}') and length({x}) > {n}"
+            rest = F.left(x, F.length(x) - n)
+            test = F.endswith(x, F.lit(suffix)) & (F.length(x) > n)
             if least is not None:
-                test += f" and regexp_count({rest}, '{VOWEL_BREAK}') >= {least}"
-            inner.append(f"when {test} then concat({rest}, '{rules[suffix]}')")
-        outer.append(f"when endswith({x}, '{end}') then case {' '.join(inner)} else {x} end")
-    return f"case {' '.join(outer)} else {x} end"
+                test = test & (measure(rest) >= least)
+            inner = inner.when(test, F.concat(rest, F.lit(rules[suffix])))
+        out = out.when(F.endswith(x, F.lit(end)), inner.otherwise(x))
+    return out.otherwise(x)
 
 
 def with_stem(df: DataFrame, word: str, out: str) -> DataFrame:
     """Adds the stem of a lower-case word; words of up to two bytes stay. Stop words are the caller's."""
-    return df.withColumn(out, F.expr(stem_sql_spark(f"`{word}`")))
+    return df.withColumn(out, stemmed_column(F.col(word)))
 
 
-def stem_sql_spark(word: str) -> str:
-    """Lambdas bind the result of each step to a name: as plain nested expressions the steps would multiply when a filter moves through them."""
-    x = f"array({word})"
-    for k in range(len(STEPS)):
-        x = f"transform({x}, x -> {_step('x', k)})"
-    return f"case when octet_length({word}) <= 2 then {word} else element_at({x}, 1) end"
+def stemmed_column(word: Column) -> Column:
+    """The stem. Lambdas bind the result of each step to a name: as plain nested expressions the steps would multiply when a filter moves through them."""
+    x = F.array(word)
+    for step in STEPS:
+        x = F.transform(x, _step(step))
+    return F.when(F.octet_length(word) <= 2, word).otherwise(F.element_at(x, 1))
 
 
 def stem_sql(source: str, word: str, out: str) -> str:

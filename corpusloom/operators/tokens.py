@@ -6,10 +6,10 @@ digits. One regular expression finds them all; the run gives way where an addres
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.words import STOP_WORDS, stem_sql, with_stem
+from ..functions.words import STOP_WORDS, stem_sql, stemmed_column
 
 _OCTET = r"(?:2[0-4]\d|25[0-5]|[01]?\d\d?)"
 URL = r"https?://[-.A-Za-z\d]+(?:\.[A-Za-z]{2,})+/?\S*"
@@ -27,43 +27,82 @@ def passages(documents: DataFrame) -> DataFrame:
     return documents.select("doc_id", F.lit(0).alias("ord"), F.lit("b").alias("type"), "text")
 
 
+def _classed(raw: Column) -> Column:
+    """token and class of a run or address. Only addresses have a full stop, only URLs a scheme."""
+    kind = F.when(raw.contains("://"), "URL").when(raw.contains("."), "IPV4").when(~raw.rlike(r"\p{Nd}"), "WORD").when(~raw.rlike(r"\p{L}"), "NUMBER").otherwise("ALPHANUMERIC")
+    return F.struct(F.when(raw.contains("://"), raw).otherwise(F.lower(raw)).alias("token"), kind.alias("class"))
+
+
+def listed(text: Column) -> Column:
+    """The tokens of a text, in their order, as an array of token and class. They are told once here; what comes later are plain columns."""
+    mail = text.contains("@") & text.rlike(EMAIL)
+    runs = F.regexp_extract_all(text, F.when(text.contains("://"), PATTERN_URL).otherwise(PATTERN), F.lit(0))
+    return F.when(mail, F.array(F.struct(text.alias("token"), F.lit("EMAIL").alias("class")))).otherwise(F.transform(runs, _classed))
+
+
+def _seen(token: Column, kind: Column) -> Column:
+    """What queries see: no stop words, no IPv4 addresses."""
+    return (kind != "IPV4") & ~((kind == "WORD") & token.isin(*STOP_WORDS))
+
+
+def _stored(token: Column, kind: Column) -> Column:
+    """What is indexed: no numbers, no term over 64 bytes. A stem is never longer than its word, so few words must be stemmed to tell."""
+    short = (F.octet_length(token) <= LONGEST) | ((kind == "WORD") & (F.octet_length(stemmed_column(token)) <= LONGEST))
+    return _seen(token, kind) & (kind != "NUMBER") & short
+
+
 def tokens(passages: DataFrame) -> DataFrame:
     """doc_id, ord, type, tok (0-based in its passage), token, class of every token, stop words included."""
-    mail = F.col("text").contains("@") & F.col("text").rlike(EMAIL)
-    runs = F.when(F.col("text").contains("://"), F.regexp_extract_all("text", F.lit(PATTERN_URL), F.lit(0))).otherwise(F.regexp_extract_all("text", F.lit(PATTERN), F.lit(0)))
-    t = passages.select("doc_id", "ord", "type", mail.alias("mail"), F.posexplode(F.when(mail, F.array("text")).otherwise(runs)).alias("tok", "raw"))
-    kind = (
-        F.when(F.col("mail"), "EMAIL")
-        .when(F.col("raw").rlike(r"^\p{L}+\z"), "WORD")
-        .when(F.col("raw").rlike(r"^\p{Nd}+\z"), "NUMBER")
-        .when(F.col("raw").rlike("^https?://"), "URL")
-        .when(F.col("raw").contains("."), "IPV4")
-        .otherwise("ALPHANUMERIC")
-    )
-    t = t.withColumn("class", kind)
-    return t.select("doc_id", "ord", "type", "tok", F.when(F.col("class").isin("URL", "EMAIL"), F.col("raw")).otherwise(F.lower("raw")).alias("token"), "class")
+    t = passages.select("doc_id", "ord", "type", F.posexplode_outer(listed(F.col("text"))).alias("tok", "t"))
+    return t.where("t is not null").select("doc_id", "ord", "type", "tok", "t.token", "t.class")
 
 
 def kept(tokens: DataFrame) -> DataFrame:
     """Without stop words and IPv4 addresses: what queries see."""
-    return tokens.where((F.col("class") != "IPV4") & ~((F.col("class") == "WORD") & F.col("token").isin(*STOP_WORDS)))
+    return tokens.where(_seen(F.col("token"), F.col("class")))
+
+
+def with_term(tokens: DataFrame) -> DataFrame:
+    """Adds the term: the stem of a word, any other token itself. Group equal tokens before, so that each is stemmed once."""
+    return tokens.withColumn("term", F.when(F.col("class") == "WORD", stemmed_column(F.col("token"))).otherwise(F.col("token")))
 
 
 def stemmed(tokens: DataFrame) -> DataFrame:
-    """Kept tokens with their term: the stem of a word, any other token itself."""
-    k = with_stem(kept(tokens), "token", "stem")
-    return k.withColumn("term", F.when(F.col("class") == "WORD", F.col("stem")).otherwise(F.col("token"))).drop("stem")
+    """Kept tokens with their term."""
+    return with_term(kept(tokens))
+
+
+def indexed(passages: DataFrame) -> DataFrame:
+    """doc_id, ord, type, token, class of the tokens that are indexed, not yet stemmed."""
+    t = passages.select("doc_id", "ord", "type", F.explode_outer(_indexed(F.col("text"))).alias("t"))
+    # a plain explode would have its array told twice, first to drop the empty ones
+    return t.where("t is not null").select("doc_id", "ord", "type", "t.token", "t.class")
+
+
+def _indexed(text: Column) -> Column:
+    return F.filter(listed(text), lambda t: _stored(t["token"], t["class"]))
+
+
+def term_counts(passages: DataFrame) -> DataFrame:
+    """doc_id, term, tf."""
+    n = with_term(indexed(passages).groupBy("doc_id", "token", "class").agg(F.count("*").alias("n")))
+    return n.groupBy("doc_id", "term").agg(F.sum("n").alias("tf"))
+
 
+def placed(passages: DataFrame) -> DataFrame:
+    """doc_id, type, token, class, pos: the indexed tokens with their running number in their document over all its passages.
 
-def index_tokens(passages: DataFrame) -> DataFrame:
-    """The terms that are indexed: no numbers, none over 64 bytes."""
-    return stemmed(tokens(passages)).where((F.col("class") != "NUMBER") & (F.octet_length("term") <= LONGEST))
+    Whole passages are shuffled and numbered, not single tokens; the result is partitioned by document.
+    """
+    p = passages.select("doc_id", "ord", "type", _indexed(F.col("text")).alias("ts"))
+    before = F.sum(F.size("ts")).over(Window.partitionBy("doc_id").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1))
+    p = p.withColumn("before", F.coalesce(before, F.lit(0))).select("doc_id", "type", "before", F.posexplode_outer("ts").alias("i", "t"))
+    return p.where("t is not null").select("doc_id", "type", "t.token", "t.class", (F.col("before") + F.col("i")).cast("int").alias("pos"))
 
 
 def positioned(passages: DataFrame) -> DataFrame:
-    """Index tokens with pos, the running number in their document over all its passages."""
-    w = Window.partitionBy("doc_id").orderBy("ord", "tok")
-    return index_tokens(passages).withColumn("pos", F.row_number().over(w) - 1)
+    """placed, with terms."""
+    return with_term(placed(passages))
 
 
 # ---------------------------------------------------------------- the same in DuckDB's SQL, for tables without URLs
