@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..runtime import stored
@@ -13,22 +13,29 @@ from . import tokens as T
 POSITIONS = 500  # positions kept of a term in a document; its frequency is not cut
 
 
-def postings(positioned: DataFrame) -> DataFrame:
-    """doc_id, term, tf, positions. The tokens are partitioned by document already, so this adds no shuffle."""
-    at = F.array_sort(F.collect_list(F.struct(F.col("pos").alias("i"), "type")))
-    return positioned.groupBy("doc_id", "term").agg(F.count("*").cast("int").alias("tf"), F.slice(at, 1, POSITIONS).alias("positions"))
+def postings(placed: DataFrame) -> DataFrame:
+    """doc_id, term, tf, positions. The tokens are partitioned by document already, so this adds no shuffle; each word of a document is stemmed once."""
+    g = placed.groupBy("doc_id", "token", "class").agg(F.count("*").alias("n"), F.collect_list(F.struct(F.col("pos").alias("i"), "type")).alias("at"))
+    at = F.array_sort(F.flatten(F.collect_list("at")))
+    return T.with_term(g).groupBy("doc_id", "term").agg(F.sum("n").cast("int").alias("tf"), F.slice(at, 1, POSITIONS).alias("positions"))
 
 
-def lengths(documents: DataFrame, positioned: DataFrame) -> DataFrame:
+def lengths(documents: DataFrame, indexed: DataFrame) -> DataFrame:
     """doc_id and word_count of every document, those without a token too."""
-    n = positioned.groupBy("doc_id").agg(F.count("*").alias("n"))
+    n = indexed.groupBy("doc_id").agg(F.count("*").alias("n"))
     return documents.select("doc_id").join(n, "doc_id", "left").select("doc_id", F.coalesce("n", F.lit(0)).cast("int").alias("word_count"))
 
 
 def vocabulary(passages: DataFrame) -> DataFrame:
-    """word and first_seen of the words that feed the character n-grams: no stop words, unstemmed, of any length."""
-    w = T.kept(T.tokens(passages)).where("class = 'WORD'")
-    return w.groupBy(F.col("token").alias("word")).agg(F.min(F.struct("doc_id", "ord", "tok")).alias("first_seen"))
+    """word and first_seen of the words that feed the character n-grams: no stop words, unstemmed, of any length.
+
+    first_seen orders words as they first come: by document, passage and place among the passage's different words.
+    """
+    words = F.array_distinct(F.transform(F.filter(T.listed(F.col("text")), lambda t: (t["class"] == "WORD") & ~t["token"].isin(*T.STOP_WORDS)), lambda t: t["token"]))
+    w = passages.select("doc_id", "ord", F.posexplode_outer(words).alias("k", "word")).where("word is not null")
+    place = F.shiftleft(F.col("ord").cast("bigint"), 32) + F.col("k")
+    w = w.groupBy("doc_id", "word").agg(F.min(place).alias("place")).groupBy("word").agg(F.min("doc_id").alias("doc_id"), F.min_by("place", "doc_id").alias("place"))
+    return w.select("word", F.struct("doc_id", "place").alias("first_seen"))
 
 
 def ngrams(words: DataFrame, n: int = 3, word: str = "word") -> DataFrame:
@@ -46,7 +53,32 @@ def content_hash(passages: DataFrame) -> DataFrame:
 
 def deduplicated(hashed: DataFrame, key: str = "doc_id") -> DataFrame:
     """Adds first_id, the least id with the same content; it is an alias where that is another one."""
-    return hashed.withColumn("first_id", F.min(key).over(Window.partitionBy("content_hash"))).withColumn("is_alias", F.col(key) != F.col("first_id"))
+    # a hash that many share is aggregated before it is joined; only those that repeat are
+    hashed = stored(hashed, "hashes")
+    first = hashed.groupBy("content_hash").agg(F.min(key).alias("first_id"), F.count("*").alias("n")).where("n > 1").select("content_hash", "first_id")
+    out = hashed.join(first, "content_hash", "left").withColumn("first_id", F.coalesce("first_id", key))
+    return out.withColumn("is_alias", F.col(key) != F.col("first_id"))
+
+
+BUCKETS = 64
+
+
+def bucket(key: str | Column, n: int) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
+
+
+def bucketed(df: DataFrame, key: str, path: str, n: int = BUCKETS) -> None:
+    """Write to folders by a hash of the key, each sorted by it: a look-up reads few of them, and of those few row groups."""
+    b = df.withColumn("bucket", bucket(key, n))
+    b.repartition(n, "bucket").sortWithinPartitions("bucket", key).write.mode("overwrite").partitionBy("bucket").parquet(path)
+
+
+def pruned(stored: DataFrame, key: str, wanted: DataFrame, n: int | None) -> DataFrame:
+    """Of a table that bucketed wrote only the folders that hold one of the wanted keys; any other table as it is. wanted should be stored, or small."""
+    if n is None or "bucket" not in stored.columns:
+        return stored
+    named = [r["b"] for r in wanted.select(bucket(key, n).alias("b")).distinct().collect()]  # at most n
+    return stored.where(F.col("bucket").isin(named)) if len(named) < n else stored
 
 
 @dataclass
@@ -54,28 +86,39 @@ class Index:
     documents: DataFrame  # doc_id, url, word_count, and word_vec if vectors are known
     postings: DataFrame  # doc_id, term, tf, positions
     words: DataFrame  # word, first_seen
+    grams: DataFrame | None = None  # ngram, word, first_seen, if stored
+    buckets: int | None = None  # folders of a saved index
+    ngram: int = 3  # letters of the stored n-grams
 
     def statistics(self) -> DataFrame:
         """One row: the number of documents and their mean length."""
         return self.documents.agg(F.count("*").alias("n_docs"), F.avg("word_count").alias("avg_len"))
 
-    def save(self, path: str, term_buckets: int = 64) -> None:
-        """Postings go to folders by a hash of the term, sorted by term: a query reads few of them, and of those few row groups."""
-        self.documents.write.mode("overwrite").parquet(f"{path}/documents")
-        bucketed = self.postings.withColumn("term_bucket", F.pmod(F.xxhash64("term"), F.lit(term_buckets)).cast("int"))
-        bucketed.repartition("term_bucket").sortWithinPartitions("term_bucket", "term").write.mode("overwrite").partitionBy("term_bucket").parquet(f"{path}/postings")
+    def document(self, ids: DataFrame) -> DataFrame:
+        """The documents with one of the ids (doc_id); others have no row, and a repeated id has one."""
+        ids = ids.select("doc_id").distinct()
+        return pruned(self.documents, "doc_id", ids, self.buckets).join(ids, "doc_id", "left_semi").drop("bucket")
+
+    def save(self, path: str, buckets: int = BUCKETS, ngram: int = 3) -> None:
+        """documents, postings and n-grams of words by what they are looked up by; and words."""
+        bucketed(self.documents, "doc_id", f"{path}/documents", buckets)
+        bucketed(self.postings, "term", f"{path}/postings", buckets)
         self.words.write.mode("overwrite").parquet(f"{path}/words")
+        words = self.words.sparkSession.read.parquet(f"{path}/words")
+        bucketed(ngrams(words, ngram).select("ngram", "word", "first_seen"), "ngram", f"{path}/grams", buckets)
+        self.words.sparkSession.createDataFrame([(buckets, ngram)], "buckets int, ngram int").coalesce(1).write.mode("overwrite").parquet(f"{path}/layout")
 
     @classmethod
     def load(cls, spark, path: str) -> Index:
-        return cls(*(spark.read.parquet(f"{path}/{name}") for name in ("documents", "postings", "words")))
+        d, p, w, g, layout = (spark.read.parquet(f"{path}/{name}") for name in ("documents", "postings", "words", "grams", "layout"))
+        return cls(d, p, w, g, *layout.first())
 
 
 def build(documents: DataFrame, passages: DataFrame, vectors: DataFrame | None = None) -> Index:
     """documents: doc_id, url. vectors: doc_id, word_vec (array<array<double>>). Postings are computed once and stored; lengths are their sums."""
-    p = stored(postings(T.positioned(passages)), "index-postings")
+    p = stored(postings(T.placed(passages)), "index-postings")
     n = p.groupBy("doc_id").agg(F.sum("tf").alias("n"))
     d = documents.select("doc_id", "url").join(n, "doc_id", "left").select("doc_id", "url", F.coalesce("n", F.lit(0)).cast("int").alias("word_count"))
     if vectors is not None:
         d = d.join(vectors.select("doc_id", "word_vec"), "doc_id", "left")
-    return Index(d, p, vocabulary(passages))
+    return Index(d, p, stored(vocabulary(passages), "index-words"))

@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 
 from ..functions.vectors import cosine, euclid, mean_over, truncated
 from ..functions.words import with_stem
+from ..runtime import stored
 from . import spell
 from . import tokens as T
-from .index import Index
+from .index import Index, pruned
 
 K1, B = 1.2, 0.75
 NO_MATCH = 9223372036854775807  # stands for "no proximity" where queries are ranked
@@ -39,12 +40,13 @@ def query_terms(queries: DataFrame, index: Index, correct: bool = True, mode: st
     p = queries.select(F.col("query_id").alias("doc_id"), F.lit(0).alias("ord"), F.lit("q").alias("type"), "text")
     t = T.stemmed(T.tokens(p))
     w = Window.partitionBy("doc_id").orderBy("tok")
-    t = t.select(F.col("doc_id").alias("query_id"), (F.row_number().over(w) - 1).alias("slot"), "token", "class", "term")
+    t = stored(t.select(F.col("doc_id").alias("query_id"), (F.row_number().over(w) - 1).alias("slot"), "token", "class", "term"), "query-tokens")
     if correct:
         few = _few(queries.count())
-        known = index.postings.join(few(t.select("term").distinct()), "term", "left_semi").select("term").distinct()
-        unknown = t.where("class = 'WORD'").join(known, "term", "left_anti").select(F.col("token").alias("word")).distinct()
-        fixed = spell.replacements(unknown, index.words, ngram, max_typo, mode).where("word <> replacement")
+        asked = t.select("term").distinct()
+        known = pruned(index.postings, "term", asked, index.buckets).join(few(asked), "term", "left_semi").select("term").distinct()
+        unknown = stored(t.where("class = 'WORD'").join(known, "term", "left_anti").select(F.col("token").alias("word")).distinct(), "query-unknown")
+        fixed = spell.replacements(unknown, index, ngram, max_typo, mode).where("word <> replacement")
         fixed = with_stem(fixed.select(F.col("word").alias("token"), "replacement"), "replacement", "better").select("token", "better")
         t = t.join(few(fixed), "token", "left").withColumn("term", F.when(F.col("class") == "WORD", F.coalesce("better", "term")).otherwise(F.col("term")))
     n = F.count("*").over(Window.partitionBy("query_id"))
@@ -75,9 +77,11 @@ def features(terms: DataFrame, index: Index, vectors: DataFrame | None = None) -
 
     vectors: query_id, query_vec; without it, or without vectors of the documents, the vector features are null.
     """
+    terms = stored(terms, "query-terms")
     few = _few(terms.count())
-    hits = index.postings.join(few(terms), "term")
-    df = index.postings.join(few(terms.select("term").distinct()), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
+    found = pruned(index.postings, "term", terms, index.buckets).select("doc_id", "term", "tf", "positions")
+    hits = found.join(few(terms), "term")
+    df = found.join(few(terms.select("term").distinct()), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
     stats = F.broadcast(index.statistics())
     has_vec = "word_vec" in index.documents.columns and vectors is not None
     d = index.documents.select("doc_id", "url", "word_count", *(["word_vec"] if has_vec else []))
@@ -122,11 +126,12 @@ MODEL_COLUMNS = ("cos", "euclid_dist", "sum_token_in_package", "words_in_header"
 
 
 def standardized(df: DataFrame, columns: tuple[str, ...], by: list[str]) -> DataFrame:
-    """Adds z_0, z_1, ...: the columns less their mean over their population deviation (1 where that is 0) in each group."""
+    """Adds z_0, z_1, ...: the columns less their mean over their population deviation (1 where that is 0) in each group. A missing value is 0."""
     w = Window.partitionBy(*by)
     z = {}
     for i, c in enumerate(columns):
         x = F.coalesce(F.col(c).cast("double"), F.lit(float(NO_MATCH))) if c == "term_proximity" else F.col(c).cast("int").cast("double") if c == "words_in_header" else F.col(c).cast("double")
+        x = F.coalesce(x, F.lit(0.0))
         s = F.stddev_pop(x).over(w)
         z[f"z_{i}"] = (x - F.avg(x).over(w)) / F.when(s == 0, 1.0).otherwise(s)
     return df.withColumns(z)
@@ -136,14 +141,14 @@ def reranked(top: DataFrame, weights: list[float], bias: float = 0.0, columns: t
     """Ranks after the interleaved re-ranking by a linear model.
 
     Positions p of one p mod 10 are a class; in each class of two or more the first member whose relevance is above 0 changes places with its
-    head. A class with no such member, or with a missing feature, ends it: that class and the later ones stay as they were.
+    head. A class with no such member ends it: that class and the later ones stay as they were. Missing features are 0.
     """
     t = top.withColumn("cls", F.col("rank") % WIDTH).withColumn("slot", F.floor(F.col("rank") / WIDTH))
     t = standardized(t, columns, ["query_id", "cls"])
     score = sum((F.col(f"z_{i}") * w for i, w in enumerate(weights)), F.lit(bias))
     w = Window.partitionBy("query_id", "cls")
     t = t.withColumn("relevance", score).withColumn("size", F.count("*").over(w))
-    t = t.withColumn("winner", F.when(F.count("relevance").over(w) == F.col("size"), F.min(F.when(F.col("relevance") > 0, F.col("slot"))).over(w)))
+    t = t.withColumn("winner", F.min(F.when(F.col("relevance") > 0, F.col("slot"))).over(w))
     stop = F.min(F.when((F.col("size") > 1) & F.col("winner").isNull(), F.col("cls"))).over(Window.partitionBy("query_id"))
     go = (F.col("size") > 1) & (F.col("cls") < F.coalesce(stop, F.lit(WIDTH)))
     slot = F.when(go & (F.col("slot") == F.col("winner")), 0).when(go & (F.col("slot") == 0), F.col("winner")).otherwise(F.col("slot"))

@@ -15,7 +15,7 @@ from ..operators import index as I
 from ..operators import search as S
 from ..operators import spell
 from ..operators import tokens as T
-from ..runtime import ship, table
+from ..runtime import fresh_path, ship, table
 from ..sources import html, robots, sitemap
 from . import crawl
 
@@ -77,7 +77,8 @@ def stopword_filter(spark, d):
 
 @query(TOK + "select token, term, count(*) as n from stemmed where class = 'WORD' group by all")
 def stem_tokens(spark, d):
-    return T.stemmed(T.tokens(_passages(spark, d))).where("class = 'WORD'").groupBy("token", "term").agg(F.count("*").alias("n"))
+    words = T.kept(T.tokens(_passages(spark, d))).where("class = 'WORD'").groupBy("token", "class").agg(F.count("*").alias("n"))
+    return T.with_term(words).select("token", "term", "n")
 
 
 @query(TOK + "select distinct token, cast(len(regexp_extract_all(token, '[aeiou][^aeiou]')) as bigint) as measure from kept where class = 'WORD'")
@@ -89,7 +90,7 @@ def stem_measure(spark, d):
 # ---------------------------------------------------------------- index
 @query(TOK + "select doc_id, term, count(*) as tf from idx group by all")
 def term_freq(spark, d):
-    return T.index_tokens(_passages(spark, d)).groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
+    return T.term_counts(_passages(spark, d))
 
 
 LENGTH = TOK + ", len as (select d.doc_id, count(i.term) as word_count from documents d left join idx i using (doc_id) group by d.doc_id) "
@@ -97,19 +98,18 @@ LENGTH = TOK + ", len as (select d.doc_id, count(i.term) as word_count from docu
 
 @query(LENGTH + "select * from len")
 def doc_length(spark, d):
-    return I.lengths(_docs(spark, d), T.index_tokens(_passages(spark, d))).select("doc_id", _long("word_count"))
+    return I.lengths(_docs(spark, d), T.indexed(_passages(spark, d))).select("doc_id", _long("word_count"))
 
 
 @query(LENGTH + "select count(*) as n_docs, round(avg(word_count), 6) as avg_len from len")
 def avg_len(spark, d):
-    n = I.lengths(_docs(spark, d), T.index_tokens(_passages(spark, d)))
+    n = I.lengths(_docs(spark, d), T.indexed(_passages(spark, d)))
     return n.agg(F.count("*").alias("n_docs"), F.round(F.avg("word_count"), 6).alias("avg_len"))
 
 
 @query(TOK + "select term, count(distinct doc_id) as df from idx group by term")
 def doc_freq(spark, d):
-    tf = T.index_tokens(_passages(spark, d)).groupBy("doc_id", "term").count()
-    return tf.groupBy("term").agg(F.count("*").alias("df"))
+    return T.term_counts(_passages(spark, d)).groupBy("term").agg(F.count("*").alias("df"))
 
 
 @query(TOK + "select term, round(ln((select count(*) from documents) / (count(distinct doc_id) + 1.0)) + 1, 6) as idf from idx group by term")
@@ -125,12 +125,25 @@ def token_positions(spark, d):
 
 @query(TOK + f"select doc_id, term, count(*) as tf, array_to_string(list_slice(list(pos order by pos), 1, {I.POSITIONS}), ',') as positions from pos group by all")
 def postings(spark, d):
-    p = I.postings(T.positioned(_passages(spark, d)))
+    p = I.postings(T.placed(_passages(spark, d)))
     return p.select("doc_id", "term", _long("tf"), F.array_join(F.transform("positions", lambda x: x["i"].cast("string")), ",").alias("positions"))
 
 
 # ---------------------------------------------------------------- ranking over documents
+_saved: dict[tuple[str, str], str] = {}
+
+
 def _index(spark, d) -> I.Index:
+    """The index of the documents, saved by the first query of an application that asks for it; all read what they need of that."""
+    key = spark.sparkContext.applicationId, d
+    if key not in _saved:
+        path = fresh_path(spark, "index")
+        _built(spark, d).save(path)
+        _saved[key] = path
+    return I.Index.load(spark, _saved[key])
+
+
+def _built(spark, d) -> I.Index:
     docs = _docs(spark, d).select("doc_id", F.concat(F.lit("https://"), F.coalesce("source", F.lit("none")), F.lit(".example.org/"), F.col("doc_id").cast("string")).alias("url"), "text")
     return I.build(docs, T.passages(docs))
 
@@ -195,7 +208,7 @@ q as (select doc_id, term, lead(pos, 2) over (partition by doc_id, term order by
 select doc_id, term, min(span) as span from q where span is not null group by all"""
 )
 def self_proximity(spark, d):
-    return S.self_proximity(I.postings(T.positioned(_passages(spark, d))), 3).select("doc_id", "term", _long("span"))
+    return S.self_proximity(I.postings(T.placed(_passages(spark, d))), 3).select("doc_id", "term", _long("span"))
 
 
 SORTED = (
@@ -213,6 +226,33 @@ def candidate_sort(spark, d):
     return S.ranked(_featured(spark, d)).select("doc_id", _long("rank"))
 
 
+@query(LENGTH + "select d.doc_id, 'https://' || coalesce(source, 'none') || '.example.org/' || d.doc_id as url, word_count from documents d join len using (doc_id) where d.doc_id % 50 = 0")
+def document_lookup(spark, d):
+    """The queried documents (those whose id is divisible by 50), from the folders of the saved index that hold them."""
+    ids = _docs(spark, d).where("doc_id % 50 = 0").select("doc_id")
+    return _index(spark, d).document(ids).select("doc_id", "url", _long("word_count"))
+
+
+VECTOR_SORT = (
+    RANKED
+    + """, v as (select f.doc_id, bm25, tf_idf, list_cosine_similarity(cast(embedding as double[]), q) as cos, list_distance(cast(embedding as double[]), q) as dist
+  from feat f left join embeddings e on e.vec_id = f.doc_id cross join (select cast(embedding as double[]) as q from embeddings where vec_id = 0)),
+k as (select doc_id, trunc(cos * 100) / 100 as cos2, trunc(dist * 100) / 100 as dist2, bm25, tf_idf from v)
+select doc_id, row_number() over (order by cos2 desc nulls last, dist2 nulls last, round(bm25, 9) desc, round(tf_idf, 9) desc, doc_id) - 1 as rank from k"""
+)
+
+
+@query(VECTOR_SORT)
+def vector_sort(spark, d):
+    """All documents that a query meets by the five keys, vectors first. Proximity, the fourth, has no ties to break here."""
+    x = _index(spark, d)
+    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), F.array("embedding").alias("word_vec"))
+    x.documents = x.documents.drop("bucket").join(e, "doc_id", "left")
+    q = table(spark, d, "embeddings").where("vec_id = 0").select(F.lit(1).alias("query_id"), F.col("embedding").alias("query_vec"))
+    f = S.features(S.query_terms(_terms(spark, QUERY_TEXT), x, correct=False), x, q)
+    return S.ranked(f, 1 << 30).select("doc_id", _long("rank"))
+
+
 # ---------------------------------------------------------------- n-grams and spelling
 VOCABULARY = TOK + ", words as (select token as word, min((doc_id, tok)) as seen from kept where class = 'WORD' group by token)"
 GRAMS = VOCABULARY + ", grams as (select word, seen, unnest(list_distinct(list_transform(range(1, length(word) - 1), lambda i: substr(word, i, 3)))) as ngram from words)"
@@ -220,8 +260,7 @@ GRAMS = VOCABULARY + ", grams as (select word, seen, unnest(list_distinct(list_t
 
 @query(GRAMS + " select ngram, count(*) as n_words, min(word) as least from grams group by ngram")
 def ngram_index(spark, d):
-    g = I.ngrams(I.vocabulary(_passages(spark, d)))
-    return g.groupBy("ngram").agg(F.count("*").alias("n_words"), F.min("word").alias("least"))
+    return _index(spark, d).grams.groupBy("ngram").agg(F.count("*").alias("n_words"), F.min("word").alias("least"))
 
 
 ASKED = ", ".join(f"('{w}')" for w in MISSPELT)
@@ -245,23 +284,23 @@ def _asked(spark) -> DataFrame:
 
 @query(FOUND + " select word, candidate, cast(pos as bigint) as pos from cand")
 def ngram_candidates(spark, d):
-    return spell.candidates(_asked(spark), I.vocabulary(_passages(spark, d))).select("word", "candidate", _long("pos"))
+    return spell.candidates(_asked(spark), _index(spark, d)).select("word", "candidate", _long("pos"))
 
 
 @query(FOUND + " select word, candidate, cast(distance as bigint) as distance from near")
 def levenshtein_filter(spark, d):
-    found = spell.candidates(_asked(spark), I.vocabulary(_passages(spark, d)))
+    found = spell.candidates(_asked(spark), _index(spark, d))
     return spell.within(found).select("word", "candidate", _long("distance"))
 
 
 @query(FOUND + " select a.word, coalesce(b.replacement, a.word) as replacement from asked a left join (select word, arg_min(candidate, (pos, seen)) as replacement from near group by word) b using (word)")
 def spell_replace(spark, d):
-    return spell.replacements(_asked(spark), I.vocabulary(_passages(spark, d)))
+    return spell.replacements(_asked(spark), _index(spark, d))
 
 
 @query(FOUND + " select a.word, coalesce(b.replacement, a.word) as replacement from asked a left join (select word, arg_min(candidate, (distance, pos, seen)) as replacement from near group by word) b using (word)")
 def spell_nearest(spark, d):
-    return spell.replacements(_asked(spark), I.vocabulary(_passages(spark, d)), mode="nearest")
+    return spell.replacements(_asked(spark), _index(spark, d), mode="nearest")
 
 
 # ---------------------------------------------------------------- pages
@@ -316,10 +355,25 @@ def link_edges(spark, d):
     return p.select(F.col("page_id").alias("src_id"), F.posexplode("hrefs").alias("ord", "href")).select("src_id", _long("ord"), "href")
 
 
-@query("select cast(0 as bigint) as src_id, '' as href from pages where false")
+OPEN = "replace(html, 'nav>', 'menu>')"  # all links of the pages are in nav, which is dropped; not so under another name
+
+
+@query(
+    HREFS.replace("from pages)", f"from (select page_id, url, regexp_replace({OPEN}, '{GARBAGE}', '', 'g') as html from pages))")
+    + "select src_id, href, link from links union all select page_id, 'none', null from pages where page_id not in (select src_id from links)"
+)
 def default_links(spark, d):
-    """With links in dropped regions left out, as is the rule, the pages have none."""
-    return html.links(html.parsed(table(spark, d, "pages"))).select("src_id", "href")
+    """Links outside dropped regions, and the pages without one."""
+    p = table(spark, d, "pages")
+    opened = html.links(html.parsed(p.withColumn("html", F.expr(OPEN)))).select("src_id", "href", "link")
+    none = p.select(F.col("page_id").alias("src_id"), F.lit("none").alias("href"), F.lit(None).cast("string").alias("link"))
+    return opened.unionByName(none.join(opened, "src_id", "left_anti").select("src_id", "href", "link"))
+
+
+@query(HREFS + "select count(*) as n_links from links where false")
+def links_in_dropped_regions(spark, d):
+    """Links in dropped regions are left out, as is the rule: as the pages are, they have none."""
+    return html.links(html.parsed(table(spark, d, "pages"))).agg(F.count("*").alias("n_links"))
 
 
 @query(HREFS + "select src_id, ord, link, same_domain from links")
@@ -356,6 +410,15 @@ def url_bank(spark, d):
     return _links(spark, d).groupBy("src_id").agg(F.count("*").alias("n_links"), F.min("link").alias("least"), F.max("link").alias("most"))
 
 
+@query(HREFS + "select src_id, ord, href, link, same_domain from links where src_id % 50 = 0")
+def link_bank_lookup(spark, d):
+    """The links of the queried pages (those whose id is divisible by 50), from the stored bank of all links."""
+    path = fresh_path(spark, "links")
+    crawl.save_links(_links(spark, d).select("src_id", "ord", "link", "same_domain", "href"), path)
+    found = crawl.links_of(spark, path, table(spark, d, "pages").where("page_id % 50 = 0").select(F.col("page_id").alias("src_id")))
+    return found.select("src_id", _long("ord"), "href", "link", "same_domain")
+
+
 SAME = PASSAGES + ", h as (select doc_id, list((type, text) order by ord) as content from passages group by doc_id) "
 
 
@@ -388,8 +451,8 @@ PAGE_TOK = PASSAGES + "," + T.sql_tokens("passages", key="struct_pack(doc_id :=
 
 @query(PAGE_TOK + "select doc_id.doc_id as doc_id, term, bool_or(doc_id.type = 'h') as in_header from idx group by all having bool_or(doc_id.type = 'h')")
 def words_in_header(spark, d):
-    t = T.index_tokens(_page_passages(spark, d))
-    return t.groupBy("doc_id", "term").agg(F.bool_or(F.col("type") == "h").alias("in_header")).where("in_header")
+    t = T.indexed(_page_passages(spark, d)).groupBy("doc_id", "token", "class").agg(F.bool_or(F.col("type") == "h").alias("in_header"))
+    return T.with_term(t).groupBy("doc_id", "term").agg(F.bool_or("in_header").alias("in_header")).where("in_header")
 
 
 @query(PAGE_TOK + "select doc_id.doc_id as doc_id, term, row_number() over (partition by doc_id.doc_id order by doc_id.ord, tok) - 1 as pos, doc_id.type as type from idx")
@@ -423,6 +486,17 @@ def chunk_mean_similarity(spark, d):
     return _compared(spark, d).groupBy("label").agg(F.count("*").alias("chunks"), F.round(F.avg("cos"), 6).alias("cos"), F.round(F.avg("dist"), 6).alias("dist"))
 
 
+@query(VEC + "select vec_id // 4 as doc, round(avg(cos), 6) as cos, round(avg(dist), 6) as dist from e group by all")
+def mean_over_chunks(spark, d):
+    """Four vectors make a document: the means of their similarities to the query vector."""
+    e = table(spark, d, "embeddings")
+    docs = e.groupBy(F.expr("vec_id div 4").alias("doc")).agg(F.collect_list("embedding").alias("word_vec"))
+    q = e.where("vec_id = 0").select(F.col("embedding").alias("q"))
+    both = docs.crossJoin(F.broadcast(q))
+    mean = lambda of: F.round(V.mean_over(F.col("word_vec"), F.col("q"), of), 6)
+    return both.select("doc", mean(V.cosine).alias("cos"), mean(V.euclid).alias("dist"))
+
+
 @query(VEC + "select vec_id, trunc(cos * 100) / 100.0 + 0 as cos2, trunc(dist * 100) / 100.0 + 0 as dist2 from e")
 def truncate_decimals(spark, d):
     return _compared(spark, d).select("vec_id", V.truncated(F.col("cos")).alias("cos2"), V.truncated(F.col("dist")).alias("dist2"))
@@ -453,6 +527,15 @@ def rerank_interleave(spark, d):
     return S.reranked(top, [-1.0], -0.5, ("cos",)).select("vec_id", _long("rank"))
 
 
+@query(RERANK.replace("(cos - avg(cos)", "(f - avg(f)").replace("stddev_pop(cos)", "stddev_pop(f)").replace("from t window", "from (select *, case when dist < 11 then 0 else cos end as f from t) t window"))
+def rerank_missing_features(spark, d):
+    """As rerank_interleave, but the one feature is missing for some, and counts as 0."""
+    w = Window.orderBy(F.round("cos", 9).desc(), "vec_id")
+    top = _compared(spark, d).orderBy(F.round("cos", 9).desc(), "vec_id").limit(100)
+    top = top.withColumn("rank", F.row_number().over(w) - 1).withColumn("query_id", F.lit(1)).withColumn("f", F.when(~(F.col("dist") < 11), F.col("cos")))
+    return S.reranked(top, [-1.0], -0.5, ("f",)).select("vec_id", _long("rank"))
+
+
 @query()
 def embed_chunks(spark, d):
     v = _docs(spark, d).select("doc_id", embedded(spark, F.col("text")).alias("word_vec"))
@@ -490,6 +573,38 @@ def sitemap_links(spark, d):
     return sitemap.links(table(spark, d, "pages").select(F.col("url").alias("base_url"), body.alias("xml"))).select("base_url", _long("ord"), "link", "same_domain")
 
 
+FOLLOWED = (
+    HREFS
+    + """, seen as (select regexp_replace(regexp_replace(replace(link, '//', '/'), '^https:/(www\\.)?', ''), '/$', '') as norm, * from links),
+met as (select regexp_replace(regexp_replace(replace(url, '//', '/'), '^https?:/(www\\.)?', ''), '/$', '') as norm, min(page_id % 3) as met from pages group by 1),
+f as (select s.*, m.met from seen s left join met m using (norm) where not starts_with(regexp_extract(link, '^https://[^/?#]+([^?#]*)', 1), '/en') and (m.met is null or m.met > 1))
+select src_id, row_number() over (partition by src_id order by met is not null, ord) - 1 as ord, link from f"""
+)
+
+
+@query(FOLLOWED)
+def followed_links(spark, d):
+    """The links that a crawler at depth 1 follows: those that robots.txt bars, and pages met at depth 0 or 1, are left out."""
+    links = _links(spark, d)
+    rules = robots.rules(links.select(U.host(F.col("link")).alias("host")).distinct().withColumn("body", F.lit(ROBOTS)))
+    visited = table(spark, d, "pages").select(U.normalized_url(F.col("url")).alias("url"), (F.col("page_id") % 3).cast("int").alias("depth"))
+    return html.followed(links, 1, rules, "loom", visited).select("src_id", _long("ord"), "link")
+
+
+@query("select page_id from (select page_id, 200 + 100 * (page_id % 4) as status, case when page_id % 3 = 0 then 'application/json' else 'Text/HTML; charset=utf-8' end as content_type from pages) where status between 200 and 299 and lower(content_type) like '%text/html%'")
+def usable_pages(spark, d):
+    """Of pages as a fetcher would leave them, with made-up status and content type, those that are parsed."""
+    kind = F.when(F.col("page_id") % 3 == 0, "application/json").otherwise("Text/HTML; charset=utf-8")
+    return html.usable(table(spark, d, "pages").withColumns({"status": 200 + 100 * (F.col("page_id") % 4), "content_type": kind})).select("page_id")
+
+
+@query(HOSTS + "select page_id, not starts_with(path, '/en') as allowed, 0 as delay, regexp_replace(url, '/$', '') || '/sitemap.xml' as sitemap from (select u.*, p.url from u join pages p using (page_id))")
+def page_rules(spark, d):
+    """What a crawler knows of each page before it is fetched."""
+    h = _hosts(spark, d).join(table(spark, d, "pages").select("page_id", "url"), "page_id")
+    return crawl.page_rules(h, h.select("host").distinct().withColumn("body", F.lit(ROBOTS)), "loom").select("page_id", "allowed", F.col("delay").cast("int").alias("delay"), "sitemap")
+
+
 EDGES = HOSTS + ", e as (select page_id as src, unnest([lead(page_id) over w, lead(page_id, 2) over w]) as dst from u window w as (partition by host order by page_id))"
 MAX_DEPTH = 8
 

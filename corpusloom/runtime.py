@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -16,6 +18,7 @@ BROADCAST_LIMIT = 48 << 20  # bytes; a larger side is shuffled instead
 
 _shipped: set[str] = set()
 _own_dir: dict[str, str] = {}
+_runs: dict[str, str] = {}
 
 
 def ship(spark: SparkSession) -> None:
@@ -49,7 +52,22 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A new folder of this application's own one, which goes when the driver ends."""
+    sc = spark.sparkContext
+    if sc.applicationId not in _runs:
+        _runs[sc.applicationId] = run = f"{shared_dir(spark)}/corpusloom-{uuid.uuid4().hex}"
+        atexit.register(_remove, sc._jvm, sc._jsc, run)
+    return f"{_runs[sc.applicationId]}/{name}-{uuid.uuid4().hex}"
+
+
+def _remove(jvm, jsc, path: str) -> None:
+    """Delete a folder through Hadoop, as it may be on any file system; without a JVM any more it stays."""
+    try:
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(jsc.hadoopConfiguration()).delete(where, True)
+    except Exception:
+        if path.startswith("file:"):
+            shutil.rmtree(path.removeprefix("file:").replace("//", "/", 1), ignore_errors=True)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -64,5 +82,17 @@ def checked_broadcast(df: DataFrame, row_bytes: int, limit: int = BROADCAST_LIMI
     return F.broadcast(df) if df.count() * row_bytes <= limit else df
 
 
+ROW_GROUP = 128 << 20  # bytes that writers put into one row group, which one task reads
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rows of a few small files on all cores: splits of a file that is one row group are empty but for one. Larger tables stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    if size < cores * ROW_GROUP and size < (files := len(df.inputFiles())) * ROW_GROUP and files < cores:
+        return df.repartition(cores)
+    return df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))

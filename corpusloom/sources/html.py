@@ -11,11 +11,12 @@ import html
 import re
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.urls import absolute_url, host, same_origin
+from ..functions.urls import absolute_url, host, normalized_url, same_origin
 from ..runtime import ship
+from .robots import allowed
 
 DROPPED = frozenset("script style iframe aside nav footer".split())
 RAW = frozenset("iframe noembed noframes noscript plaintext script style textarea title xmp".split())
@@ -106,10 +107,39 @@ def links(parsed: DataFrame, key: str = "page_id") -> DataFrame:
     return found.withColumn("same_domain", same_origin(F.col("link"), F.col("base")))
 
 
+def followed(links: DataFrame, depth: int, rules: DataFrame | None = None, agent: str = "*", visited: DataFrame | None = None) -> DataFrame:
+    """The links of pages at a depth that a crawler follows, numbered anew by ord in each page.
+
+    Links that the rules of their host (robots.rules) bar go. visited (url as urls.normalized gives it, depth): a link that was met at this depth or nearer
+    goes too; one met farther off stays, after the new ones.
+    """
+    out = links
+    if rules is not None:
+        at = out.withColumn("host", host(F.col("link"))).withColumn("path", F.regexp_extract("link", r"^[A-Za-z]+://[^/?#]*([^?#]*)", 1))
+        out = allowed(at, rules, agent).where("allowed").drop("host", "path", "allowed", "delay")
+    if visited is None:
+        return out
+    known = visited.groupBy(F.col("url").alias("norm")).agg(F.min("depth").alias("met"))
+    out = out.withColumn("norm", normalized_url(F.col("link"))).join(known, "norm", "left").where(F.col("met").isNull() | (F.col("met") > depth))
+    n = F.row_number().over(Window.partitionBy("src_id").orderBy(F.col("met").isNotNull(), "ord")) - 1
+    return out.withColumn("ord", n).drop("norm", "met")
+
+
+def usable(fetched: DataFrame) -> DataFrame:
+    """Of fetched pages with status and content_type those that are parsed: status 200 to 299, some text/html, in any case."""
+    return fetched.where((F.col("status") >= 200) & (F.col("status") < 300) & F.contains(F.lower("content_type"), F.lit("text/html")))
+
+
+def typed(kind: Column, text: Column) -> Column:
+    """A passage as (type, text); any type but b, h and q (body, header, query) fails the query."""
+    known = F.when(kind.isin("b", "h", "q"), kind).otherwise(F.raise_error(F.concat(F.lit("unknown type of passage: "), F.coalesce(kind, F.lit("null")))))
+    return F.struct(known.cast("string").alias("type"), text.alias("text"))
+
+
 def full_text(passages: DataFrame) -> DataFrame:
     """doc_id, text: the passages joined without a separator, for embedding."""
     listed = F.array_sort(F.collect_list(F.struct("ord", "text")))
     return passages.groupBy("doc_id").agg(F.array_join(F.transform(listed, lambda p: p["text"]), "").alias("text"))
 
 
-__all__ = ["parse", "parsed", "passages", "links", "full_text", "host"]
+__all__ = ["parse", "parsed", "passages", "links", "followed", "usable", "typed", "full_text", "host"]

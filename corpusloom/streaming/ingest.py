@@ -24,11 +24,12 @@ PAGES = "page_id bigint, url string, html string"
 def indexed(pages: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """documents (doc_id, url, content_hash, word_count), postings and n-gram words of a batch of pages, one page a URL."""
     ship(pages.sparkSession)
-    one = pages.withColumn("doc_id", F.hex(document_id(F.col("url")))).where("doc_id is not null").dropDuplicates(["doc_id"])
+    one = pages.withColumn("doc_id", F.hex(document_id(F.col("url")))).where("doc_id is not null")
+    # of several pages of one URL the last by page_id, text on a tie: by rule, as each of the three tables tells them anew
+    one = one.groupBy("doc_id").agg(F.max(F.struct("page_id", "url", "html")).alias("p")).select("doc_id", "p.*")
     passages = html.passages(html.parsed(one, key="doc_id"), "doc_id")
-    p = T.positioned(passages)
-    d = I.lengths(one, p).join(one.select("doc_id", "url"), "doc_id").join(I.content_hash(passages), "doc_id", "left")
-    return d, I.postings(p), I.vocabulary(passages)
+    d = I.lengths(one, T.indexed(passages)).join(one.select("doc_id", "url"), "doc_id").join(I.content_hash(passages), "doc_id", "left")
+    return d, I.postings(T.placed(passages)), I.vocabulary(passages)
 
 
 def ingest(spark: SparkSession, landing: str, store: str, interval: str | None = None, files_per_trigger: int = 100) -> StreamingQuery:
@@ -51,8 +52,9 @@ def snapshot(spark: SparkSession, store: str) -> I.Index:
     """The index as of now. Of a document's versions the latest counts; repeated content keeps a document, but no postings."""
     docs = spark.read.parquet(f"{store}/documents")
     latest = docs.withColumn("n", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("batch_id")))).where("n = 1").drop("n")
-    first = F.row_number().over(Window.partitionBy("content_hash").orderBy("batch_id", "doc_id"))
-    latest = latest.withColumn("is_alias", F.col("content_hash").isNotNull() & (first > 1))
+    # boilerplate may be the content of very many pages, so the first of each is aggregated, not ranked in one task
+    first = latest.groupBy("content_hash").agg(F.min(F.struct("batch_id", "doc_id")).alias("first"))
+    latest = latest.join(first, "content_hash", "left").withColumn("is_alias", F.coalesce(F.col("first.doc_id") != F.col("doc_id"), F.lit(False))).drop("first")
     postings = spark.read.parquet(f"{store}/postings").join(latest.where("not is_alias").select("doc_id", "batch_id"), ["doc_id", "batch_id"], "left_semi")
     words = spark.read.parquet(f"{store}/words").groupBy("word").agg(F.min(F.struct("batch_id", "first_seen")).alias("first_seen"))
     return I.Index(latest.drop("batch_id", "content_hash"), postings.drop("batch_id"), words)

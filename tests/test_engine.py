@@ -250,3 +250,106 @@ def test_queries_and_sql(spark, small):
 
     assert set(names) <= set(__spark_entry__.queries())
     assert __spark_entry__.entry(spark).count() == 10
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_look_ups_read_the_folders_of_their_keys(spark, tmp_path):
+    x = small_index(spark)
+    x.save(str(tmp_path / "ix"), 16)
+    again = I.Index.load(spark, str(tmp_path / "ix"))
+    q = spark.createDataFrame([(7, "search")], "query_id int, text string")
+    terms = S.query_terms(q, again, correct=False)
+    plan = plan_of(S.features(terms, again))
+    assert "PartitionFilters: [isnotnull(bucket" in plan or "PartitionFilters: [(bucket" in plan or "PartitionFilters: [bucket" in plan, plan
+    found = I.pruned(again.postings, "term", terms, 16)
+    assert found.select("bucket").distinct().count() == 1 and S.search(q, again).first()["bm25"] == pytest.approx(S.search(q, x).first()["bm25"])
+    asked = spark.createDataFrame([("serch",)], "word string")
+    assert "bucket" in plan_of(spell.candidates(asked, again)) and [r["candidate"] for r in spell.candidates(asked, again).collect()] == [r["candidate"] for r in spell.candidates(asked, x).collect()]
+    assert spell.replacements(asked, again).first()["replacement"] == "search"
+    assert again.document(spark.createDataFrame([(1,), (1,), (5,)], "doc_id int")).collect()[0]["url"] == "https://e.org/search"
+
+
+def test_tokens_are_told_once(spark):
+    p = spark.createDataFrame(PASSAGES, "doc_id int, ord int, type string, text string")
+    for df in (T.kept(T.tokens(p)).where("class = 'WORD'").groupBy("token").count(), T.term_counts(p), I.postings(T.placed(p))):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("regexp_extract_all(text#") == 1, plan
+    assert {(r["term"], r["tf"]) for r in T.term_counts(p).collect()} == {("fast", 1), ("search", 2), ("cat", 1), ("v2", 1)}
+
+
+def test_long_words_are_indexed_by_their_stems(spark):
+    long, kept = "b" * 64 + "ing", "ba" * 30 + "ational"
+    p = spark.createDataFrame([(1, 0, "b", f"{long} {kept} x")], "doc_id int, ord int, type string, text string")
+    assert len(stem(long)) > 64 and len(kept) > 64 >= len(stem(kept))
+    assert {r["term"]: r["pos"] for r in T.positioned(p).collect()} == {stem(kept): 0, "x": 1}
+
+
+def test_missing_features_are_zero(spark):
+    top = spark.createDataFrame([(1, p, p, None if p % 2 else float(p)) for p in range(20)], "query_id int, doc_id int, rank int, f double")
+    z = {r["rank"]: r["z_0"] for r in S.standardized(top, ("f",), ["query_id"]).collect()}
+    values = [0.0 if p % 2 else float(p) for p in range(20)]
+    mean = sum(values) / 20
+    dev = math.sqrt(sum((v - mean) ** 2 for v in values) / 20)
+    assert all(z[p] == pytest.approx((v - mean) / dev) for p, v in enumerate(values))
+    got = {r["rank"]: r["doc_id"] for r in S.reranked(top, [1.0], 0.0, ("f",)).collect()}
+    assert got[0] == 10 and got[10] == 0 and got[1] == 1  # class 1, all of it missing, has no winner
+
+
+def test_followed_links(spark):
+    links = spark.createDataFrame([(1, "https://e.org/", o, u, True) for o, u in enumerate(["https://e.org/a", "https://e.org/b", "https://e.org/c/", "https://e.org/private/x", "https://e.org/d"])], "src_id int, base string, ord int, link string, same_domain boolean")
+    rules = robots.rules(spark.createDataFrame([("e.org", "user-agent: *\ndisallow: /private\n")], "host string, body string"))
+    visited = spark.createDataFrame([("e.org/a", 5), ("e.org/b", 1), ("e.org/c", 3), ("e.org/c", 0)], "url string, depth int")
+    got = html.followed(links, 1, rules, "bot", visited)
+    assert [r["link"] for r in got.orderBy("ord").collect()] == ["https://e.org/d", "https://e.org/a"]
+    assert [r["ord"] for r in got.orderBy("ord").collect()] == [0, 1] and html.followed(links, 1).count() == 5
+
+
+def test_fetched_pages_and_types(spark):
+    rows = [(1, 200, "text/html"), (2, 204, "Text/HTML; charset=x"), (3, 404, "text/html"), (4, 200, "text/plain"), (5, None, "text/html"), (6, 200, None)]
+    assert {r["i"] for r in html.usable(spark.createDataFrame(rows, "i int, status int, content_type string")).collect()} == {1, 2}
+    df = lambda k: spark.createDataFrame([(k, "x")], "k string, t string").select(html.typed(F.col("k"), F.col("t")).alias("p"))
+    assert [df(k).first()["p"]["type"] for k in "bhq"] == ["b", "h", "q"]
+    for k in ("z", None):
+        with pytest.raises(Exception, match="unknown type"):
+            df(k).collect()
+
+
+def test_crawl_state_and_link_bank(spark, tmp_path):
+    e = spark.createDataFrame([("A", "B"), ("B", "C"), ("C", "D")], "src string, dst string")
+    seeds = spark.createDataFrame([("A",)], "page string")
+    crawl.save_visited(crawl.frontier(seeds, e, 3), str(tmp_path / "state"))
+    state = crawl.load_visited(spark, str(tmp_path / "state"))
+    assert {r["page"]: r["depth"] for r in state.collect()} == {"A": 0, "B": 1, "C": 2}
+    again = crawl.frontier(spark.createDataFrame([("B",)], "page string"), e, 3, state)
+    assert {r["page"]: r["depth"] for r in again.collect()} == {"B": 0, "C": 1, "D": 2}  # C is nearer now
+    assert {r["page"] for r in crawl.frontier(seeds, e, 3, state).collect()} == {"A"}
+    links = spark.createDataFrame([(i, j, f"https://e.org/{j}", True) for i in range(40) for j in range(2)], "src_id int, ord int, link string, same_domain boolean")
+    crawl.save_links(links, str(tmp_path / "bank"), 8)
+    found = crawl.links_of(spark, str(tmp_path / "bank"), spark.createDataFrame([(7,), (7,), (99,)], "src_id int"), 8)
+    assert sorted((r["src_id"], r["ord"]) for r in found.collect()) == [(7, 0), (7, 1)]
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from corpusloom import __main__ as cli
+
+    (tmp_path / "c.json").write_text(json.dumps({"base_urls": ["https://e.org"], "index_path": str(tmp_path / "ix")}))
+    pages = [(1, "https://e.org/a", "<h1>Fast search</h1>", 200, "text/html"), (2, "https://e.org/b", "<p>other words</p>", 200, "text/html"), (3, "https://e.org/c", "fast", 500, "text/html")]
+    spark.createDataFrame(pages, "page_id bigint, url string, html string, status int, content_type string").write.parquet(str(tmp_path / "pages"))
+    config = Config.load(str(tmp_path / "c.json"))
+    assert cli.index(spark, config, str(tmp_path / "pages")) == 2
+    assert cli.answer(spark, config, ["serch", "words nothing"]) == [(0, 1, "https://e.org/a"), (1, 1, "https://e.org/b")]
+    assert cli.main(["search", str(tmp_path / "c.json"), "fast"]) == 0 and "1. https://e.org/a" in capsys.readouterr().out
+    assert cli.main(["index"]) == 2 and cli.main(["nothing", "x"]) == 2
+
+
+def test_intermediates_go_at_the_end(spark, tmp_path):
+    from corpusloom import runtime
+
+    path = runtime.fresh_path(spark, "t")
+    assert path.startswith(runtime.shared_dir(spark) + "/corpusloom-")
+    (tmp_path / "x" / "y").mkdir(parents=True)
+    runtime._remove(spark.sparkContext._jvm, spark.sparkContext._jsc, f"file://{tmp_path}/x")
+    assert not (tmp_path / "x").exists()
