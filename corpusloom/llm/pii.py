@@ -4,13 +4,15 @@ Personal values are found by pattern, validated (Luhn, octets, calendar, mod 97,
 Feistel network inside the set of valid values of their own format, so the output has the same form and passes the same validation, and equal values
 get equal pseudonyms in every document. A value x of a domain of size M goes to P^-1(P(x) + c mod M), with P the Feistel
 permutation and c a key-derived shift that is not 0: a keyed permutation under which no value stays as it is.
-Values that fail validation are not personal data and stay.
+Values that fail validation are not personal data and stay. So do kinds that are not looked for: names, street addresses, bare runs of digits
+that are no card number (a ten-digit phone number without + or separators among them), and passwords.
 """
 
 from __future__ import annotations
 
 import datetime as dt
 import hashlib
+import ipaddress
 import re
 from functools import lru_cache
 from math import isqrt
@@ -90,7 +92,7 @@ def luhn_sum(digits: str) -> int:
 def refill(shape: str, symbols: str) -> str:
     """Put the symbols where shape has letters or digits, in their order."""
     it = iter(symbols)
-    return "".join(next(it) if c.isalnum() else c for c in shape)
+    return "".join(next(it) if c.isascii() and c.isalnum() else c for c in shape)
 
 
 def _radix(chars: str, hexa: bool = False) -> tuple[int, int]:
@@ -112,12 +114,19 @@ def _unradix(value: int, like: str, hexa: bool = False) -> str:
     return "".join(reversed(out))
 
 
+PIECE = 64  # letters and digits that are permuted together; longer values go in pieces
+
+
 def _string(s: str, kind: str, key: bytes, back: bool, hexa: bool = False) -> str:
-    body = "".join(c for c in s if c.isalnum())
-    value, size = _radix(body, hexa)
-    shape = "".join("x" if hexa else "0" if c.isdigit() else "a" for c in body)
-    f = feistel(key, f"{kind}:{shape}", size)
-    return refill(s, _unradix(f.decrypt(value) if back else f.encrypt(value), body, hexa))
+    """ASCII letters and digits permuted position by position, each within its class; other characters stay."""
+    body, out = "".join(c for c in s if c.isascii() and c.isalnum()), []
+    for i in range(0, len(body), PIECE):
+        part = body[i : i + PIECE]
+        value, size = _radix(part, hexa)
+        shape = "".join("x" if hexa else "0" if c.isdigit() else "a" for c in part)
+        f = feistel(key, f"{kind}:{shape}" + (f":{i}" if i else ""), size)
+        out.append(_unradix(f.decrypt(value) if back else f.encrypt(value), part, hexa))
+    return refill(s, "".join(out))
 
 
 def email(s: str, key: bytes, back: bool) -> str:
@@ -147,6 +156,15 @@ def ipv4(s: str, key: bytes, back: bool) -> str | None:
     return ".".join(map(str, (f.decrypt(value) if back else f.encrypt(value)).to_bytes(4, "big")))
 
 
+def ipv6(s: str, key: bytes, back: bool) -> str | None:
+    """Its hexadecimal digits, in the groups that they are in."""
+    try:
+        ipaddress.IPv6Address(s)
+    except ValueError:
+        return None
+    return _string(s, "ipv6", key, back, hexa=True) if sum(c != ":" for c in s) > 2 else None
+
+
 def phone(s: str, key: bytes, back: bool) -> str | None:
     """Digits after the country code; +1 and formatted ten-digit numbers, or + and 7 to 15 digits."""
     m = re.match(r"\+1(?=[\s.(-]|\d{10}$)|\+\d{2}(?=[\s.(-])|\+\d|", s)
@@ -194,52 +212,71 @@ def _date(y: int, m: int, d: int) -> int | None:
     return x if FIRST <= x <= LAST else None
 
 
+SHORT_MONTHS = [m[:3] for m in MONTHS]
+NEAR, FAR = dt.date(1970, 1, 1).toordinal(), dt.date(2069, 12, 31).toordinal()  # what two digits of a year stand for
+
+
 def date(s: str, key: bytes, back: bool) -> str | None:
-    """A day of 1900 to 2099 in any of the formats; day first, or month first where only that is a date."""
-    f = feistel(key, "date", LAST - FIRST + 1)
-    new = lambda x: dt.date.fromordinal(FIRST + (f.decrypt(x - FIRST) if back else f.encrypt(x - FIRST)))
+    """A day of 1900 to 2099 (with two digits of the year, 1970 to 2069) in any of the formats; day first, or month first where only that is a date."""
+
+    def moved(x: int, first: int, last: int) -> dt.date:
+        f = feistel(key, "date" if first == FIRST else "date2", last - first + 1)
+        return dt.date.fromordinal(first + (f.decrypt(x - first) if back else f.encrypt(x - first)))
+
     if m := re.fullmatch(r"(\d{4})([-/.])(\d\d)\2(\d\d)", s):
         if (x := _date(int(m[1]), int(m[3]), int(m[4]))) is None:
             return None
-        n = new(x)
+        n = moved(x, FIRST, LAST)
         return f"{n.year}{m[2]}{n.month:02d}{m[2]}{n.day:02d}"
-    if m := re.fullmatch(r"(\d{2})([-/.])(\d{2})\2(\d{4})", s):
-        a, b, y = int(m[1]), int(m[3]), int(m[4])
-        if (x := _date(y, b, a)) is None:
-            if (x := _date(y, a, b)) is None:
-                return None
-            n = new(x)
-            # the month stays in front only if that reads the same way again
-            first, second = (n.month, n.day) if n.day > 12 else (n.day, n.month)
-        else:
-            n = new(x)
-            first, second = n.day, n.month
-        return f"{first:02d}{m[2]}{second:02d}{m[2]}{n.year}"
-    if m := re.fullmatch(r"([A-Z][a-z]+) (\d{1,2}), (\d{4})", s):
-        if m[1] not in MONTHS or (x := _date(int(m[3]), MONTHS.index(m[1]) + 1, int(m[2]))) is None:
+    if m := re.fullmatch(r"(\d{2})([-/.])(\d{2})\2(\d{4}|\d\d)", s):
+        short = len(m[4]) == 2
+        a, b, y = int(m[1]), int(m[3]), int(m[4]) + (0 if not short else 1900 if int(m[4]) >= 70 else 2000)
+        day_first = _date(y, b, a)
+        x = day_first or _date(y, a, b)
+        if x is None:
+            return None
+        n = moved(x, *((NEAR, FAR) if short else (FIRST, LAST)))
+        # the month stays in front only if that reads the same way again
+        first, second = (n.day, n.month) if day_first or n.day <= 12 else (n.month, n.day)
+        return f"{first:02d}{m[2]}{second:02d}{m[2]}" + (f"{n.year % 100:02d}" if short else str(n.year))
+    if m := re.fullmatch(r"(?:(\d{1,2}) )?([A-Z][a-z]+)(?: (\d{1,2}),)? (\d{4})", s):
+        names = MONTHS if m[2] in MONTHS else SHORT_MONTHS
+        if m[2] not in names or (m[1] is None) == (m[3] is None) or (x := _date(int(m[4]), names.index(m[2]) + 1, int(m[1] or m[3]))) is None:
             return None
-        n = new(x)
-        return f"{MONTHS[n.month - 1]} {n.day}, {n.year}"
+        n = moved(x, FIRST, LAST)
+        # May is long and short and counts as long, so that the way back from it does not tell which the value was
+        name = names[n.month - 1]
+        return f"{n.day} {name} {n.year}" if m[1] else f"{name} {n.day}, {n.year}"
     return None
 
 
+def token(s: str, key: bytes, back: bool) -> str:
+    """An access key: what follows its known beginning."""
+    head = re.match(ISSUED, s)[0]
+    return head + _string(s[len(head) :], f"token{head}", key, back)
+
+
 def secret(s: str, key: bytes, back: bool) -> str:
     return _string(s, "hex", key, back, hexa=True)
 
 
+ISSUED = r"sk-(?:proj-)?|gh[pousr]_|github_pat_|xox[abprs]-|AKIA|ASIA|AIza|glpat-"
+_MONTH = "(?:" + "|".join([*MONTHS, *SHORT_MONTHS]) + ")"
 _NUM, _END = r"(?<![\w.])", r"(?![\w]|\.\d)"
 PATTERN = re.compile(
-    r"(?P<email>(?<![A-Za-z0-9._%+-])[A-Za-z0-9](?:[A-Za-z0-9._%+-]{0,63})@(?:[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?\.)+[A-Za-z]{2,24}(?![A-Za-z0-9]))"
+    r"(?P<email>(?<![^\W_])[^\W_](?:[\w.%+-]{0,255})@(?:[^\W_](?:[\w-]*[^\W_])?\.)+[A-Za-z]{2,24}(?![A-Za-z0-9]))"
+    rf"|(?P<token>(?<![\w-])(?:{ISSUED})[A-Za-z0-9_-]{{16,}}(?![\w-]))"
     r"|(?P<iban>\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b)"
     rf"|(?P<ipv4>{_NUM}\d{{1,3}}(?:\.\d{{1,3}}){{3}}{_END})"
-    rf"|(?P<date>{_NUM}(?:\d{{4}}([-/.])\d\d\5\d\d|\d\d([-/.])\d\d\6\d{{4}}){_END}|\b(?:{'|'.join(MONTHS)}) \d{{1,2}}, \d{{4}}\b)"
+    r"|(?P<ipv6>(?<![\w:.])(?:[0-9A-Fa-f]{0,4}:){2,7}[0-9A-Fa-f]{0,4}(?![\w:]))"
+    rf"|(?P<date>{_NUM}(?:\d{{4}}(?P<d1>[-/.])\d\d(?P=d1)\d\d|\d\d(?P<d2>[-/.])\d\d(?P=d2)\d{{4}}|(?<!/)\d\d/\d\d/\d\d){_END}(?!/)|\b{_MONTH} \d{{1,2}}, \d{{4}}\b|(?<![\w.])\d{{1,2}} {_MONTH} \d{{4}}\b)"
     r"|(?P<ssn>(?<![\w-])\d{3}[- ]\d{2}[- ]\d{4}(?![\w-]))"
     r"|(?P<phone>(?<![\w+])\+1[ .-]?(?:\(\d{3}\)|\d{3})[ .-]?\d{3}[ .-]?\d{4}(?!\w)|(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}(?!\w)|(?<![\w(])\(\d{3}\)[ .-]?\d{3}[ .-]\d{4}(?!\w)|(?<![\w.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\w-]))"
     r"|(?P<card>(?<![\w-])\d(?:[ -]?\d){12,18}(?![\w-]))"
-    r"|(?<=[\"'=: ])(?P<secret>[0-9a-f]{32,128}|[0-9A-F]{32,128})(?![0-9A-Za-z])"
+    r"|(?<=[\"'=: ])(?P<secret>[0-9a-f]{32,}|[0-9A-F]{32,})(?![0-9A-Za-z])"
 )
-HAS = re.compile("[0-9@]")
-KINDS = {"email": email, "iban": iban, "ipv4": ipv4, "date": date, "ssn": ssn, "phone": phone, "card": card, "secret": secret}
+HAS = re.compile("[0-9@]|::|[A-Fa-f]:[A-Fa-f]{1,4}:|[a-f]{32}|[A-F]{32}|" + ISSUED)
+KINDS = {"email": email, "token": token, "ipv6": ipv6, "iban": iban, "ipv4": ipv4, "date": date, "ssn": ssn, "phone": phone, "card": card, "secret": secret}
 
 
 _CARD = re.compile(r"\d(?:[ -]?\d){12,18}")
@@ -281,7 +318,7 @@ def rewrite(text: str, key: bytes = KEY, back: bool = False) -> tuple[str, dict[
             last = pos = end
         return "".join(out) + line[last:] if out else line
 
-    # no value spans lines, so lines without a digit or an at sign are left alone
+    # no value spans lines, so lines without a digit, an at sign or another mark of a value are left alone
     return "\n".join(rewritten(line) if HAS.search(line) else line for line in text.split("\n")), found
 
 
@@ -291,7 +328,7 @@ RESULT = "struct<text:string,found:map<string,int>>"
 def pseudonymizer(spark: SparkSession, key: bytes = KEY):
     """A function of a text column: struct(text, found), null where nothing can be found.
 
-    Only texts with a digit or an at sign cross to Python; of the others nothing can match.
+    Only texts with a digit, an at sign or another mark of a value cross to Python; of the others nothing can match.
     """
     ship(spark)
 
@@ -309,7 +346,7 @@ def pseudonymizer(spark: SparkSession, key: bytes = KEY):
     f = F.arrow_udf(run, RESULT)
 
     def of(text: Column) -> Column:
-        return f(F.when(text.rlike("[0-9@]"), text))
+        return f(F.when(text.rlike(HAS.pattern), text))
 
     return of
 
@@ -326,7 +363,11 @@ def found_values(docs: DataFrame, key: bytes = KEY) -> DataFrame:
 
 
 def pseudonymized(docs: DataFrame, key: bytes = KEY) -> DataFrame:
-    """Every row, with its columns and their order; text is rewritten and n_chars, if it is there, is its length."""
+    """Every row, with its columns and their order; text is rewritten and n_chars, if it is there, is its length.
+
+    Null and empty texts, and those without personal values, stay as they are; repeated rows are rewritten alike; whole texts are read; an empty
+    table stays empty.
+    """
     p = docs.withColumn("__loom_pii", pseudonymizer(docs.sparkSession, key)(F.col("text")))
     new = F.coalesce(F.col("__loom_pii.text"), F.col("text"))
     cols = [new.alias(c) if c == "text" else F.when(F.col("__loom_pii").isNull(), F.col(c)).otherwise(F.length(new).cast(docs.schema[c].dataType)).alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns]
