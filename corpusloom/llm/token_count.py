@@ -5,7 +5,7 @@ transition carries by how much the number of tokens changes when the text read s
 sum along a text is its token count. States are: the part of the pre-tokenizer that the text is in, the longest suffix
 of the pre-token that can still grow into a token, and, for the places in it where such a token could start, the last token before
 the place (the encoding of a prefix is its shorter prefix's encoding and one more token, told by which pairs of neighbours merging keeps apart) and its relative count. Transitions are
-made when they are first met: those of the first 256 characters in rows, those of others in a hash table, so that memory does not grow with
+made when they are first met: those of the first 207 characters in rows, those of others in a hash table, so that memory does not grow with
 the number of characters. Where too many states are made, all but those in use are forgotten.
 
 Texts are cut into chunks of equal length, and all chunks run in step through the tables, one array operation a character. A chunk's
@@ -31,8 +31,8 @@ from .common import mix64, slices, utf8
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 CHUNK = 512
-STATES = 1 << 16  # with more of them made, those not in use are forgotten
-ROW = 256  # characters whose transitions are in rows
+STATES = 1 << 17  # with more of them made, those not in use are forgotten
+ROW = 208  # characters whose transitions are in rows
 OTHERS = 1 << 20  # transitions by other characters; with more of them they are forgotten
 GUESS = 64  # characters that lead to the likely state at the end of a chunk
 ROUNDS = 40  # in which an unexpected state is tried on many chunks ahead
@@ -217,8 +217,8 @@ class Transducer:
 
     def look_up(self, state: np.ndarray, symbol: np.ndarray) -> np.ndarray:
         """Transitions (end state, shifted, and change of the count), -1 where they are not made."""
-        v = self.table[state, np.minimum(symbol, ROW - 1)]
-        far = np.flatnonzero(symbol >= ROW - 1)
+        far = np.flatnonzero(symbol >= ROW - 1) if len(self.chars) >= ROW else ()
+        v = self.table.ravel()[state * ROW + (np.minimum(symbol, ROW - 1) if len(far) else symbol)]
         if len(far):
             key = state[far] << 21 | symbol[far]
             at = self._slots(key)
