@@ -8,7 +8,8 @@ trie with one level per order. A level holds, for its nodes in the order of thei
 A node's children are found relative to their context: those of node r of the level before are the entries of
 [256 r, 256 r + 256), so one successor search of 256 r + byte in the monotone sequence both finds the range and answers.
 The pointers of the parent, themselves monotone, are the second Elias-Fano sequence of a level and bound the search.
-Levels are files in the shared folder that the workers map into memory.
+The trie is kept in shards by a hash of the two leading bytes, each with all single bytes as its first level; they are files in
+the shared folder that the workers map into memory.
 """
 
 from __future__ import annotations
@@ -29,6 +30,8 @@ from .common import mix64, slices, utf8
 
 ORDER = 6
 BINS = 256
+SHARDS = 8  # at least, and
+SHARD_NODES = 4 << 20  # so many nodes to a shard, but that all with one pair of leading bytes are together
 
 
 # ---------------------------------------------------------------- Elias-Fano
@@ -273,8 +276,13 @@ def _local(uri: str) -> str:
     return u.path
 
 
+def _shard(lead, shards: int):
+    """The shard of grams of two bytes or more by the number of the first two."""
+    return ((lead * 40503) % 65536) * shards // 65536
+
+
 def build(docs: DataFrame, order: int = ORDER) -> str:
-    """Count, smooth, quantise and write the trie; returns its folder. One file for each first byte of a gram."""
+    """Count, smooth, quantise and write the trie; returns its folder. One file a shard."""
     spark = docs.sparkSession
     ship(spark)
     top = stored(counts(docs, order), "lmtop")
@@ -282,12 +290,13 @@ def build(docs: DataFrame, order: int = ORDER) -> str:
     # equal-frequency bins from all nodes: their values rounded to 1/256 nats and counted
     hist = grams.groupBy("k", F.round(F.col("lp") * 256).cast("int").alias("v")).count().collect()
     bhist = grams.where(F.col("k") < order).groupBy("k", F.round(F.col("bow") * 256).cast("int").alias("v")).count().collect()
+    shards = max(SHARDS, -(-sum(r["count"] for r in hist) // SHARD_NODES))
     books = {"p": _books(hist, order), "b": _books(bhist, order)}
     folder = fresh_path(spark, "lmtrie")
     path = _local(folder)
     os.makedirs(path, exist_ok=True)
     with open(os.path.join(path, "books.json"), "w") as f:
-        json.dump({"order": order, **books}, f)
+        json.dump({"order": order, "shards": shards, **books}, f)
 
     def write(key, t):
         k = t["k"].to_numpy()
@@ -308,7 +317,9 @@ def build(docs: DataFrame, order: int = ORDER) -> str:
         os.replace(tmp, name)  # a retried task writes the same bytes
         return pa.table({"shard": pa.array([first], pa.int32()), "nodes": pa.array([t.num_rows], pa.int64())})
 
-    keyed = grams.withColumn("shard", F.expr("cast(shiftright(code, 8 * (k - 1)) as int)"))
+    of = F.expr(f"cast((shiftright(code, greatest(8 * (k - 2), 0)) * 40503) % 65536 * {shards} div 65536 as int)")
+    every = F.sequence(F.lit(0), F.lit(shards - 1))
+    keyed = grams.where("k > 1").withColumn("shard", of).unionByName(grams.where("k = 1").withColumn("shard", F.explode(every)))
     keyed.groupBy("shard").applyInArrow(write, "shard int, nodes bigint").agg(F.sum("nodes")).collect()
     return folder
 
@@ -348,7 +359,7 @@ class Scorer:
         self.path = _local(folder)
         with open(os.path.join(self.path, "books.json")) as f:
             spec = json.load(f)
-        self.order = spec["order"]
+        self.order, self.n_shards = spec["order"], spec["shards"]
         self.p = [np.array(b, np.float32) for b in spec["p"]]
         self.b = [np.array(b, np.float32) for b in spec["b"]]
         self.shards: dict[int, Trie | None] = {}
@@ -367,7 +378,7 @@ class Scorer:
         left = np.arange(len(codes))
         for k in range(self.order, 0, -1):
             part = codes[left] & np.uint64((1 << (8 * k)) - 1) if k < 8 else codes[left]
-            first = (part >> np.uint64(8 * (k - 1))).astype(np.int64)
+            first = _shard((part >> np.uint64(8 * max(k - 2, 0))).astype(np.int64), self.n_shards) if k > 1 else np.zeros(len(left), np.int64)
             found = np.zeros(len(left), bool)
             for s in np.unique(first):
                 at = np.flatnonzero(first == s)
@@ -388,12 +399,8 @@ class Scorer:
     def rest(self) -> float:
         """A byte that was never seen: what the empty context leaves, evenly."""
         if not hasattr(self, "_rest"):
-            seen, n = 0.0, 0
-            for s in range(256):
-                t = self.shard(s)
-                if t is not None:
-                    n += 1
-                    seen += math.exp(self.p[0][t.levels[0][2][0]])
+            t = self.shard(0)
+            n, seen = (0, 0.0) if t is None else (len(t.levels[0][2]), float(np.exp(self.p[0][t.levels[0][2]].astype(np.float64)).sum()))
             self._rest = math.log(max((1 - seen) / max(256 - n, 1), 1e-12))
         return self._rest
 
