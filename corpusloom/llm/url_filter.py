@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ..runtime import ship
 
-TRIE_LIMIT = 32 << 20  # bytes of entries that are broadcast
+TRIE_LIMIT = 8 << 20  # bytes of entries that are broadcast; as nested dicts they take several times that in each worker
 SEPARATOR = "/"
 
 _URL = re.compile(r"^\s*(?:[a-z][a-z0-9+.-]*:)?//(?:[^/?#@]*@)?(\[[^\]/?#]*\]|[^/?#:]*)(?::[^/?#]*)?([^?#]*)", re.I)
@@ -121,4 +121,8 @@ def by_join(pages: DataFrame, rules: DataFrame) -> DataFrame:
     best = prefixes.join(entries, "entry").groupBy("url").agg(F.max_by(F.struct("action", "entry", "depth"), "depth").alias("r"))
     best = urls.select("url").join(best, "url", "left")
     kind = F.when(F.col("known").isNull(), INVALID).otherwise(F.coalesce("r.action", F.lit(DEFAULT)))
-    return pages.select("page_id", "url").join(best.withColumn("known", F.lit(1)), "url", "left").select("page_id", "url", kind.alias("action"), F.col("r.entry").alias("entry"), F.coalesce("r.depth", F.lit(0)).alias("depth"))
+    joined = pages.where("url is not null").select("page_id", "url").join(best.withColumn("known", F.lit(1)), "url", "left")
+    out = joined.select("page_id", "url", kind.alias("action"), F.col("r.entry").alias("entry"), F.coalesce("r.depth", F.lit(0)).alias("depth"))
+    # null URLs don't meet in one task of the join
+    none = pages.where("url is null").select("page_id", "url", F.lit(INVALID).alias("action"), F.lit(None).cast("string").alias("entry"), F.lit(0).alias("depth"))
+    return out.unionByName(none)

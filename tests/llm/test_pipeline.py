@@ -111,3 +111,28 @@ def test_pipeline_on_empty_tables(spark, tmp_path):
     spark.createDataFrame([], "doc_id bigint, text string, lang string, source string, n_chars bigint").write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([], "item_id bigint, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_pipeline_on_nulls_repeats_long_texts_and_clashing_columns(spark, tmp_path):
+    from .test_edges import CLASH, EXTRA
+
+    rng = random.Random(21)
+    prose = lambda lang, n: " ".join(rng.choice(LEXICON[lang].split()) for _ in range(n))
+    rows = [(i, prose(lang, 60), lang, "web") for i in range(60) for lang in [rng.choice(list(LEXICON))]]
+    long = prose("en", 200_000) + " a.b@example.org"
+    rows += [rows[0], rows[0], (1, rows[0][1], "en", None), (None, rows[1][1], None, None), (None, prose("fr", 50), None, "web"), (70, long, "en", "books"), (71, None, "en", "web"), (72, "", None, None), (None, None, None, None)]
+    docs = spark.createDataFrame([(*r, len(r[1]) if r[1] is not None else None, *CLASH) for r in rows], f"doc_id bigint, text string, lang string, source string, n_chars bigint, {EXTRA}")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, rows[2][1][20:120], 5), (None, None, 6), (2, "and", 7)], "item_id bigint, text string, h int").write.parquet(str(tmp_path / "benchmark.parquet"))
+    now = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        now = stage(spark, now, str(tmp_path))
+        assert now.columns == docs.columns, name
+    got = corpus_pipeline.run(spark, str(tmp_path)).where("epoch = 0").collect()
+    pieces = defaultdict(list)
+    for r in got:
+        pieces[r["doc_id"], r["source"]].append((r["token_from"], r["text"]))
+    whole = {k: "".join(t for _, t in sorted(p)) for k, p in pieces.items()}
+    assert len(whole[70, "books"]) == len(long) and "a.b@example.org" not in whole[70, "books"]
+    assert (2, "web") not in whole and whole[0, "web"] == rows[0][1] and (None, None) not in whole
+    assert (None, "web") in whole and len(whole) >= 58
