@@ -18,6 +18,7 @@ from .index import Index, pruned
 K1, B = 1.2, 0.75
 NO_MATCH = 9223372036854775807  # stands for "no proximity" where queries are ranked
 LIMIT = 100
+EPSILON = 2.0**-52
 WIDTH = 10  # classes of the interleaved re-ranking
 MANY = 100_000  # queries or query terms; tables of more are not broadcast
 
@@ -126,14 +127,16 @@ MODEL_COLUMNS = ("cos", "euclid_dist", "sum_token_in_package", "words_in_header"
 
 
 def standardized(df: DataFrame, columns: tuple[str, ...], by: list[str]) -> DataFrame:
-    """Adds z_0, z_1, ...: the columns less their mean over their population deviation (1 where that is 0) in each group. A missing value is 0."""
+    """Adds z_0, z_1, ...: the columns less their mean over their population deviation (1 where all values are equal) in each group. A missing value is 0."""
     w = Window.partitionBy(*by)
     z = {}
     for i, c in enumerate(columns):
         x = F.coalesce(F.col(c).cast("double"), F.lit(float(NO_MATCH))) if c == "term_proximity" else F.col(c).cast("int").cast("double") if c == "words_in_header" else F.col(c).cast("double")
         x = F.coalesce(x, F.lit(0.0))
-        s = F.stddev_pop(x).over(w)
-        z[f"z_{i}"] = (x - F.avg(x).over(w)) / F.when(s == 0, 1.0).otherwise(s)
+        s, mean, n = F.stddev_pop(x).over(w), F.avg(x).over(w), F.count(x).over(w)
+        # what rounding leaves of the deviation of equal values is none
+        constant = s * s <= n * EPSILON * s * s + (n * mean * EPSILON) * (n * mean * EPSILON)
+        z[f"z_{i}"] = (x - mean) / F.when(constant, 1.0).otherwise(s)
     return df.withColumns(z)
 
 

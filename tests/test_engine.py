@@ -353,3 +353,112 @@ def test_intermediates_go_at_the_end(spark, tmp_path):
     (tmp_path / "x" / "y").mkdir(parents=True)
     runtime._remove(spark.sparkContext._jvm, spark.sparkContext._jsc, f"file://{tmp_path}/x")
     assert not (tmp_path / "x").exists()
+
+
+def plain_search(pages, queries, weights, max_typo=2):
+    """The whole search in plain Python: (query, rank) -> (doc_id, bm25, cos)."""
+    import re
+
+    def cut(text):
+        return re.findall(r"[a-z0-9]+", text.lower())
+
+    def near(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            new = [i]
+            for j, y in enumerate(b, 1):
+                new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+            row = new
+        return row[-1]
+
+    def cosine(a, b):
+        n = math.sqrt(sum(x * x for x in a)) * math.sqrt(sum(x * x for x in b))
+        return sum(x * y for x, y in zip(a, b)) / n if n else 0.0
+
+    post, length, vec, seen = {}, {}, {}, []
+    for i, url, page in pages:
+        passages, pos = html.parse(page)[0], 0
+        for kind, text in passages:
+            for w in cut(text):
+                if w in STOP_WORDS:
+                    continue
+                if w.isalpha() and w not in seen:
+                    seen.append(w)
+                if not w.isdigit():
+                    post.setdefault(stem(w) if w.isalpha() else w, {}).setdefault(i, []).append((pos, kind))
+                    pos += 1
+        length[i], vec[i] = pos, hash_embedder(["".join(t for _, t in passages)])[0][0]
+    mean = sum(length.values()) / len(length)
+    out = {}
+    for q, text in queries:
+        slots = []
+        for w in cut(text):
+            if w in STOP_WORDS:
+                continue
+            term = stem(w) if w.isalpha() else w
+            if w.isalpha() and term not in post:
+                found = [(min(p for p in range(len(w) - 2) if w[p : p + 3] in c), k, c) for k, c in enumerate(seen) if any(w[p : p + 3] in c for p in range(len(w) - 2)) and near(w, c) <= max_typo]
+                term = stem(min(found)[2]) if found else term
+            slots.append(term)
+        qv, rows = hash_embedder([text])[0][0], []
+        for i, url, _ in pages:
+            hit = [t for t in slots if i in post.get(t, {})]
+            if not hit:
+                continue
+            idf = {t: math.log(len(pages) / (len(post[t]) + 1)) + 1 for t in hit}
+            bm = sum(idf[t] * len(post[t][i]) * 2.2 / (len(post[t][i]) + 1.2 * (0.25 + 0.75 * length[i] / mean)) for t in hit)
+            prox = None
+            if len(hit) == len(slots):
+                for s, _ in post[slots[0]][i]:
+                    at = s
+                    for t in slots[1:]:
+                        at = min((p for p, _ in post[t][i] if at is not None and p > at), default=None)
+                    if at is not None:
+                        prox = at - s if prox is None else min(prox, at - s)
+            in_url = sum(len(t) for t in slots if t in url.lower())
+            dist = math.sqrt(sum((x - y) ** 2 for x, y in zip(vec[i], qv)))
+            cos, n = cosine(vec[i], qv), sum(len(post[t][i]) for t in hit)
+            header = float(any(k == "h" for t in hit for _, k in post[t][i]))
+            features = [cos, dist, n, header, len(hit) / len(slots), len(hit) / n, float(S.NO_MATCH if prox is None else prox), header, math.log1p(in_url), len(url)]
+            key = (-math.trunc(cos * 100), math.trunc(dist * 100), -round(bm, 9), -(S.NO_MATCH if prox is None else prox), -round(sum(length[i] * idf[t] for t in hit), 9), i)
+            rows.append((key, i, bm, cos, features))
+        rows.sort()
+        for c in range(10):
+            members = list(range(c, len(rows), 10))
+            if len(members) < 2:
+                continue
+            cols = list(zip(*(rows[m][4] for m in members)))
+            score = [0.0] * len(members)
+            for w, col in zip(weights, cols):
+                m = sum(col) / len(col)
+                dev = 1.0 if max(col) - min(col) <= 1e-12 * abs(m) else math.sqrt(sum((x - m) ** 2 for x in col) / len(col))
+                score = [s + w * (x - m) / dev for s, x in zip(score, col)]
+            best = next((k for k, s in enumerate(score) if s > 0), None)
+            if best is None:
+                break
+            a, b = members[0], members[best]
+            rows[a], rows[b] = rows[b], rows[a]
+        out |= {(q, r): (i, bm, cos) for r, (_, i, bm, cos, _) in enumerate(rows)}
+    return out
+
+
+def test_search_against_plain_python(spark):
+    import random
+
+    rng = random.Random(3)
+    words = "river stone cloudy forest running winters library garden relational hopeful 2024 v2 the of and".split()
+    text = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    pages = [(i, f"https://e.org/{rng.choice(words)}/{i}", f"<h1>{text(2)}</h1><p>{text(rng.randint(3, 40))}</p>") for i in range(60)]
+    queries = [(1, "the river of stone"), (2, "forrest wintrs"), (3, "library 2024"), (4, "hopeful v2 garden"), (5, "nothingatall")]
+    weights = [0.7, -0.5, 0.2, 0.1, 0.5, 0.1, 0.0, 0.1, 0.1, -0.3]
+    df = spark.createDataFrame(pages, "page_id bigint, url string, html string")
+    p = html.passages(html.parsed(df))
+    vectors = html.full_text(p).select("doc_id", embedded(spark, F.col("text")).alias("word_vec"))
+    x = I.build(df.selectExpr("page_id as doc_id", "url"), p, vectors)
+    q = spark.createDataFrame(queries, "query_id int, text string")
+    qv = q.select("query_id", embedded(spark, F.col("text"))[0].alias("query_vec"))
+    got = {(r["query_id"], r["rank"]): r for r in S.search(q, x, vectors=qv, weights=weights).collect()}
+    want = plain_search(pages, queries, weights)
+    assert set(got) == set(want) and len(want) > 100 and {k for k, _ in want} == {1, 2, 3, 4}
+    for k, (i, bm, cos) in want.items():
+        assert got[k]["doc_id"] == i and got[k]["bm25"] == pytest.approx(bm) and got[k]["cos"] == pytest.approx(cos), k
