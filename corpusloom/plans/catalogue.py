@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -136,11 +137,15 @@ _saved: dict[tuple[str, str], str] = {}
 def _index(spark, d) -> I.Index:
     """The index of the documents, saved by the first query of an application that asks for it; all read what they need of that."""
     key = spark.sparkContext.applicationId, d
-    if key not in _saved:
-        path = fresh_path(spark, "index")
-        _built(spark, d).save(path)
-        _saved[key] = path
-    return I.Index.load(spark, _saved[key])
+    if key in _saved:
+        try:
+            return I.Index.load(spark, _saved[key])
+        except AnalysisException:  # the shared folder was emptied meanwhile
+            pass
+    path = fresh_path(spark, "index")
+    _built(spark, d).save(path)
+    _saved[key] = path
+    return I.Index.load(spark, path)
 
 
 def _built(spark, d) -> I.Index:

@@ -26,7 +26,9 @@ def ship(spark: SparkSession) -> None:
     sc = spark.sparkContext
     if sc.applicationId in _shipped:
         return
-    path = os.path.join(tempfile.mkdtemp(prefix="corpusloom-"), "corpusloom-src.zip")
+    folder = tempfile.mkdtemp(prefix="corpusloom-")
+    atexit.register(shutil.rmtree, folder, True)
+    path = os.path.join(folder, "corpusloom-src.zip")
     with zipfile.ZipFile(path, "w") as z:
         for root, _, files in os.walk(PACKAGE):
             for f in files:
