@@ -6,26 +6,30 @@ own), and the points of a cell form a cover tree: the children
 of a node of level i are centres that cover its points within 2^-(i+1), the node's own centre among them; levels at which a
 node has one child only are left out. Each node keeps its covering radius, the distance to its farthest
 descendant. Two trees are walked together from their roots: a pair of nodes is pruned if its centres lie farther apart than the two
-covering radii and the threshold together, else their children are paired; pairs of leaves that are left are verified in double
-precision. A pair of nodes all of whose points must be within the threshold is counted as it is, without its pairs. The roots' own balls prune pairs
+covering radii and the threshold together, else their children are paired; pairs of leaves that are left are compared, in double
+precision where single does not decide. A pair of nodes all of whose points must be within the threshold is counted as it is, without its pairs. The roots' own balls prune pairs
 of trees before anything is sent. Each pair of trees gives the number of links of its points and a spanning forest of
 them, never more rows than points.
 
-No index prunes much where all points are about equally far apart; there the cost is that of all pairs of points,
-as matrix products. Where points cluster, or lie near a surface of few dimensions, most pairs of nodes go at the top.
+No index prunes much where all points are about equally far apart; there the cost is that of all pairs of points. A pair of nodes that has hardly fewer
+pairs of children than of points goes to matrix products at once, of some coordinates along the main directions of a sample and the length of the
+rest: the product of these is never less than the cosine, and what it lets through is compared in full. Trees are files of the shared folder; none is sent. Where points cluster, or lie near a surface of few dimensions, most pairs of nodes go at the top.
 """
 
 from __future__ import annotations
 
 import io
+import os
+from functools import cached_property
 from math import ceil, sqrt
+from urllib.parse import urlparse
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import BROADCAST_LIMIT, checked_broadcast, ship, stored
+from ..runtime import BROADCAST_LIMIT, checked_broadcast, fresh_path, ship, stored
 from .components import components
 
 THRESHOLD = 0.95
@@ -33,6 +37,9 @@ CELL = 4096  # points to a tree, or 8 times the root of their number if that is
 SLACK = 2e-3  # covers the single-precision error of distances; what it lets through is verified
 DEEPEST = 24  # levels; points closer than 2^-23 are all children of one node
 BLOCK = 512
+LOW = 24  # coordinates that are compared first, or the quarter of all if that is more
+TILE = 256, 1024  # points of a matrix product
+MOST_TASKS = 2000  # that pairs of trees are divided among
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -40,6 +47,25 @@ def unit(x: np.ndarray) -> np.ndarray:
     return (y / np.sqrt((y * y).sum(1))[:, None]).astype(np.float32)
 
 
+def lowered(x: np.ndarray, basis: np.ndarray | None) -> np.ndarray:
+    """Of unit vectors the coordinates in an orthonormal basis and the length of the rest; without a basis all coordinates."""
+    y = x.astype(np.float64)
+    y /= np.sqrt((y * y).sum(1))[:, None]
+    if basis is None:
+        return y.astype(np.float32)
+    z = y @ basis.T
+    return np.column_stack([z, np.sqrt(np.maximum(0, 1 - (z * z).sum(1)))]).astype(np.float32)
+
+
+def _basis(sample: np.ndarray) -> np.ndarray | None:
+    """The main directions of some vectors; None where there are few coordinates."""
+    dim = sample.shape[1]
+    if dim <= LOW:
+        return None
+    y = sample.astype(np.float64)
+    return np.linalg.svd(y / np.sqrt((y * y).sum(1))[:, None], full_matrices=False)[2][: max(LOW, dim // 4) - 1]
+
+
 def _far(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """All distances of unit vectors."""
     d = a @ b.T
@@ -52,15 +78,26 @@ def _far(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 class CoverTree:
     """Nodes by number, the root 0, with their centre (a point), covering radius, and first child and number of children."""
 
-    NAMES = ("points", "centre", "radius", "first", "count", "rep", "copies", "key")
+    NAMES = ("points", "centre", "radius", "first", "count", "rep", "copies", "key", "low", "order", "lo", "hi")
 
-    def __init__(self, points, centre, radius, first, count, rep, copies, key):
+    def __init__(self, points, centre, radius, first, count, rep, copies, key, low=None, order=None, lo=None, hi=None):
         self.points, self.centre, self.radius, self.first, self.count = points, centre, radius, first, count
         self.rep, self.copies, self.key = rep, copies, key  # of each point its least id, its number of rows and 16 bytes that name it
-        self.at = unit(points) if len(points) else points
+        self.low = low  # of the points in the order of the leaves: see lowered
+        if order is not None:
+            self._leaves = self.order, self.lo, self.hi = order, lo, hi
+
+    @cached_property
+    def at(self) -> np.ndarray:
+        return unit(self.points) if len(self.points) else self.points
+
+    @cached_property
+    def ordered(self) -> np.ndarray:
+        """The unit vectors in the order of the leaves."""
+        return self.at[self.leaves()[0]]
 
     @classmethod
-    def build(cls, points: np.ndarray, rep: np.ndarray, copies: np.ndarray, key: np.ndarray) -> CoverTree:
+    def build(cls, points: np.ndarray, rep: np.ndarray, copies: np.ndarray, key: np.ndarray, basis: np.ndarray | None = None) -> CoverTree:
         x = unit(points)
         centre, radius, first, count = [0], [0.0], [0], [0]
         todo = [(0, np.arange(len(x)), 0)]
@@ -86,7 +123,9 @@ class CoverTree:
                 radius.append(0.0)
                 first.append(0)
                 count.append(0)
-        return cls(points, np.array(centre), np.array(radius, np.float32), np.array(first), np.array(count), rep, copies, key)
+        t = cls(points, np.array(centre), np.array(radius, np.float32), np.array(first), np.array(count), rep, copies, key)
+        t.low = lowered(points[t.leaves()[0]], basis)
+        return t
 
     def leaves(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The points in the order of the leaves, and of each node the range of its own there."""
@@ -106,7 +145,7 @@ class CoverTree:
                     lo[node] = n
                     todo.append((node, True))
                     todo += [(c, False) for c in range(first[node], first[node] + count[node])]
-            self._leaves = order, lo, hi
+            self._leaves = self.order, self.lo, self.hi = order, lo, hi
         return self._leaves
 
     def to_bytes(self) -> bytes:
@@ -116,7 +155,11 @@ class CoverTree:
 
     @classmethod
     def from_bytes(cls, data: bytes) -> CoverTree:
-        with np.load(io.BytesIO(data)) as z:
+        return cls.read(io.BytesIO(data))
+
+    @classmethod
+    def read(cls, file) -> CoverTree:
+        with np.load(file) as z:
             return cls(*(z[n] for n in cls.NAMES))
 
 
@@ -151,27 +194,93 @@ def _cover(x: np.ndarray, members: np.ndarray, radius: float) -> tuple[list[int]
     return heads, [parts[h] for h in heads]
 
 
+def _similar(a: CoverTree, b: CoverTree, p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    sim = np.empty(len(p))
+    for t in range(0, len(p), 1 << 16):
+        x, y = a.points[p[t : t + (1 << 16)]].astype(np.float64), b.points[q[t : t + (1 << 16)]].astype(np.float64)
+        sim[t : t + (1 << 16)] = (x * y).sum(1) / np.sqrt((x * x).sum(1) * (y * y).sum(1))
+    return np.minimum(sim, 1.0)
+
+
+def _tiles(a: CoverTree, b: CoverTree, rows: tuple[int, int], columns: tuple[int, int], threshold: float, own: bool):
+    """Points of a, points of b and their similarity (in single precision, unless that leaves it open whether they are linked) of the pairs of leaves in two ranges.
+
+    own: the ranges are those of one node, of which each pair counts once.
+    """
+    guard = 1e-5 + 1.2e-7 * a.points.shape[1]  # more than single precision can err
+    least = np.float32(threshold - guard)
+    at_a, at_b = a.leaves()[0], b.leaves()[0]
+    room = np.empty(TILE, np.float32), np.empty(TILE, bool)
+    for s in range(*rows, TILE[0]):
+        e = min(s + TILE[0], rows[1])
+        for u in range(*columns, TILE[1]):
+            w = min(u + TILE[1], columns[1])
+            if own and w <= s + 1:
+                continue
+            whole = (e - s, w - u) == TILE
+            most = np.matmul(a.low[s:e], b.low[u:w].T, out=room[0] if whole else None)
+            hit = np.greater_equal(most, least, out=room[1] if whole else None)
+            n = np.count_nonzero(hit)
+            if not n:
+                continue
+            if 16 * n > hit.size:
+                dot = a.ordered[s:e] @ b.ordered[u:w].T
+                at = np.flatnonzero(dot >= least)
+                dot = dot.ravel()[at]
+            else:
+                at = np.flatnonzero(hit)
+                dot = np.einsum("ij,ij->i", a.ordered[s + at // (w - u)], b.ordered[u + at % (w - u)])
+            p, q = s + at // (w - u), u + at % (w - u)
+            near = dot >= least
+            if own:
+                near &= p < q
+            p, q, dot = at_a[p[near]], at_b[q[near]], dot[near].astype(np.float64)
+            open_ = np.flatnonzero(dot < threshold + guard)
+            if len(open_):
+                dot[open_] = _similar(a, b, p[open_], q[open_])
+                near = np.ones(len(p), bool)
+                near[open_] = dot[open_] >= threshold
+                p, q, dot = p[near], q[near], dot[near]
+            if len(p):
+                yield p, q, dot
+
+
 def close_points(a: CoverTree, b: CoverTree, threshold: float, whole: list | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Points of a, points of b and their similarity, of all pairs of at least the threshold; of a tree with itself each pair once.
 
     Given a list whole, pairs of nodes all of whose points are as near go there instead, as two arrays of nodes; of a node with
     itself all pairs of its points are meant.
     """
+    found = [(p, q) for p, q, _ in _close(a, b, threshold, whole)]
+    if not found:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+    p, q = (np.concatenate(x) for x in zip(*found))
+    return p, q, _similar(a, b, p, q)
+
+
+def _close(a: CoverTree, b: CoverTree, threshold: float, whole: list | None):
+    """As close_points, in batches, with similarities that may be of single precision."""
     same = a is b
     eps = sqrt(max(0.0, 2 - 2 * threshold)) + SLACK
     sure = np.float32(eps - 2 * SLACK if whole is not None else -1)
     i, j = np.zeros(1, np.int64), np.zeros(1, np.int64)
-    found: list[tuple[np.ndarray, np.ndarray]] = []
+    (_, lo_a, hi_a), (_, lo_b, hi_b) = a.leaves(), b.leaves()
     if same and not a.count[0]:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
-    if not same and _far(a.at[a.centre[:1]], b.at[b.centre[:1]])[0, 0] > a.radius[0] + b.radius[0] + eps:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        return
+    if not same and _far(unit(a.points[a.centre[:1]]), unit(b.points[b.centre[:1]]))[0, 0] > a.radius[0] + b.radius[0] + eps:
+        return
     while len(i):
         # a leaf stands for its own child
         fi, ci = np.where(a.count[i] > 0, a.first[i], i), np.maximum(a.count[i], 1)
         fj, cj = np.where(b.count[j] > 0, b.first[j], j), np.maximum(b.count[j], 1)
+        # the times, in nanoseconds, that the pairs of children and those of all points take
+        every = 15_000 + 2.0 * (hi_a[i] - lo_a[i]) * (hi_b[j] - lo_b[j])
+        at_once = every <= ci * cj * np.where(ci * cj > BLOCK, 6, 100)
+        for x, y in zip(i[at_once].tolist(), j[at_once].tolist()):
+            yield from _tiles(a, b, (int(lo_a[x]), int(hi_a[x])), (int(lo_b[y]), int(hi_b[y])), threshold, same and x == y)
+        i, j, fi, ci, fj, cj = (x[~at_once] for x in (i, j, fi, ci, fj, cj))
         big = ci * cj > BLOCK
-        next_i, next_j = [], []
+        next_i, next_j, found = [], [], []
 
         def keep(u, v, far):
             inside = far + a.radius[u] + b.radius[v] <= sure
@@ -218,15 +327,11 @@ def close_points(a: CoverTree, b: CoverTree, threshold: float, whole: list | Non
                 keep(p[near], q[near], far[near])
         i = np.concatenate(next_i) if next_i else np.zeros(0, np.int64)
         j = np.concatenate(next_j) if next_j else np.zeros(0, np.int64)
-    if not found:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
-    p, q = np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
-    sim = np.empty(len(p))
-    for t in range(0, len(p), 1 << 16):
-        x, y = a.points[p[t : t + (1 << 16)]].astype(np.float64), b.points[q[t : t + (1 << 16)]].astype(np.float64)
-        sim[t : t + (1 << 16)] = (x * y).sum(1) / np.sqrt((x * x).sum(1) * (y * y).sum(1))
-    ok = sim >= threshold
-    return p[ok], q[ok], np.minimum(sim[ok], 1.0)
+        if found:
+            p, q = (np.concatenate(x) for x in zip(*found))
+            sim = _similar(a, b, p, q)
+            ok = sim >= threshold
+            yield p[ok], q[ok], sim[ok]
 
 
 def _roots(n: int, u: np.ndarray, v: np.ndarray) -> np.ndarray:
@@ -248,13 +353,20 @@ def _roots(n: int, u: np.ndarray, v: np.ndarray) -> np.ndarray:
 def links(a: CoverTree, b: CoverTree, threshold: float) -> tuple[np.ndarray, np.ndarray]:
     """Of the points of a, and then those of b if that is another tree: rows linked to each, and the least point of its component here."""
     same, whole = a is b, []
-    p, q, _ = close_points(a, b, threshold, whole)
-    u, v = (np.concatenate(x) for x in zip(*whole)) if whole else (np.zeros(0, np.int64),) * 2
     base = 0 if same else len(a.points)
     count = np.zeros(base + len(b.points), np.int64)
-    np.add.at(count, p, b.copies[q])
-    np.add.at(count, q + base, a.copies[p])
-    edges = [(p, q + base)]
+    root, edges, held = np.arange(len(count)), [], 0
+    for p, q, _ in _close(a, b, threshold, whole):
+        np.add.at(count, p, b.copies[q])
+        np.add.at(count, q + base, a.copies[p])
+        x, y = root[p], root[q + base]
+        edges.append((x[x != y], y[x != y]))
+        held += len(edges[-1][0])
+        if held > 1 << 19:  # what is joined already is one point from then on
+            root = _roots(len(count), *(np.concatenate(x) for x in zip(*edges)))[root]
+            edges, held = [], 0
+    edges.append((np.arange(len(count)), root))
+    u, v = (np.concatenate(x) for x in zip(*whole)) if whole else (np.zeros(0, np.int64),) * 2
 
     def spread(t, node, rows):
         """Of the leaves of a tree, in their order, the sum of rows over the nodes that each is in."""
@@ -330,17 +442,21 @@ def _nearest(points: DataFrame, pivots: dict[tuple, np.ndarray], by: list[str])
     return F.arrow_udf(run, "int")(F.array(*by), F.col("v"))
 
 
-def _placed(points: DataFrame, cell: int) -> DataFrame:
-    """The points with the dim, cell, sub and part of the tree that each is in; stored.
+def _placed(points: DataFrame, cell: int) -> tuple[DataFrame, dict[int, np.ndarray | None]]:
+    """The points with the dim, cell, sub and part of the tree that each is in, stored; and for each dim the basis of what is compared first.
 
     Pivots are the points with the lowest hashes: about the eighth of the root of their number, and for a cell of over 4 x cell points one for
     every cell of them, though not more in all than a broadcast holds. What is larger still is cut by hash.
     """
     pivots: dict[tuple, np.ndarray] = {}
+    bases: dict[int, np.ndarray | None] = {}
     for r in points.groupBy("dim").count().collect():
         size = max(cell, ceil(8 * sqrt(r["count"])))
-        top = points.where(F.col("dim") == r["dim"]).orderBy("h", "key").limit(ceil(r["count"] / size)).select("v").collect()
-        pivots[(r["dim"],)] = np.array([x["v"] for x in top], np.float32)
+        n = ceil(r["count"] / size)
+        sample = 4 * max(LOW, r["dim"] // 4) if r["dim"] > LOW else 0
+        top = points.where(F.col("dim") == r["dim"]).orderBy("h", "key").limit(max(n, sample)).select("v").collect()
+        top = np.array([x["v"] for x in top], np.float32)
+        pivots[(r["dim"],)], bases[r["dim"]] = top[:n], _basis(top)
     placed = stored(points.withColumn("cell", _nearest(points, pivots, ["dim"])), "cj-cells")
     sizes = placed.groupBy("dim", "cell").agg(F.count("*").alias("n"))
     large = sizes.where(F.col("n") > 4 * cell).collect()  # at most a row for each pivot
@@ -357,7 +473,7 @@ def _placed(points: DataFrame, cell: int) -> DataFrame:
         placed = placed.withColumn("sub", F.lit(0))
     many = stored(placed.groupBy("dim", "cell", "sub").agg(F.ceil(F.count("*") / (4 * cell)).cast("int").alias("parts")).where("parts > 1"), "cj-parts")
     placed = placed.join(checked_broadcast(many, 64), ["dim", "cell", "sub"], "left")
-    return placed.withColumn("part", F.pmod(F.xxhash64("h"), F.coalesce("parts", F.lit(1))).cast("int"))
+    return placed.withColumn("part", F.pmod(F.xxhash64("h"), F.coalesce("parts", F.lit(1))).cast("int")), bases
 
 
 def spark_rows(like: DataFrame, rows: list[tuple]) -> DataFrame:
@@ -366,43 +482,57 @@ def spark_rows(like: DataFrame, rows: list[tuple]) -> DataFrame:
 
 def _walked(points: DataFrame, threshold: float, cell: int, result, schema: str) -> DataFrame:
     """The batches of result(tree, tree) over all pairs of trees, and each with itself, that can hold a link."""
-    placed = _placed(points, cell)
+    placed, bases = _placed(points, cell)
+    spark = points.sparkSession
+    shared = spark.sparkContext.broadcast(bases)
+    folder = urlparse(fresh_path(spark, "cj-files"))
+    if folder.scheme not in ("", "file"):
+        raise RuntimeError("trees are files that tasks read: spark.checkpoint.dir must be a mounted folder (file://)")
+    folder = folder.path
+    os.makedirs(folder, exist_ok=True)
+
+    def file_of(tree: tuple) -> str:
+        return os.path.join(folder, "-".join(map(str, tree)))
 
     def grow(key, t):
         t = t.combine_chunks().sort_by([("h", "ascending"), ("key", "ascending")])
-        dim = key[0].as_py()
+        key = tuple(k.as_py() for k in key)
         names = np.frombuffer(b"".join(t["key"].to_pylist()), np.uint8).reshape(-1, 16)
-        tree = CoverTree.build(_flat(t["v"], dim), t["rep"].to_numpy(), t["copies"].to_numpy(), names)
+        tree = CoverTree.build(_flat(t["v"], key[0]), t["rep"].to_numpy(), t["copies"].to_numpy(), names, shared.value[key[0]])
         root = tree.at[tree.centre[0]]
-        return pa.table({**{c: pa.array([k.as_py()], pa.int32()) for c, k in zip(("dim", "cell", "sub", "part"), key)}, "root": pa.array([root.tolist()], pa.list_(pa.float32())), "radius": pa.array([float(tree.radius[0])], pa.float32()), "tree": pa.array([tree.to_bytes()], pa.binary())})
+        name = file_of(key)
+        tmp = f"{name}.{os.getpid()}.{os.urandom(4).hex()}"
+        with open(tmp, "wb") as f:
+            f.write(tree.to_bytes())
+        os.replace(tmp, name)  # a retried task writes the same bytes
+        return pa.table({**{c: pa.array([k], pa.int32()) for c, k in zip(("dim", "cell", "sub", "part"), key)}, "root": pa.array([root.tolist()], pa.list_(pa.float32())), "radius": pa.array([float(tree.radius[0])], pa.float32())})
 
     by = ("dim", "cell", "sub", "part")
-    trees = placed.select(*by, "v", "rep", "copies", "key", "h").groupBy(*by).applyInArrow(grow, "dim int, cell int, sub int, part int, root array<float>, radius float, tree binary")
-    trees = stored(trees.withColumn("id", F.struct(*by)).select("id", "root", "radius", "tree"), "cj-trees")
+    trees = placed.select(*by, "v", "rep", "copies", "key", "h").groupBy(*by).applyInArrow(grow, "dim int, cell int, sub int, part int, root array<float>, radius float")
+    heads = stored(trees.withColumn("id", F.struct(*by)).select("id", "root", "radius"), "cj-trees")
     # which pairs of trees can hold a link: their balls, widened by the threshold, meet
-    heads = trees.select("id", "root", "radius")
     a, b = heads.select(*(F.col(c).alias(f"a_{c}") for c in heads.columns)), heads.select(*(F.col(c).alias(f"b_{c}") for c in heads.columns))
     dot = F.aggregate(F.zip_with("a_root", "b_root", lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
     reach = F.col("a_radius") + F.col("b_radius") + F.lit(sqrt(max(0.0, 2 - 2 * threshold)) + SLACK)
-    meet = a.join(b, (F.col("a_id.dim") == F.col("b_id.dim")) & (F.col("a_id") <= F.col("b_id"))).where(F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * dot)) <= reach)
-    # one tree of a pair owns the task; the other one is sent there. Ownership alternates, so no tree has all the work
+    meet = a.join(b, (F.col("a_id.dim") == F.col("b_id.dim")) & (F.col("a_id") <= F.col("b_id")))
+    meet = meet.where((F.col("a_id") == F.col("b_id")) | (F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * dot)) <= reach))
+    # a task takes some of the pairs of one tree. Which of the two is that alternates, so no tree has all the work
     swap = F.pmod(F.xxhash64("a_id", "b_id"), F.lit(2)) == 0
-    jobs = meet.select(F.when(swap, F.col("b_id")).otherwise(F.col("a_id")).alias("own"), F.when(swap, F.col("a_id")).otherwise(F.col("b_id")).alias("id"))
-    work = jobs.unionByName(trees.select(F.col("id").alias("own"), "id")).distinct().join(trees.select("id", "tree"), "id")
-    work = work.select("own", (F.col("own") != F.col("id")).alias("other"), "id", "tree")
+    jobs = stored(meet.select(F.when(swap, F.col("b_id")).otherwise(F.col("a_id")).alias("own"), F.when(swap, F.col("a_id")).otherwise(F.col("b_id")).alias("id")), "cj-jobs")
+    n = jobs.count()
+    tasks = min(MOST_TASKS, max(n // 16, min(n, 4 * spark.sparkContext.defaultParallelism), 1))
 
     def walk(batches):
         own, held = None, None
         for batch in batches:
-            for key, other, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(3)):
-                t = CoverTree.from_bytes(data.as_py())
-                if not other:
-                    own, held = key, t
-                elif key != own:
-                    raise RuntimeError("a tree's own row comes first")
-                yield from result(held, t if other else held)
-
-    return work.repartition("own").sortWithinPartitions("own", "other", "id").mapInArrow(walk, schema)
+            for key, other in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                key, other = tuple(key.values()), tuple(other.values())
+                if key != own:
+                    own, held = key, CoverTree.read(file_of(key))
+                yield from result(held, held if other == own else CoverTree.read(file_of(other)))
+
+    salt = F.pmod(F.xxhash64("id"), F.lit(max(1, 2 * tasks // max(1, heads.count()))))
+    return jobs.repartition(tasks, "own", salt).sortWithinPartitions("own", "id").mapInArrow(walk, schema)
 
 
 def linked(embeddings: DataFrame, threshold: float = THRESHOLD, cell: int = CELL) -> DataFrame:

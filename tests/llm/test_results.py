@@ -4,6 +4,7 @@ import base64
 import itertools
 import math
 import random
+import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -647,6 +648,36 @@ def test_cover_tree_invariants():
     assert sorted(under(0)) == list(range(len(x)))
 
 
+def test_flat_trees_are_compared_in_few_coordinates(monkeypatch):
+    rng = np.random.default_rng(12)
+    x, y = rng.normal(size=(2000, 64)), rng.normal(size=(1500, 64))
+    y[:300] = x[:300] + 0.33 * rng.normal(size=(300, 64))  # about the threshold
+    x, y = x.astype(np.float32), y.astype(np.float32)
+    basis = cover_join._basis(x[:200])
+    tree = lambda z: cover_join.CoverTree.build(z, np.arange(len(z)), np.ones(len(z), np.int64), np.zeros((len(z), 16), np.uint8), basis)
+    a, b, far, full = tree(x), tree(y), cover_join._far, []
+    monkeypatch.setattr(cover_join, "_far", lambda u, v: full.append(len(u) * len(v)) or far(u, v))
+    unit = lambda z: z.astype(float) / np.sqrt((z.astype(float) ** 2).sum(1))[:, None]
+    near = unit(x) @ unit(y).T >= 0.95
+    n, root = cover_join.links(a, b, 0.95)
+    assert 50 < near.sum() < 300 and n.tolist() == [*near.sum(1), *near.sum(0)]
+    assert root.tolist() == cover_join._roots(3500, *(np.nonzero(near) + np.array([[0], [2000]]))).tolist()
+    assert sum(full) < 10_000
+
+
+def test_links_of_a_blob_take_bounded_memory():
+    rng = np.random.default_rng(13)
+    x = (rng.normal(size=64) + 0.19 * rng.normal(size=(2500, 64))).astype(np.float32)
+    t = cover_join.CoverTree.build(x, np.arange(2500), np.ones(2500, np.int64), np.zeros((2500, 16), np.uint8))
+    tracemalloc.start()
+    n, root = cover_join.links(t, t, 0.95)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    y = x.astype(float) / np.sqrt((x.astype(float) ** 2).sum(1))[:, None]
+    assert n.tolist() == ((y @ y.T >= 0.95).sum(1) - 1).tolist() and n.sum() > 2e6 and set(root) == {0}
+    assert peak < 120 << 20
+
+
 # ---------------------------------------------------------------- 10
 def brute_lm(texts, order):
     """Interpolated Witten-Bell over bytes, with plain dictionaries."""
