@@ -169,7 +169,7 @@ class Transducer:
         """Keep these states, and no transition."""
         self.states: list[tuple] = []
         self.number: dict[tuple, int] = {}
-        self.table = np.full((1024, ROW), -1, np.int32)
+        self.table = np.zeros((STATES + 1024, ROW), np.int32)  # transitions and 1, 0 where they are not made: rows that no state has take no memory
         self.keys, self.values, self.used = np.full(1 << 12, -1, np.int64), np.zeros(1 << 12, np.int32), 0
         self.after_space: dict[int, int] = {}
         for x in (self.bpe.whole, self.bpe.spines, self.bpe.alike, self.bpe.same):
@@ -192,7 +192,7 @@ class Transducer:
             self.number[s] = len(self.states)
             self.states.append(s)
             if len(self.states) > len(self.table):
-                self.table = np.vstack([self.table, np.full_like(self.table, -1)])
+                self.table = np.vstack([self.table, np.zeros_like(self.table)])
         return self.number[s]
 
     def symbols(self, chars: np.ndarray) -> np.ndarray:
@@ -219,6 +219,7 @@ class Transducer:
         """Transitions (end state, shifted, and change of the count), -1 where they are not made."""
         far = np.flatnonzero(symbol >= ROW - 1) if len(self.chars) >= ROW else ()
         v = self.table.ravel()[state * ROW + (np.minimum(symbol, ROW - 1) if len(far) else symbol)]
+        v -= 1
         if len(far):
             key = state[far] << 21 | symbol[far]
             at = self._slots(key)
@@ -227,7 +228,7 @@ class Transducer:
 
     def _keep(self, state: int, symbol: int, value: int) -> None:
         if symbol < ROW - 1:
-            self.table[state, symbol] = value
+            self.table[state, symbol] = value + 1
             return
         if 2 * self.used >= len(self.keys):
             old = self.keys >= 0

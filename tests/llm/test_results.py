@@ -415,6 +415,17 @@ def test_a_very_long_text_without_blanks():
     assert counted(t, [part * 2, part * 3, text]) == [*few, few[0] + 198 * (few[1] - few[0])]
 
 
+def test_table_of_transitions_grows_in_place():
+    t = token_count.Transducer({bytes([i]): i for i in range(256)})
+    tracemalloc.start()
+    t._forget([])
+    for i in range(70_000):
+        t._state(("run", i))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(t.table) >= 70_000 and peak < 160 << 20
+
+
 # ---------------------------------------------------------------- 7
 def edits(item: bytes, text: bytes) -> int:
     """The least edit distance of the item to any substring of the text."""
