@@ -163,6 +163,47 @@ def _keyed(pages: DataFrame) -> DataFrame:
     return pages.withColumn("host", F.when(host != "", host)).withColumn("__page", F.xxhash64("page_id", "url", "html"))
 
 
+def bucket(path: str, token: str) -> int:
+    return zlib.crc32(token.encode("utf-8", "surrogatepass"), zlib.crc32(path.encode("utf-8", "surrogatepass"))) % BUCKETS
+
+
+class Tally:
+    """Pages and sums of marks of the roles in wanted buckets, by host and path; a role's bucket is looked at when it is first met."""
+
+    def __init__(self):
+        self.clear()
+
+    def clear(self) -> None:
+        self.by: dict[tuple[str, str], dict[str, list[int] | None]] = {}
+        self.n = self.met = 0  # roles that are counted, and all
+
+    def add(self, host: str, page: int, found: dict[str, list[str]], wanted) -> None:
+        marks: dict[int, tuple[int, int]] = {}
+        for path, bag in found.items():
+            known = self.by.get((host, path))
+            if known is None:
+                known = self.by[host, path] = {}
+            for token, n in Counter(bag).items() if len(bag) > 1 else ((bag[0], 1),):
+                try:
+                    x = known[token]
+                except KeyError:
+                    self.met += 1
+                    x = known[token] = [0, 0, 0] if bucket(path, token) in wanted else None
+                    self.n += x is not None
+                if x is None:
+                    continue
+                if n not in marks:
+                    h = xxhash.xxh64_intdigest(f"{page}:{n}")
+                    marks[n] = h & 0xFFFFFFFF, h >> 32  # sums of 32 bits fit a bigint for 2^31 pages
+                low, high = marks[n]
+                x[0] += 1
+                x[1] += low
+                x[2] += high
+
+    def rows(self) -> list[tuple]:
+        return [(host, path, token, *x) for (host, path), known in self.by.items() for token, x in known.items() if x is not None]
+
+
 class Buckets:
     """The bucket of a role by its path and token; those met before are kept, up to a bound."""
 
@@ -178,7 +219,7 @@ class Buckets:
 
     def add(self, known: dict[str, int], path: str, token: str) -> int:
         self.n += 1
-        known[token] = b = zlib.crc32(token.encode("utf-8", "surrogatepass"), zlib.crc32(path.encode("utf-8", "surrogatepass"))) % BUCKETS
+        known[token] = b = bucket(path, token)
         return b
 
     def __call__(self, path: str, tokens) -> list[int]:
@@ -293,37 +334,23 @@ def _counts(pages: DataFrame, frequent: DataFrame, minimum: DataFrame) -> DataFr
 
     def run(batches, lookup):
         held = Lookup(lambda rows: {b for (b,) in rows})
-        buckets, total = Buckets(), {}
+        total = Tally()
         for b in batches:
             for _, host, page, text, t in _rows_of(b):
                 rows = lookup(host, t)
-                if rows is None:
-                    continue
-                wanted = held(host, rows)
-                marks: dict[int, tuple[int, int]] = {}
-                for path, bag in bags(text).items():
-                    c = Counter(bag)
-                    for (token, n), bucket in zip(c.items(), buckets(path, c)):
-                        if bucket not in wanted:
-                            continue
-                        if n not in marks:
-                            h = xxhash.xxh64_intdigest(f"{page}:{n}")
-                            marks[n] = h & 0xFFFFFFFF, h >> 32  # sums of 32 bits fit a bigint for 2^31 pages
-                        x = total.setdefault((host, path, token), [0, 0, 0])
-                        x[0] += 1
-                        x[1] += marks[n][0]
-                        x[2] += marks[n][1]
-                if len(total) > FLUSH:
+                if rows is not None:
+                    total.add(host, page, bags(text), held(host, rows))
+                if total.n > FLUSH or total.met > 2 * FLUSH:
                     yield from rows_of(total)
                     total.clear()
         yield from rows_of(total)
 
     def rows_of(total):
-        keys = list(total)
-        for i in range(0, len(keys), 1 << 16):
-            k = keys[i : i + (1 << 16)]
-            names = [pa.array([x[j] for x in k], pa.string()) for j in range(3)]
-            yield pa.RecordBatch.from_arrays([*names, *(pa.array([total[x][j] for x in k], pa.int64()) for j in range(3)), pa.array([role(p, t) for _, p, t in k], pa.int64())], ["host", "path", "token", "n", "m1", "m2", "role"])
+        found = total.rows()
+        for i in range(0, len(found), 1 << 16):
+            x = found[i : i + (1 << 16)]
+            columns = [pa.array(c, pa.string() if j < 3 else pa.int64()) for j, c in enumerate(zip(*x))]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array([role(p, t) for _, p, t, *_ in x], pa.int64())], ["host", "path", "token", "n", "m1", "m2", "role"])
 
     per_host = frequent.select("host", F.transform("t", lambda b: F.struct(b)).alias("t"), (F.size("t") * 100).alias("bytes"))
     counted = _with(pages, per_host, run, "host string, path string, token string, n bigint, m1 bigint, m2 bigint, role bigint")

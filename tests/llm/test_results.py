@@ -116,6 +116,20 @@ def test_words_of_a_long_gap_have_ranks_of_their_own(spark):
     assert {r["text"] for r in templates.extracted(pages).collect()} == {f"own{i}" for i in range(6)}  # "text" is on every page
 
 
+def test_tally_looks_at_each_bucket_once(monkeypatch):
+    rng, looked, real = random.Random(15), [], templates.bucket
+    monkeypatch.setattr(templates, "bucket", lambda path, token: looked.append((path, token)) or real(path, token))
+    tally, want = templates.Tally(), Counter()
+    wanted = set(range(0, templates.BUCKETS, 2))
+    for page in range(40):
+        bags = {p: [rng.choice("abcdefgh") for _ in range(rng.randint(1, 20))] for p in ("x", "y/z")}
+        tally.add("h", page, bags, wanted)
+        for p, bag in bags.items():
+            want.update((p, t) for t in set(bag) if real(p, t) in wanted)
+    assert {(p, t): n for _, p, t, n, _, _ in tally.rows()} == want
+    assert len(looked) == len(set(looked)) == tally.met
+
+
 # ---------------------------------------------------------------- 3
 def test_kernel_of_a_model_is_the_nystroem_solution():
     rng = random.Random(3)
