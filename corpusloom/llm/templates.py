@@ -20,10 +20,10 @@ from __future__ import annotations
 import html as entities
 import os
 import re
-import zlib
 from collections import Counter
 from functools import lru_cache
 from math import ceil
+from operator import mul
 
 import numpy as np
 import pyarrow as pa
@@ -45,6 +45,10 @@ BUCKETS = 1 << 14  # of a host's roles
 FLUSH = 1 << 20  # counts that a task holds before it passes them on
 FAN = 1024  # counts of a host that one task adds up
 WORDS = 32  # bits of the place of a word among those of its gap
+BLOCK = 1 << 16  # characters of text whose words are hashed at once
+GROUP = 64  # pages at most whose words are
+LONG = 1024  # characters of a token that its bucket goes by
+_SPACE = re.compile(r"\s")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 ENDS = {"p": ("p",), "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 HOLDS = frozenset("html body table ul ol dl div article section nav main aside select header footer".split())
@@ -54,7 +58,14 @@ HOLDS = frozenset("html body table ul ol dl div article section nav main aside s
 def _tag(name: str, rest: str) -> str:
     """A tag's name with its class and id; other attributes are data."""
     named = sorted({(a.lower(), b or c or d) for a, b, c, d in _ATTRIBUTE.findall(rest)}) if rest else ()
-    return name + "".join(f" {a}={v}" for a, v in named)
+    return "<" + name + "".join(f" {a}={v}" for a, v in named)
+
+
+@lru_cache(1 << 14)
+def _child(path: str, name: str) -> str:
+    """A deep path goes by its hash, so that a page of unclosed tags takes no more room than any other."""
+    path = f"{path}/{name}"
+    return path if len(path) < DEEP else xxhash.xxh64_hexdigest(path)
 
 
 def role(path: str, token: str) -> int:
@@ -73,46 +84,51 @@ def parts(page: str):
             opened[x] -= 1
         del stack[k:], paths[k + 1 :]
 
-    at, tag = 0, None
+    at, tag, path = 0, None, ""  # path: the last of paths
     for m in _PART.finditer(page):
+        start, end = m.span()
         name = m[2]
         if name is None:
-            if m.start() > at:
-                yield paths[-1], tag, page[at : m.start()]
+            if start > at:
+                yield path, tag, page[at:start]
                 tag = None
-            at = m.end()
+            at = end
             continue
-        if tag is not None or m.start() > at:
-            yield paths[-1], tag, page[at : m.start()]
-        at = m.end()
+        if tag is not None or start > at:
+            yield path, tag, page[at:start]
+        at = end
         name = name.lower()
         if name[0] == "/":
-            if opened.get(name[1:]):
+            tag = _tag(name, "")
+            name = name[1:]
+            if opened.get(name):
                 k = len(stack) - 1
-                while stack[k] != name[1:]:
+                while stack[k] != name:
                     k -= 1
                 shut(k)
-            tag = "<" + name
+                path = paths[-1]
         else:
             rest = m[3]
-            if name in ENDS and any(opened.get(x) for x in ENDS[name]):
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k] in ENDS[name]:
-                        shut(k)
-                        break
-                    if stack[k] in HOLDS:
-                        break
-            tag = "<" + (_tag(name, rest) if rest else name)
+            for x in ENDS.get(name, ()):
+                if opened.get(x):
+                    for k in range(len(stack) - 1, -1, -1):
+                        if stack[k] in ENDS[name]:
+                            shut(k)
+                            path = paths[-1]
+                            break
+                        if stack[k] in HOLDS:
+                            break
+                    break
+            tag = _tag(name, rest)
             if name not in VOID and not rest.endswith("/"):
                 # a tag's role is in its parent's path, what follows it in its own
-                yield paths[-1], tag, ""
+                yield path, tag, ""
                 tag = None
                 stack.append(name)
                 opened[name] = opened.get(name, 0) + 1
-                path = f"{paths[-1]}/{name}"
-                # a deep path goes by its hash, so that a page of unclosed tags takes no more room than any other
-                paths.append(path if len(path) < DEEP else xxhash.xxh64_hexdigest(path))
-    yield paths[-1], tag, page[at:]
+                path = _child(path, name)
+                paths.append(path)
+    yield path, tag, page[at:]
 
 
 def bags(page: str) -> dict[str, list[str]]:
@@ -163,8 +179,119 @@ def _keyed(pages: DataFrame) -> DataFrame:
     return pages.withColumn("host", F.when(host != "", host)).withColumn("__page", F.xxhash64("page_id", "url", "html"))
 
 
+# A word's hash is the sum of its characters times powers of an odd number, mod 2^64, so that sums over all characters so far give that of any word.
+_ODD, _MIX, _64 = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, (1 << 64) - 1
+_POWERS, _INVERSES = (np.cumprod(np.array([1, *[x] * (2 * BLOCK + 2)], np.uint64)) for x in (_ODD, pow(_ODD, -1, 1 << 64)))
+_FIRST = _POWERS[:LONG].tolist()
+_BLANK = np.array([chr(c).isspace() for c in range(0x3002)])  # no character beyond is one
+
+
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
+@lru_cache(1 << 12)
+def _key(path: str) -> int:
+    return xxhash.xxh64_intdigest(path.encode("utf-8", "surrogatepass"))
+
+
 def bucket(path: str, token: str) -> int:
-    return zlib.crc32(token.encode("utf-8", "surrogatepass"), zlib.crc32(path.encode("utf-8", "surrogatepass"))) % BUCKETS
+    x = sum(map(mul, map(ord, token[:LONG]), _FIRST)) + _key(path) & _64
+    x = (x ^ x >> 32) * _MIX & _64
+    return (x ^ x >> 32) % BUCKETS
+
+
+def hashed(texts: list[str], paths: list[str]):
+    """The words of the texts and bucket() of each, in blocks: a string, where in it words begin and end, the number of its text, its bucket in that text's path."""
+
+    def block(first: int, some: list[str]):
+        whole = "\n" + "\n".join(some) + "\n"
+        code = _codes(whole)
+        ink = ~_BLANK[np.minimum(code, len(_BLANK) - 1)]
+        edges = np.flatnonzero(ink[1:] != ink[:-1]) + 1
+        start, end = edges[::2], edges[1::2]
+        sums = np.cumsum(code * _POWERS[: len(code)])
+        h = (sums[np.minimum(end, start + LONG) - 1] - sums[start - 1]) * _INVERSES[start]
+        begins = np.cumsum([1, *(len(t) + 1 for t in some)])
+        n = np.diff(np.searchsorted(start, begins))  # words of each text
+        keys = np.array([_key(p) for p in paths[first : first + len(some)]], np.uint64)
+        x = h + np.repeat(keys, n)
+        x = (x ^ x >> np.uint64(32)) * np.uint64(_MIX)
+        return whole, start, end, np.repeat(np.arange(first, first + len(some)), n), ((x ^ x >> np.uint64(32)) % np.uint64(BUCKETS)).astype(np.int64)
+
+    def long(i: int, text: str):
+        """A text longer than a block is cut between words; one of those may be longer still."""
+        at = 0
+        while at < len(text):
+            cut = _SPACE.search(text, at + BLOCK)
+            end = cut.start() if cut else len(text)
+            if end - at <= 2 * BLOCK:
+                yield block(i, [text[at:end]])
+            else:
+                found = [(m.start(), m.end()) for m in re.finditer(r"\S+", text[at:end])]
+                start, stop = np.array(found, np.int64).reshape(-1, 2).T + at
+                yield text, start, stop, np.full(len(found), i), np.array([bucket(paths[i], text[at + a : at + b]) for a, b in found], np.int64)
+            at = end + 1
+
+    first, size = 0, 0
+    for i, t in enumerate(texts):
+        if size + len(t) > BLOCK:
+            if i > first:
+                yield block(first, texts[first:i])
+            first, size = i, 0
+            if len(t) > BLOCK:
+                yield from long(i, t)
+                first = i + 1
+                continue
+        size += len(t) + 1
+    if first < len(texts):
+        yield block(first, texts[first:])
+
+
+def groups(pages):
+    """The pages, (anything, html), in groups: what goes with each; (row in the group, path, tag) of the tags; texts, and the path and the row of each."""
+    items, tags, texts, paths, rows, size = [], [], [], [], [], 0
+    for item, page in pages:
+        row = len(items)
+        items.append(item)
+        for path, tag, text in parts(page):
+            if tag is not None:
+                tags.append((row, path, tag))
+            if text:
+                texts.append(text)
+                paths.append(path)
+                rows.append(row)
+        size += len(page)
+        if size > BLOCK or len(items) == GROUP:
+            yield items, tags, texts, paths, rows
+            items, tags, texts, paths, rows, size = [], [], [], [], [], 0
+    if items:
+        yield items, tags, texts, paths, rows
+
+
+class Mask:
+    """Some buckets."""
+
+    def __init__(self, buckets):
+        self.at = np.zeros(BUCKETS, bool)
+        self.at[buckets] = True
+
+    def __contains__(self, b: int) -> bool:
+        return bool(self.at[b])
+
+
+def picked(pages):
+    """(item, the page's tags and its words in wanted buckets, as bags) of pages ((mask of wanted buckets, item), html)."""
+    for items, tags, texts, paths, rows in groups(pages):
+        out: list[dict[str, list[str]]] = [{} for _ in items]
+        for row, path, tag in tags:
+            out[row].setdefault(path, []).append(tag)
+        wanted, of = np.concatenate([m.at for m, _ in items]), np.array(rows, np.int64) * BUCKETS
+        for whole, start, end, text, b in hashed(texts, paths):
+            at = np.flatnonzero(wanted[of[text] + b])
+            for i, a, z in zip(text[at].tolist(), start[at].tolist(), end[at].tolist()):
+                out[rows[i]].setdefault(paths[i], []).append(whole[a:z])
+        yield from zip((x for _, x in items), out)
 
 
 class Tally:
@@ -205,29 +332,39 @@ class Tally:
 
 
 class Buckets:
-    """The bucket of a role by its path and token; those met before are kept, up to a bound."""
+    """The buckets of the roles of pages; those of tags met before are kept, up to a bound."""
 
     def __init__(self):
         self.by_path: dict[str, dict[str, int]] = {}
         self.n = 0
 
-    def of(self, path: str) -> dict[str, int]:
-        if self.n > 1 << 20:
-            self.by_path.clear()
-            self.n = 0
-        return self.by_path.setdefault(path, {})
-
-    def add(self, known: dict[str, int], path: str, token: str) -> int:
-        self.n += 1
-        known[token] = b = bucket(path, token)
+    def tag(self, path: str, token: str) -> int:
+        known = self.by_path.setdefault(path, {})
+        b = known.get(token)
+        if b is None:
+            b = bucket(path, token)
+            if self.n >= 1 << 20:
+                self.by_path.clear()
+                self.n = 0
+                known = self.by_path.setdefault(path, {})
+            known[token] = b
+            self.n += 1
         return b
 
-    def __call__(self, path: str, tokens) -> list[int]:
-        known = self.of(path)
-        found = list(map(known.get, tokens))
-        if None in found:
-            found = [known.get(t) if b is not None else self.add(known, path, t) for t, b in zip(tokens, found)]
-        return found
+    def __call__(self, pages):
+        """(item, array of buckets) of pages (item, html)."""
+        for items, tags, texts, paths, rows in groups(pages):
+            there = np.zeros(len(items) * BUCKETS, bool)
+            there[[row * BUCKETS + self.tag(path, tag) for row, path, tag in tags]] = True
+            of = np.array(rows, np.int64) * BUCKETS
+            for _, _, _, text, b in hashed(texts, paths):
+                there[of[text] + b] = True
+            found = np.flatnonzero(there)
+            ends = np.searchsorted(found, np.arange(1, len(items) + 1) * BUCKETS).tolist()
+            at = 0
+            for row, (item, end) in enumerate(zip(items, ends)):
+                yield item, (found[at:end] - row * BUCKETS).astype(np.uint16)
+                at = end
 
 
 def _frequent(pages: DataFrame, minimum: DataFrame) -> DataFrame:
@@ -248,14 +385,13 @@ def _frequent(pages: DataFrame, minimum: DataFrame) -> DataFrame:
         buckets, seen, held = Buckets(), {}, 0
 
         def flush():
-            rows = [vector(h, np.bincount(np.array(x), minlength=BUCKETS)) for h, x in seen.items()]
+            rows = [vector(h, np.bincount(np.concatenate(x), minlength=BUCKETS)) for h, x in seen.items()]
             seen.clear()
             return batch(rows)
 
         for b in batches:
-            for host, text in zip(b.column("host").to_pylist(), b.column("html").to_pylist()):
-                found = {k for path, bag in bags(text).items() for k in buckets(path, set(bag))}
-                seen.setdefault(host, []).extend(found)
+            for host, found in buckets(zip(b.column("host").to_pylist(), b.column("html").to_pylist())):
+                seen.setdefault(host, []).append(found)
                 held += len(found)
                 if held > FLUSH:
                     yield flush()
@@ -333,13 +469,19 @@ def _counts(pages: DataFrame, frequent: DataFrame, minimum: DataFrame) -> DataFr
     """host, path, token, role, class (of the occurrence vector) of the roles frequent in all pages."""
 
     def run(batches, lookup):
-        held = Lookup(lambda rows: {b for (b,) in rows})
+        held = Lookup(lambda rows: Mask([b for (b,) in rows]))
         total = Tally()
-        for b in batches:
+
+        def wanted(b):
             for _, host, page, text, t in _rows_of(b):
                 rows = lookup(host, t)
                 if rows is not None:
-                    total.add(host, page, bags(text), held(host, rows))
+                    mask = held(host, rows)
+                    yield (mask, (host, page, mask)), text
+
+        for b in batches:
+            for (host, page, mask), found in picked(wanted(b)):
+                total.add(host, page, found, mask)
                 if total.n > FLUSH or total.met > 2 * FLUSH:
                     yield from rows_of(total)
                     total.clear()

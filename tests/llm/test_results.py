@@ -130,6 +130,28 @@ def test_tally_looks_at_each_bucket_once(monkeypatch):
     assert len(looked) == len(set(looked)) == tally.met
 
 
+def test_words_are_hashed_in_blocks(monkeypatch):
+    """The buckets and bags of whole pages are those of their single tokens, but only tags and very long words are hashed singly."""
+    rng, looked, real = random.Random(16), [], templates.bucket
+    blanks = [" ", "\n", "  \t", "\u3000", "\x85", "\x1c", "\xa0", "<b>", "</b>", "<br>", "<p class=x>", "</p>", "<!-- c -->"]
+    word = lambda: "".join(rng.choice("abcäß€😀\ud800&<3") for _ in range(rng.randint(1, 8)))
+    pages = ["".join(word() + rng.choice(blanks) for _ in range(rng.randint(0, 900))) for _ in range(150)]
+    big = templates.BLOCK
+    pages += ["", " ", "x", " ".join(f"w{i}" for i in range(big // 2)), "<p>" + "y" * (5 * big) + " a b\u3000", "a" * (2 * big) + " " + "b" * (3 * big) + "\n" + "b" * (big - 1) + " c"]
+    pages += ["z" * templates.LONG + t + "<i>" for t in ("", "1", " 1")] + ["t " * (big // 2 + d) + "u" for d in (-1, 0, 1)]
+    bags = [templates.bags(p) for p in pages]
+    want = [{real(path, t) for path, bag in b.items() for t in bag} for b in bags]
+    monkeypatch.setattr(templates, "bucket", lambda path, token: looked.append(token) or real(path, token))
+    assert [(i, set(x.tolist())) for i, x in templates.Buckets()(enumerate(pages))] == list(enumerate(want))
+    assert all(t[0] == "<" or len(t) > templates.LONG for t in looked)
+    masks = [templates.Mask(sorted(rng.sample(range(templates.BUCKETS), rng.choice((0, 50, 9000))))) for _ in pages]
+    found = list(templates.picked(((m, i), p) for i, (m, p) in enumerate(zip(masks, pages))))
+    assert [i for i, _ in found] == list(range(len(pages)))
+    for (_, got), bag, m in zip(found, bags, masks):
+        only = lambda b: {path: c for path, x in b.items() if (c := Counter(t for t in x if real(path, t) in m))}  # noqa: B023, E731
+        assert only(got) == only(bag) and all(real(path, t) in m or t[0] == "<" for path, x in got.items() for t in x)
+
+
 # ---------------------------------------------------------------- 3
 def test_kernel_of_a_model_is_the_nystroem_solution():
     rng = random.Random(3)
