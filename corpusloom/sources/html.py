@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import html
 import re
+from html.entities import html5
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -23,6 +24,7 @@ RAW = frozenset("iframe noembed noframes noscript plaintext script style textare
 _MARK = re.compile(
     r"<!--.*?(?:--!?>|\Z)|<!--?>|<[!?][^>]*>|</([A-Za-z][^\s/>]*)[^>]*>|</[^A-Za-z>][^>]*>|</>|<([A-Za-z][^\s/>]*)((?:[^\"'>]|\"[^\"]*\"|'[^']*')*)>", re.S
 )
+_ENTITY = re.compile(r"&(?:#(?:\d+|[xX][\da-fA-F]+)|[A-Za-z][A-Za-z\d]*);")
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>][^\s=/>]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.S)
 
 
@@ -30,8 +32,16 @@ def _attributes(text: str) -> list[tuple[str, str]]:
     return [(k.lower(), html.unescape(a or b or c or "")) for k, a, b, c in _ATTRIBUTE.findall(text)]
 
 
-def parse(page: str, links_in_garbage: bool = False) -> tuple[list[tuple[str, str]], list[str]]:
-    """((type, text) of the passages, raw href of the links), in their order."""
+def _closed(entity: re.Match) -> str:
+    return html.unescape(entity[0]) if entity[0][1] == "#" or entity[0][1:] in html5 else entity[0]
+
+
+def parse(page: str, links_in_garbage: bool = False, open_entities: bool = True) -> tuple[list[tuple[str, str]], list[str]]:
+    """((type, text) of the passages, raw href of the links), in their order.
+
+    open_entities: as browsers do, those of a text that lack their semicolon (&amp at a cut) are decoded too, where HTML has a name for that; else they are text.
+    """
+    decoded = html.unescape if open_entities else lambda text: _ENTITY.sub(_closed, text)
     passages: list[tuple[str, str]] = []
     links: list[str] = []
     headers: list[str] = []
@@ -39,7 +49,7 @@ def parse(page: str, links_in_garbage: bool = False) -> tuple[list[tuple[str, st
 
     def emit(text: str, raw: bool = False) -> None:
         if not garbage:
-            text = (text if raw else html.unescape(text)).strip()
+            text = (text if raw else decoded(text)).strip()
             if text:
                 passages.append(("h" if headers else "b", text))
 
@@ -78,7 +88,7 @@ def parse(page: str, links_in_garbage: bool = False) -> tuple[list[tuple[str, st
     return passages, links
 
 
-def parsed(pages: DataFrame, links_in_garbage: bool = False, key: str = "page_id") -> DataFrame:
+def parsed(pages: DataFrame, links_in_garbage: bool = False, key: str = "page_id", open_entities: bool = True) -> DataFrame:
     """key, url, passages (array of type and text) and hrefs of every page with HTML."""
     ship(pages.sparkSession)
     kind = pa.struct([("passages", pa.list_(pa.struct([("type", pa.string()), ("text", pa.string())]))), ("hrefs", pa.list_(pa.string()))])
@@ -86,7 +96,7 @@ def parsed(pages: DataFrame, links_in_garbage: bool = False, key: str = "page_id
     def run(text: pa.Array) -> pa.Array:
         out = []
         for t in text.to_pylist():
-            p, a = parse(t, links_in_garbage) if t else ([], [])
+            p, a = parse(t, links_in_garbage, open_entities) if t else ([], [])
             out.append({"passages": [{"type": k, "text": x} for k, x in p], "hrefs": a})
         return pa.array(out, kind)
 

@@ -21,22 +21,22 @@ from ..sources import html
 PAGES = "page_id bigint, url string, html string"
 
 
-def indexed(pages: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+def indexed(pages: DataFrame, open_entities: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
     """documents (doc_id, url, content_hash, word_count), postings and n-gram words of a batch of pages, one page a URL."""
     ship(pages.sparkSession)
     one = pages.withColumn("doc_id", F.hex(document_id(F.col("url")))).where("doc_id is not null")
     # of several pages of one URL the last by page_id, text on a tie: by rule, as each of the three tables tells them anew
     one = one.groupBy("doc_id").agg(F.max(F.struct("page_id", "url", "html")).alias("p")).select("doc_id", "p.*")
-    passages = html.passages(html.parsed(one, key="doc_id"), "doc_id")
+    passages = html.passages(html.parsed(one, key="doc_id", open_entities=open_entities), "doc_id")
     d = I.lengths(one, T.indexed(passages)).join(one.select("doc_id", "url"), "doc_id").join(I.content_hash(passages), "doc_id", "left")
     return d, I.postings(T.placed(passages)), I.vocabulary(passages)
 
 
-def ingest(spark: SparkSession, landing: str, store: str, interval: str | None = None, files_per_trigger: int = 100) -> StreamingQuery:
-    """Index all pages that land as Parquet files: those there now, or with an interval ("1 second") for good."""
+def ingest(spark: SparkSession, landing: str, store: str, interval: str | None = None, files_per_trigger: int = 100, open_entities: bool = True) -> StreamingQuery:
+    """Index all pages that land as Parquet files: those there now, or with an interval ("1 second") for good. open_entities: as in html.parse."""
 
     def batch(pages: DataFrame, batch_id: int) -> None:
-        parts = dict(zip(("documents", "postings", "words"), indexed(pages)))
+        parts = dict(zip(("documents", "postings", "words"), indexed(pages, open_entities)))
         pages.persist()
         for name, df in parts.items():
             df.write.mode("overwrite").parquet(f"{store}/{name}/batch_id={batch_id}")

@@ -55,6 +55,19 @@ def test_tokens(spark):
     assert not of(5) and not of(6) and len(of(7)) == 1
 
 
+def equals_sql(spark, folder, name, *tables):
+    """The rows of a query over the tables in a folder are those that DuckDB's SQL gives."""
+    import duckdb
+
+    con = duckdb.connect()
+    for t in tables:
+        con.execute(f"create view {t} as select * from read_parquet('{folder}/{t}.parquet/*.parquet')")
+    want = con.execute(catalogue.oracle_sql()[name])
+    columns = [c[0] for c in want.description]
+    got = catalogue.queries()[name](spark, str(folder)).select(*columns).collect()
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want.fetchall()))
+
+
 PASSAGES = [(1, 0, "h", "Fast Search"), (1, 1, "b", "The search of 3 cats, v2")]
 
 
@@ -141,6 +154,20 @@ def test_html(page, want):
     assert [k + t for k, t in html.parse(page)[0]] == want
 
 
+def test_entities_that_are_cut_off():
+    page = "<h1>a&amp;&amp</h1>&lt;b&quot; &copy;&am &notit; &nosuch; &#65;&#66 &amp;amp"
+    text = lambda **o: [k + t for k, t in html.parse(page, **o)[0]]
+    assert text() == ["ha&&", 'b<b" \xa9&am \xacit; &nosuch; AB &amp']
+    assert text(open_entities=False) == ["ha&&amp", 'b<b" \xa9&am &notit; &nosuch; A&#66 &amp']
+
+
+@pytest.mark.parametrize("name", "html_passages header_passages garbage_removed full_text words_in_header page_positions index_pages stream_ingest_counts".split())
+def test_queries_over_cut_off_entities_equal_their_sql(spark, tmp_path, name):
+    pages = [(i, f"https://e.org/{i}", f"<title>t{i} x&amp</title><h1>Some&amp;&amp;&amp</h1><p>body text &quot;{i}&quot; &am") for i in range(3)]
+    spark.createDataFrame(pages, "page_id bigint, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    equals_sql(spark, tmp_path, name, "pages")
+
+
 def test_html_links(spark):
     pages = spark.createDataFrame([(1, "https://e.org", PAGES[6][0]), (2, "https://e.org", None), (3, "http://e.org", PAGES[6][0])], "page_id int, url string, html string")
     got = html.links(html.parsed(pages)).collect()
