@@ -29,7 +29,7 @@ def indexed(pages: DataFrame, open_entities: bool = True) -> tuple[DataFrame, Da
     one = one.groupBy("doc_id").agg(F.max(F.struct("page_id", "url", "html")).alias("p")).select("doc_id", "p.*")
     passages = html.passages(html.parsed(one, key="doc_id", open_entities=open_entities), "doc_id")
     d = I.lengths(one, T.indexed(passages)).join(one.select("doc_id", "url"), "doc_id").join(I.content_hash(passages), "doc_id", "left")
-    return d, I.postings(T.placed(passages)), I.vocabulary(passages)
+    return d, I.posted(passages), I.vocabulary(passages)
 
 
 def ingest(spark: SparkSession, landing: str, store: str, interval: str | None = None, files_per_trigger: int = 100, open_entities: bool = True) -> StreamingQuery:

@@ -4,6 +4,7 @@ import json
 import math
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from corpusloom.config import Config
@@ -11,6 +12,7 @@ from corpusloom.functions import urls
 from corpusloom.functions import vectors as V
 from corpusloom.functions.embed import CHUNK, chunks, embedded, hash_embedder
 from corpusloom.functions.words import STOP_WORDS, measure, stem, with_stem
+from corpusloom.operators import blocks
 from corpusloom.operators import index as I
 from corpusloom.operators import search as S
 from corpusloom.operators import spell
@@ -307,6 +309,47 @@ def test_tokens_are_told_once(spark):
     assert {(r["term"], r["tf"]) for r in T.term_counts(p).collect()} == {("fast", 1), ("search", 2), ("cat", 1), ("v2", 1)}
 
 
+ODD = [
+    (1, 0, "h", "Fast Search of 10.0.0.1"), (1, 1, "b", None), (1, 2, "b", "searching Caf\xe9s, v2 2024 \u0391\u03a3 \u0130x"), (2, 0, "b", "jane@Mail.org"), (2, 1, "b", "see https://Ex.com/P?q=a@b and " + "b" * 70),
+    (3, 0, "b", ""), (4, 0, "b", "word " * 700), (None, 0, "b", "no id"), (None, 1, "h", "no id"),
+]
+
+
+def test_blocks_of_documents_equal_tokens_told_in_the_engine(spark):
+    p = spark.createDataFrame(ODD, "doc_id bigint, ord int, type string, text string")
+    w = Window.partitionBy("doc_id").orderBy("ord", "i")
+    t = p.select("doc_id", "ord", "type", F.posexplode(T._indexed(F.col("text"))).alias("i", "t")).select("doc_id", "ord", "i", "type", "t.token", "t.class")
+    want = T.with_term(t).withColumn("pos", F.row_number().over(w) - 1).select("doc_id", "type", "term", "pos")
+    rows = lambda df: sorted(map(repr, df.collect()))
+    assert rows(T.positioned(p)) == rows(want) and want.count() == 712
+    assert rows(T.term_counts(p)) == rows(want.groupBy("doc_id", "term").agg(F.count("*").alias("tf")))
+    assert rows(I.posted(p)) == rows(I.postings(want))
+    assert rows(blocks.document_frequencies(p)) == rows(T.term_counts(p).groupBy("term").agg(F.count("*").alias("df")))
+    at = I.posted(p).select("doc_id", "term", F.posexplode("positions.i").alias("k", "i"))
+    far = at.alias("a").join(at.alias("b"), F.expr("a.doc_id <=> b.doc_id and a.term = b.term and b.k = a.k + 2")).groupBy("a.doc_id", "a.term").agg(F.min(F.expr("b.i - a.i")).alias("span"))
+    assert rows(S.self_proximity(I.posted(p), 3)) == rows(far) and far.count() == 1
+
+
+def test_tokens_are_no_rows_before_their_document_is_done(spark):
+    """One shuffle, of texts; grouping single tokens sorted, and spilled, all of them."""
+    p = spark.createDataFrame(PASSAGES, "doc_id int, ord int, type string, text string")
+    for df in (T.term_counts(p), T.positioned(p), I.posted(p), S.self_proximity(I.posted(p), 3)):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("RepartitionByExpression") == 1 and not any(x in plan for x in ("Generate", "Aggregate", "Window")), plan
+        assert plan.index("regexp_extract_all(text#") < plan.index("RepartitionByExpression")
+
+
+def test_blocks_hold_whole_documents(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(blocks, "BLOCK", 3)
+    ids, runs = [1, 1, 2, 3, 3, 3, 3, None, None, 5], [["a"], None, ["b", "c"], ["d", "e", "f", "g"], [], ["h"], ["i", "j", "k"], ["l"], ["m"], ["n"]]
+    batch = lambda a, z: pa.record_batch([pa.array(ids[a:z], pa.int64()), pa.array(runs[a:z], pa.list_(pa.string()))], ["doc_id", "runs"])
+    for cuts in ([0, 10], [0, 4, 5, 8, 10], [0, 1, 2, 3, 4, 5, 6, 7, 8, 9, 10]):
+        out = [b["doc_id"].to_pylist() for b in blocks._documents(iter([batch(a, z) for a, z in zip(cuts, cuts[1:])]))]
+        assert sum(out, []) == ids and len(out) > 1 and all(a[-1] != z[0] for a, z in zip(out, out[1:]))
+
+
 def test_long_words_are_indexed_by_their_stems(spark):
     long, kept = "b" * 64 + "ing", "ba" * 30 + "ational"
     p = spark.createDataFrame([(1, 0, "b", f"{long} {kept} x")], "doc_id int, ord int, type string, text string")
