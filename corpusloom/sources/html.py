@@ -88,17 +88,34 @@ def parse(page: str, links_in_garbage: bool = False, open_entities: bool = True)
     return passages, links
 
 
-def parsed(pages: DataFrame, links_in_garbage: bool = False, key: str = "page_id", open_entities: bool = True) -> DataFrame:
-    """key, url, passages (array of type and text) and hrefs of every page with HTML."""
+PAGES = 128  # pages whose passages and links are Python's objects at once
+
+
+def _told(pages: pa.Array, links_in_garbage: bool, open_entities: bool, texts: bool, hrefs: bool) -> pa.Array:
+    """passages and hrefs of the pages of a batch, of which there may be many: only some at once are more than arrays."""
+    text, done = pa.struct([("type", pa.string()), ("text", pa.string())]), []
+    for at in range(0, len(pages), PAGES):
+        kinds, bodies, links, ends, stops = [], [], [], [0], [0]
+        for page in pages.slice(at, PAGES).to_pylist():
+            p, a = parse(page, links_in_garbage, open_entities) if page else ((), ())
+            if texts:
+                kinds += [k for k, _ in p]
+                bodies += [x for _, x in p]
+            if hrefs:
+                links += a
+            ends.append(len(kinds))
+            stops.append(len(links))
+        both = pa.StructArray.from_arrays([pa.array(kinds, pa.string()), pa.array(bodies, pa.string())], fields=list(text))
+        done.append(pa.StructArray.from_arrays([pa.ListArray.from_arrays(pa.array(ends, pa.int32()), both), pa.ListArray.from_arrays(pa.array(stops, pa.int32()), pa.array(links, pa.string()))], ["passages", "hrefs"]))
+    return pa.concat_arrays(done) if done else pa.array([], pa.struct([("passages", pa.list_(text)), ("hrefs", pa.list_(pa.string()))]))
+
+
+def parsed(pages: DataFrame, links_in_garbage: bool = False, key: str = "page_id", open_entities: bool = True, texts: bool = True, hrefs: bool = True) -> DataFrame:
+    """key, url, passages (array of type and text) and hrefs of every page with HTML; without texts or hrefs those are empty."""
     ship(pages.sparkSession)
-    kind = pa.struct([("passages", pa.list_(pa.struct([("type", pa.string()), ("text", pa.string())]))), ("hrefs", pa.list_(pa.string()))])
 
     def run(text: pa.Array) -> pa.Array:
-        out = []
-        for t in text.to_pylist():
-            p, a = parse(t, links_in_garbage, open_entities) if t else ([], [])
-            out.append({"passages": [{"type": k, "text": x} for k, x in p], "hrefs": a})
-        return pa.array(out, kind)
+        return _told(text, links_in_garbage, open_entities, texts, hrefs)
 
     run.__annotations__ = {"text": pa.Array, "return": pa.Array}
     p = pages.where("length(html) > 0").select(key, "url", F.arrow_udf(run, "struct<passages:array<struct<type:string,text:string>>,hrefs:array<string>>")(F.col("html")).alias("p"))

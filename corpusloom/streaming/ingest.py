@@ -27,7 +27,7 @@ def indexed(pages: DataFrame, open_entities: bool = True) -> tuple[DataFrame, Da
     one = pages.withColumn("doc_id", F.hex(document_id(F.col("url")))).where("doc_id is not null")
     # of several pages of one URL the last by page_id, text on a tie: by rule, as each of the three tables tells them anew
     one = one.groupBy("doc_id").agg(F.max(F.struct("page_id", "url", "html")).alias("p")).select("doc_id", "p.*")
-    passages = html.passages(html.parsed(one, key="doc_id", open_entities=open_entities), "doc_id")
+    passages = html.passages(html.parsed(one, key="doc_id", open_entities=open_entities, hrefs=False), "doc_id")
     d = I.lengths(one, T.indexed(passages)).join(one.select("doc_id", "url"), "doc_id").join(I.content_hash(passages), "doc_id", "left")
     return d, I.posted(passages), I.vocabulary(passages)
 

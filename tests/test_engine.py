@@ -170,6 +170,25 @@ def test_queries_over_cut_off_entities_equal_their_sql(spark, tmp_path, name):
     equals_sql(spark, tmp_path, name, "pages")
 
 
+def test_parsing_holds_few_pages_at_once():
+    """What Python's objects take doesn't grow with the batch: at the peak less than those of 1,000 pages took before."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    page = "".join(f'<p>passage {{0}} {i}</p><a href="/{{0}}/{i}">x</a>' for i in range(40))
+    peak = {}
+    for n in (500, 4000):
+        batch = pa.array([page.format(i) for i in range(n)])
+        tracemalloc.start()
+        out = html._told(batch, False, True, True, True)
+        peak[n] = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert len(out) == n and out[n - 1].as_py() == {"passages": [{"type": k, "text": x} for k, x in html.parse(page.format(n - 1))[0]], "hrefs": html.parse(page.format(n - 1))[1]}
+    assert peak[4000] < 1.5 * peak[500]
+    assert html._told(batch.slice(0, 1), False, True, False, True)[0].as_py()["passages"] == [] and len(html._told(batch.slice(0, 0), False, True, True, True)) == 0
+
+
 def test_html_links(spark):
     pages = spark.createDataFrame([(1, "https://e.org", PAGES[6][0]), (2, "https://e.org", None), (3, "http://e.org", PAGES[6][0])], "page_id int, url string, html string")
     got = html.links(html.parsed(pages)).collect()
