@@ -369,6 +369,20 @@ def test_blocks_hold_whole_documents(monkeypatch):
         assert sum(out, []) == ids and len(out) > 1 and all(a[-1] != z[0] for a, z in zip(out, out[1:]))
 
 
+def test_vector_sort_has_no_key_of_proximity(spark, tmp_path):
+    texts = ["ention x onnt ha", "ention onnt x ha", "ention onnt ha x", "x ention y z onnt ha", "ention y z x onnt ha", "x y", "ha ha"]
+    docs = [(i, t, "en", "web", len(t)) for i, t in enumerate(texts, 1)]
+    spark.createDataFrame(docs, "doc_id bigint, text string, lang string, source string, n_chars bigint").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(0, [1.0, 0.0], 0), (2, [0.0, 1.0], 0), (7, [1.0, 1.0], 1)], "vec_id bigint, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    equals_sql(spark, tmp_path, "vector_sort", "documents", "embeddings")
+
+
+def test_packed_postings_are_whole(spark):
+    p = I.posted(spark.createDataFrame(ODD, "doc_id bigint, ord int, type string, text string"))
+    few = blocks.packed(p.withColumn("part", I.bucket("term", 8))).repartitionById(8, "part")
+    assert sorted(map(repr, blocks.unpacked(few, p.schema).collect())) == sorted(map(repr, p.collect()))
+
+
 def test_long_words_are_indexed_by_their_stems(spark):
     long, kept = "b" * 64 + "ing", "ba" * 30 + "ational"
     p = spark.createDataFrame([(1, 0, "b", f"{long} {kept} x")], "doc_id int, ord int, type string, text string")
