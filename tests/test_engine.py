@@ -171,7 +171,7 @@ def test_queries_over_cut_off_entities_equal_their_sql(spark, tmp_path, name):
 
 
 def test_parsing_holds_few_pages_at_once():
-    """What Python's objects take doesn't grow with the batch: at the peak less than those of 1,000 pages took before."""
+    """What Python's objects take hardly grows with the batch."""
     import tracemalloc
 
     import pyarrow as pa
